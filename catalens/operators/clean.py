@@ -46,6 +46,19 @@ class Roles:
     texts: Sequence[str] = field(default_factory=lambda: TEXT_COLUMNS)
 
 
+def with_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add or replace columns that are evaluated exactly once per row.
+
+    A later filter on a plain projection is moved below it and repeats its
+    expressions; expensive ones, such as text cleaning, go through a one-row
+    `inline` that filters cannot cross.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    once = F.inline(F.array(F.struct(*[col.alias(name) for name, col in columns.items()])))
+    order = [*df.columns, *[name for name in columns if name not in df.columns]]
+    return df.select(*kept, once).select(*order)
+
+
 def select_existing(df: DataFrame, wanted: Iterable[str]) -> DataFrame:
     """The listed columns that the table has, in list order."""
     return df.select(*[c for c in wanted if c in df.columns])
@@ -163,7 +176,8 @@ def clean_rows(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
     df = fill_zeros(df, roles.zeros)
     if roles.price in df.columns:
         df = parse_prices(df, roles.price)
-    df = df.withColumns({c: tx.clean_text(F.col(c)) for c in roles.texts if c in df.columns})
+    texts = {c: tx.clean_text(F.col(c)) for c in roles.texts if c in df.columns}
+    df = with_once(df, texts) if texts else df
     df = fill_false(df, roles.verified)
     if roles.features in df.columns:
         feature_type = df.schema[roles.features].dataType
@@ -188,15 +202,15 @@ def clean_table(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
     medians = {c: exact_median(to_numbers(df, [c]), c) for c in present}
     cleaned = clean_rows(df, roles)
     cleaned = cleaned.withColumns({c: F.coalesce(F.col(c), medians[c]) for c in present}) if present else cleaned
-    cleaned = distinct_rows(cleaned, roles.order if roles.order in df.columns else None)
-    cleaned = staged(drop_short_content(cleaned, roles.text, roles.title), "clean")
+    cleaned = staged(distinct_rows(cleaned, roles.order if roles.order in df.columns else None), "clean")
+    cleaned = drop_short_content(cleaned, roles.text, roles.title)
     return trim_outliers(cleaned, "price_numeric") if "price_numeric" in cleaned.columns else cleaned
 
 
 def step_audit(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
     """Rows in, rows out and rows removed for every dropping step of cleaning."""
-    priced = clean_rows(df, roles)
-    unique = staged(distinct_rows(priced, roles.order if roles.order in df.columns else None), "audit")
+    priced = parse_prices(df, roles.price)
+    unique = staged(distinct_rows(clean_rows(df, roles), roles.order if roles.order in df.columns else None), "audit")
     long_enough = drop_short_content(unique, roles.text, roles.title)
     trimmed = trim_outliers(long_enough, "price_numeric")
     names = ["price", "duplicates", "short_content", "outliers"]

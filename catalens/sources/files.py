@@ -19,6 +19,12 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.S
     return reader.load(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table of fewer splits than cores; one with enough splits is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
     """The default sink: parquet."""
     writer = df.write.mode(mode)

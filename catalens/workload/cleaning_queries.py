@@ -84,8 +84,9 @@ def drop_unpriced(spark, folder):
     WHERE NOT (length(text) < 10 AND length(title_x) < 5)""",
 )
 def short_content_filter(spark, folder):
-    raw = load(spark, folder, WIDE).select("row_id", tx.clean_text(F.col("text")).alias("text"), tx.clean_text(F.col("title_x")).alias("title_x"))
-    kept = clean.drop_short_content(raw, "text", "title_x")
+    raw = load(spark, folder, WIDE).select("row_id", "text", "title_x")
+    cleaned = clean.with_once(raw, {c: tx.clean_text(F.col(c)) for c in ("text", "title_x")})
+    kept = clean.drop_short_content(cleaned, "text", "title_x")
     return kept.select(
         "row_id",
         describe.size_of(F.col("text")).cast("bigint").alias("review_length"),

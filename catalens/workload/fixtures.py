@@ -10,6 +10,8 @@ import string
 
 from pyspark.sql import DataFrame, SparkSession
 
+from catalens.sources.files import spread
+
 DIRTY_ORDERS = """
 SELECT o_orderkey, o_custkey, o_totalprice,
   CASE o_orderkey % 10
@@ -92,7 +94,9 @@ SELECT lpad(CAST(l.l_orderkey AS STRING), 12, '0') || '-' || CAST(l.l_linenumber
   l.l_shipdate AS timestamp,
   CASE l.l_linenumber WHEN 5 THEN NULL WHEN 6 THEN 'n/a' ELSE CAST(1 + (l.l_orderkey + l.l_linenumber) % 5 AS STRING) END AS rating,
   CASE WHEN l.l_quantity < 3 THEN 'ok' ELSE '<b>' || p.p_name || '</b>  "' || o.o_orderpriority || '"' END AS title_x,
-  CASE WHEN l.l_quantity < 5 THEN 'good' ELSE repeat('<p>' || p.p_type || ' *' || p.chip || '* </p> ', CAST(l.l_quantity AS INT)) END AS text,
+  CASE WHEN l.l_quantity < 5 THEN 'good' 
+    ELSE repeat('<p>' || p.p_type || ' *' || p.chip || '* </p> ',
+      CAST(CASE WHEN l.l_quantity = 50 THEN 40 WHEN l.l_quantity = 49 THEN 20 ELSE floor(l.l_quantity / 6) + 1 END AS INT)) END AS text,
   CASE WHEN l.l_linenumber = 4 THEN NULL ELSE CAST(CAST(l.l_quantity AS INT) % 20 AS STRING) END AS helpful_vote,
   CAST(CAST(l.l_quantity AS INT) % 4 AS STRING) AS num_reviews,
   p.title_y, p.features, p.details,
@@ -168,8 +172,13 @@ TABLES = (
 ).split()
 
 
+LARGE_TABLES = ("lineitem", "documents", "pages")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A test table; a large one stored as fewer splits than cores is spread first."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df) if name in LARGE_TABLES else df
 
 
 def load(spark: SparkSession, folder: str, sql: str) -> DataFrame:
