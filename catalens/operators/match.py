@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from catalens.functions import bins, specs
 from catalens.functions import text as tx
 from catalens.operators.stats import as_scalar
-from catalens.session import is_small
+from catalens.session import is_small, staged
 
 GRAM = 4
 
@@ -126,13 +126,13 @@ def _rarest_grams(patterns: DataFrame, gram: int) -> DataFrame:
     shared = keys.groupBy("gram").agg(F.count("*").alias("shared"))
     return (
         keys.join(shared, "gram")
-        .groupBy("name", "low", "ord")
+        .groupBy("pattern", "low", "ord")
         .agg(F.min_by("gram", F.struct("shared", "gram")).alias("gram"))
     )
 
 
 def pattern_hits(texts: DataFrame, key: str, text: str, patterns: DataFrame, gram: int = GRAM) -> DataFrame:
-    """``(key, name, ord, hits, size)`` for every dictionary name inside a text.
+    """``(key, pattern, ord, hits, size)`` for every dictionary name inside a text.
 
     Exact and without a text-by-dictionary product: a name can only occur in a
     text that holds the name's rarest n-gram, so text and names meet in an
@@ -140,16 +140,14 @@ def pattern_hits(texts: DataFrame, key: str, text: str, patterns: DataFrame, gra
     measured small size goes to the tasks, which then explode only the n-grams
     they share with it; a larger one is joined by shuffling keys and n-grams.
     """
-    names = patterns.select("name", F.lower("name").alias("low"), "ord")
-    keyed = _rarest_grams(names, gram)
+    names = patterns.select(F.col("name").alias("pattern"), F.lower("name").alias("low"), "ord")
+    keyed = staged(_rarest_grams(names, gram), "dictionary")
+    widths = [F.coalesce(F.bool_or(F.length("low") == w), F.lit(False)) for w in range(1, gram)]
+    lengths = keyed.agg(F.array(*widths)).first()[0]
     base = texts.select(F.col(key), F.lower(text).alias("__text")).where(F.length("__text") > 0)
     body = F.col("__text")
-    sizes = as_scalar(
-        names.agg(*[F.coalesce(F.bool_or(F.length("low") == w), F.lit(False)).alias(f"w{w}") for w in range(1, gram)])
-    )
-    none = F.array().cast("array<string>")
-    short = [F.when(sizes[f"w{w}"], tx.grams(body, w)).otherwise(none) for w in range(1, gram)]
-    found = F.array_distinct(F.concat(tx.grams(body, gram), *short))
+    kinds = [w for w in range(1, gram) if lengths[w - 1]] + [gram]
+    found = F.array_distinct(F.concat(*[tx.grams(body, w) for w in kinds]))
 
     if is_small(keyed):
         wanted = as_scalar(keyed.agg(F.collect_set("gram").alias("grams")))["grams"]
@@ -159,7 +157,7 @@ def pattern_hits(texts: DataFrame, key: str, text: str, patterns: DataFrame, gra
         pairs = base.select(key, F.explode(found).alias("gram")).join(keyed, "gram").drop("gram").distinct()
         met = pairs.join(base, key)
     return met.where(body.contains(F.col("low"))).select(
-        key, "name", "ord", tx.count_occurrences(body, F.col("low")).alias("hits"), F.length(body).alias("size")
+        key, "pattern", "ord", tx.count_occurrences(body, F.col("low")).alias("hits"), F.length(body).alias("size")
     )
 
 
@@ -169,9 +167,9 @@ def best_match(texts: DataFrame, key: str, text: str, patterns: DataFrame, gram:
     Texts without any name are absent.
     """
     hits = pattern_hits(texts, key, text, patterns, gram)
-    share = F.length("name") * F.col("hits") / F.col("size")
+    share = F.length("pattern") * F.col("hits") / F.col("size")
     return hits.groupBy(key).agg(
-        F.max_by("name", F.struct(share, -F.col("ord"))).alias("best_pattern"), F.max(share).alias("match_score")
+        F.max_by("pattern", F.struct(share, -F.col("ord"))).alias("best_pattern"), F.max(share).alias("match_score")
     )
 
 
@@ -218,38 +216,30 @@ def score_lookup(
     return rows.join(resolved, "name").select(key, "name", "score", "source")
 
 
-def _rule_candidates(text: Column, rule: tuple[str, str, str], strip: bool) -> Column:
-    """Dictionary keys one rule proposes, in match order: model, then family."""
+def _rule_sql(text: str, rule: tuple[str, str, str], strip: bool) -> str:
+    """SQL of the dictionary keys one rule proposes, in match order: model, then family."""
     pattern, family, model = rule
-    first = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     head, *tail = model.split("{}")
-
-    def pair(name: Column) -> Column:
-        return F.array(
-            F.struct(name.alias("name"), F.lit("exact").alias("kind")),
-            F.struct(F.lit(family).alias("name"), F.lit("family").alias("kind")),
-        )
-
+    first = f"regexp_extract_all({text}, r'{pattern}', 1)"
+    family_key = f"named_struct('name', '{family}', 'kind', 'family')"
     if len(tail) == 1:
-        made = F.transform(
-            first, lambda m: pair(F.when(m != "", F.concat(F.lit(head), F.trim(m) if strip else m)))
-        )
-    else:
-        second = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-        both = F.arrays_zip(first.alias("a"), second.alias("b"))
-        made = F.transform(both, lambda m: pair(F.concat(F.lit(head), m["a"], F.lit(tail[0]), m["b"])))
-    return F.flatten(made)
+        group = "trim(m)" if strip else "m"
+        exact = f"named_struct('name', if(m <> '', concat('{head}', {group}), null), 'kind', 'exact')"
+        return f"flatten(transform({first}, m -> array({exact}, {family_key})))"
+    second = f"regexp_extract_all({text}, r'{pattern}', 2)"
+    exact = f"named_struct('name', concat('{head}', a, '{tail[0]}', b), 'kind', 'exact')"
+    return f"flatten(zip_with({first}, {second}, (a, b) -> array({exact}, {family_key})))"
 
 
-def _all_candidates(text: Column, rules: TextRules) -> Column:
-    proposed = F.flatten(F.array(*[_rule_candidates(text, rule, rules.strip) for rule in rules.rules]))
-    return F.filter(proposed, lambda c: c["name"].isNotNull())
+def _all_candidates(text: str, rules: TextRules) -> Column:
+    """Candidates of all rules as one SQL expression: building it call by call costs seconds."""
+    listed = ", ".join(_rule_sql(text, rule, rules.strip) for rule in rules.rules)
+    return F.expr(f"filter(concat({listed}), c -> c.name IS NOT NULL)")
 
 
-def _keyword_family(text: Column, keywords: Sequence[tuple[str, Sequence[str]]]) -> Column:
-    return F.coalesce(
-        *[F.when(text.contains(word), F.lit(family)) for family, words in keywords for word in words]
-    )
+def _keyword_family(text: str, keywords: Sequence[tuple[str, Sequence[str]]]) -> Column:
+    arms = " ".join(f"WHEN contains({text}, '{word}') THEN '{family}'" for family, words in keywords for word in words)
+    return F.expr(f"CASE {arms} END")
 
 
 def score_from_text(df: DataFrame, key: str, text: str, scores: DataFrame, rules: TextRules) -> DataFrame:
@@ -263,8 +253,8 @@ def score_from_text(df: DataFrame, key: str, text: str, scores: DataFrame, rules
     lookup = scores.select("name", F.col("score").cast("bigint").alias("score"))
     proposed = rows.select(
         key,
-        F.array_distinct(_all_candidates(F.col("__text"), rules)).alias("proposed"),
-        _keyword_family(F.col("__text"), rules.keywords).alias("keyword"),
+        F.array_distinct(_all_candidates("__text", rules)).alias("proposed"),
+        _keyword_family("__text", rules.keywords).alias("keyword"),
     )
     last = F.array(F.struct(F.col("keyword").alias("name"), F.lit("keyword").alias("kind")))
     candidates = proposed.select(
@@ -311,7 +301,7 @@ def score_from_text(df: DataFrame, key: str, text: str, scores: DataFrame, rules
 def tried_models(df: DataFrame, key: str, text: str, rules: TextRules) -> DataFrame:
     """Model names each row proposes, one per line in order: the match trace."""
     rows = df.select(F.col(key), F.lower(F.coalesce(text, F.lit(""))).alias("__text"))
-    proposed = F.filter(_all_candidates(F.col("__text"), rules), lambda c: c["kind"] == "exact")
+    proposed = F.filter(_all_candidates("__text", rules), lambda c: c["kind"] == "exact")
     models = F.transform(proposed, lambda c: c["name"])
     return rows.select(key, F.posexplode(models).alias("pos", "model_name"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalens.functions import text as tx
 from catalens.operators import describe, match
 from catalens.plans import pipelines
+from catalens.session import staged
 from catalens.sources import pages as pg
 from catalens.workload import sqltext as q
 from catalens.workload.fixtures import ANSWER_PAGES, CPU_SCORES, GPU_SCORES, PRODUCTS, load, plain, table
@@ -19,6 +20,14 @@ TEXTS = ["title_y", "features", "details"]
 ALL_TEXT = f"SELECT p_partkey, lower(concat_ws(' ', title_y, features, details)) AS t FROM ({SPEC}) AS p"
 
 
+def cpu_scores(spark, folder):
+    return staged(load(spark, folder, CPU_SCORES), "cpu-scores")
+
+
+def gpu_scores(spark, folder):
+    return staged(load(spark, folder, GPU_SCORES), "gpu-scores")
+
+
 @query("normalize_cpu_name", f"SELECT p_partkey, {q.cpu_name('chip')} AS name FROM ({SPEC}) AS p")
 def normalize_cpu_name(spark, folder):
     return load(spark, folder, PRODUCTS).select("p_partkey", tx.normalize_cpu_name(F.col("chip")).alias("name"))
@@ -50,9 +59,10 @@ def substring_offsets(spark, folder):
 
 def best_sql(texts: str, key: str, text: str, patterns: str) -> str:
     """Best dictionary name per text by comparing every pair."""
-    return f"""SELECT {key}, first(name ORDER BY share DESC, ord) AS best_pattern, max(share) AS match_score FROM (
-      SELECT {key}, name, ord, length(name) * {q.occurrences('lt', 'ln')} / length(lt) AS share
-      FROM (SELECT {key}, lower({text}) AS lt FROM {texts}) AS a, (SELECT name, lower(name) AS ln, ord FROM {patterns}) AS b
+    return f"""SELECT {key}, first(pattern ORDER BY share DESC, ord) AS best_pattern, max(share) AS match_score FROM (
+      SELECT {key}, pattern, ord, length(pattern) * {q.occurrences('lt', 'ln')} / length(lt) AS share
+      FROM (SELECT {key}, lower({text}) AS lt FROM {texts}) AS a,
+        (SELECT name AS pattern, lower(name) AS ln, ord FROM {patterns}) AS b
       WHERE lt <> '' AND contains(lt, ln)) AS c GROUP BY {key}"""
 
 
@@ -69,17 +79,16 @@ def best_match(spark, folder):
 @query(
     "best_match_names",
     f"""SELECT p_partkey, best_pattern, round(match_score, 6) AS match_score FROM (
-    {best_sql(f'({ALL_TEXT}) AS at', 'p_partkey', 't', f'({CPU_TABLE}) AS ct')}) AS r""",
+    {best_sql(f'({ALL_TEXT}) AS alltext', 'p_partkey', 't', f'({CPU_TABLE}) AS ct')}) AS r""",
 )
 def best_match_names(spark, folder):
     texts = load(spark, folder, PRODUCTS).select("p_partkey", tx.combine_text(*[F.col(c) for c in TEXTS]).alias("t"))
-    found = match.best_match(texts, "p_partkey", "t", load(spark, folder, CPU_SCORES))
+    found = match.best_match(texts, "p_partkey", "t", cpu_scores(spark, folder))
     return found.select("p_partkey", "best_pattern", F.round("match_score", 6).alias("match_score"))
 
 
 def lookup_sql(name: str, scores: str, default: int, column: str) -> str:
-    best = best_sql("open_names", "name", "name", f"({scores}) AS sc").replace("SELECT name, name, ord", "SELECT a.name AS name, b.name AS bname, ord")
-    best = best.replace("first(name ORDER", "first(bname ORDER")
+    best = best_sql("open_names", "name", "name", "sc")
     return f"""WITH n AS (SELECT p_partkey, {name} AS name FROM ({SPEC}) AS p),
     sc AS ({scores}),
     open_names AS (SELECT DISTINCT name FROM n WHERE name NOT IN (SELECT name FROM sc)),
@@ -91,12 +100,12 @@ def lookup_sql(name: str, scores: str, default: int, column: str) -> str:
 
 @query("score_lookup", lookup_sql(q.cpu_name("chip"), CPU_TABLE, 3000, "chip"))
 def score_lookup(spark, folder):
-    return match.score_lookup(load(spark, folder, PRODUCTS), "p_partkey", "chip", load(spark, folder, CPU_SCORES))
+    return match.score_lookup(load(spark, folder, PRODUCTS), "p_partkey", "chip", cpu_scores(spark, folder))
 
 
 @query("score_lookup_gpu", lookup_sql(q.gpu_name("video"), GPU_TABLE, 500, "video"))
 def score_lookup_gpu(spark, folder):
-    return match.score_lookup(load(spark, folder, PRODUCTS), "p_partkey", "video", load(spark, folder, GPU_SCORES), kind="gpu")
+    return match.score_lookup(load(spark, folder, PRODUCTS), "p_partkey", "video", gpu_scores(spark, folder), kind="gpu")
 
 
 ANSWER_TEXT = r"regexp_replace(html, '<[^>]+>', '', 'g')"
@@ -113,7 +122,7 @@ ANSWER_SCORE = "CAST(" + q.first_match(
 def score_lookup_paged(spark, folder):
     answers = load(spark, folder, ANSWER_PAGES)
     paged = pg.scores_from_texts(answers, "name", "html")
-    return match.score_lookup(answers, "page_id", "name", load(spark, folder, CPU_SCORES), paged=paged)
+    return match.score_lookup(answers, "page_id", "name", cpu_scores(spark, folder), paged=paged)
 
 
 def text_score_sql(rules: match.TextRules, scores: str) -> str:
@@ -137,9 +146,9 @@ def text_score_sql(rules: match.TextRules, scores: str) -> str:
     words = " ".join(f"WHEN contains(t, '{word}') THEN '{family}'" for family, ws in rules.keywords for word in ws)
     return f"""WITH base AS ({ALL_TEXT}), sc AS ({scores}),
     cand AS ({' UNION ALL '.join(parts)}),
-    both AS (SELECT p_partkey, rule_no, match_no, 0 AS k, model AS name, 'exact' AS kind FROM cand WHERE model IS NOT NULL
+    keyed AS (SELECT p_partkey, rule_no, match_no, 0 AS k, model AS name, 'exact' AS kind FROM cand WHERE model IS NOT NULL
       UNION ALL SELECT p_partkey, rule_no, match_no, 1, family, 'family' FROM cand),
-    hit AS (SELECT both.*, sc.score FROM both JOIN sc ON both.name = sc.name
+    hit AS (SELECT keyed.*, sc.score FROM keyed JOIN sc ON keyed.name = sc.name
       QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY rule_no, match_no, k) = 1),
     tried AS (SELECT p_partkey, count(DISTINCT model) AS tried FROM cand WHERE model IS NOT NULL GROUP BY p_partkey),
     rest AS (SELECT * FROM base WHERE p_partkey NOT IN (SELECT p_partkey FROM hit)),
@@ -166,28 +175,28 @@ def _all_text(spark, folder):
 
 @query("cpu_score_text", f"SELECT p_partkey, score FROM ({CPU_TEXT_SQL}) AS r")
 def cpu_score_text(spark, folder):
-    return match.score_from_text(_all_text(spark, folder), "p_partkey", "t", load(spark, folder, CPU_SCORES), match.CPU).select("p_partkey", "score")
+    return match.score_from_text(_all_text(spark, folder), "p_partkey", "t", cpu_scores(spark, folder), match.CPU).select("p_partkey", "score")
 
 
 @query("gpu_score_text", f"SELECT p_partkey, score FROM ({GPU_TEXT_SQL}) AS r")
 def gpu_score_text(spark, folder):
-    return match.score_from_text(_all_text(spark, folder), "p_partkey", "t", load(spark, folder, GPU_SCORES), match.GPU).select("p_partkey", "score")
+    return match.score_from_text(_all_text(spark, folder), "p_partkey", "t", gpu_scores(spark, folder), match.GPU).select("p_partkey", "score")
 
 
 @query("match_provenance", CPU_TEXT_SQL)
 def match_provenance(spark, folder):
-    return match.score_from_text(_all_text(spark, folder), "p_partkey", "t", load(spark, folder, CPU_SCORES), match.CPU)
+    return match.score_from_text(_all_text(spark, folder), "p_partkey", "t", cpu_scores(spark, folder), match.CPU)
 
 
 @query("match_provenance_gpu", GPU_TEXT_SQL)
 def match_provenance_gpu(spark, folder):
-    return match.score_from_text(_all_text(spark, folder), "p_partkey", "t", load(spark, folder, GPU_SCORES), match.GPU)
+    return match.score_from_text(_all_text(spark, folder), "p_partkey", "t", gpu_scores(spark, folder), match.GPU)
 
 
 @query(
     "match_trace",
     f"""SELECT p_partkey, string_agg(model, '; ' ORDER BY rule_no, match_no) AS models FROM (
-      {CPU_TEXT_SQL[:CPU_TEXT_SQL.index('both AS')].rstrip().rstrip(',')} SELECT * FROM cand) AS c WHERE model IS NOT NULL GROUP BY p_partkey""",
+      {CPU_TEXT_SQL[:CPU_TEXT_SQL.index('keyed AS')].rstrip().rstrip(',')} SELECT * FROM cand) AS c WHERE model IS NOT NULL GROUP BY p_partkey""",
 )
 def match_trace(spark, folder):
     tried = match.tried_models(_all_text(spark, folder), "p_partkey", "t", match.CPU)
@@ -209,7 +218,7 @@ SCORE_COLUMNS = "p_partkey, cpu_benchmark_score, gpu_benchmark_score, total_benc
 
 def scored_products(spark, folder):
     products = load(spark, folder, PRODUCTS)
-    return pipelines.score_pipeline(products, "p_partkey", load(spark, folder, CPU_SCORES), load(spark, folder, GPU_SCORES), TEXTS)
+    return pipelines.score_pipeline(products, "p_partkey", cpu_scores(spark, folder), gpu_scores(spark, folder), TEXTS)
 
 
 @query("score_stage", f"SELECT {SCORE_COLUMNS} FROM ({SCORED}) AS x")
