@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalens.functions import bins
-from catalens.operators.stats import as_scalar, exact_quantiles, histogram, quantile_row, summary_row
+from catalens.operators.stats import as_scalar, exact_quantiles, histogram, quantile_row, summary_row, summary_rows
 
 # ---- fixed values -----------------------------------------------------------
 PRICE_CANDIDATES = ["price_myr", "price_usd", "price_numeric", "price"]
@@ -92,19 +92,10 @@ def length_bins(df: DataFrame, column: str) -> DataFrame:
     return bin_counts(df.select(bins.length_bin(size).alias("bin")), "bin", bins.LENGTH_LABELS)
 
 
-def many_summaries(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
-    """`summary_row` of several columns, one row each, labelled by name."""
-    rows = None
-    for label, column in columns.items():
-        row = summary_row(df, column).select(F.lit(label).alias("name"), "*")
-        rows = row if rows is None else rows.unionByName(row)
-    return rows
-
-
 def spec_summary(df: DataFrame) -> DataFrame:
     """found, total, min, max, mean, std, median of every spec the table has."""
     wanted = {"ram": "ram_gb", "storage": "storage_gb", "screen": "screen_size_inches"}
-    return many_summaries(df, {k: v for k, v in wanted.items() if v in df.columns})
+    return summary_rows(df, {k: v for k, v in wanted.items() if v in df.columns})
 
 
 def spec_distributions(df: DataFrame) -> DataFrame:
@@ -114,14 +105,22 @@ def spec_distributions(df: DataFrame) -> DataFrame:
 
 
 def distributions(df: DataFrame, columns: Mapping[str, int | None]) -> DataFrame:
-    """Value distributions of several columns in one table, each with its own top k."""
-    result = None
-    for column, top in columns.items():
-        if column in df.columns:
-            part = value_distribution(df, column, top=top).select(
-                F.lit(column).alias("dimension"), F.col("value").cast("string").alias("value"), "n"
-            )
-            result = part if result is None else result.unionByName(part)
+    """Value distributions of several columns in one table, each with its own top k.
+
+    All columns are counted in one pass and one shuffle; the rank of a top k is
+    limited in every task before its shuffle.
+    """
+    present = {c: top for c, top in columns.items() if c in df.columns}
+    pairs = [F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in present]
+    long = df.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
+    counts = long.groupBy("dimension", "value").agg(F.count("*").alias("n"))
+    whole = [c for c, top in present.items() if top is None]
+    result = counts.where(F.col("dimension").isin(whole))
+    order = Window.partitionBy("dimension").orderBy(F.desc("n"), "value")
+    for top in sorted({top for top in present.values() if top is not None}):
+        limited = [c for c, wanted in present.items() if wanted == top]
+        ranked = counts.where(F.col("dimension").isin(limited)).withColumn("rank", F.row_number().over(order))
+        result = result.unionByName(ranked.where(F.col("rank") <= top).drop("rank"))
     return result
 
 
@@ -133,7 +132,7 @@ def spec_analysis(df: DataFrame, os_column: str = "os") -> DataFrame:
 
 def score_summary(df: DataFrame) -> DataFrame:
     columns = ["cpu_benchmark_score", "gpu_benchmark_score", "total_benchmark_score"]
-    return many_summaries(df, {c: c for c in columns})
+    return summary_rows(df, {c: c for c in columns})
 
 
 def most_common(df: DataFrame, column: str) -> DataFrame:
@@ -198,11 +197,14 @@ def product_summary(products: DataFrame, brand: str = "brand", price: str = "pri
         F.avg("average_rating").alias("average_rating"),
     )
     result = _named(base, "products")
-    for label, column in {"ram": "ram_gb", "storage": "storage_gb", "screen": "screen_size_inches"}.items():
-        if column in products.columns:
-            spec = summary_row(products, column, {}).select("found", "total", "mean", "min", "max")
-            result = result.unionByName(_named(spec, label))
-    return result
+    wanted = {"ram": "ram_gb", "storage": "storage_gb", "screen": "screen_size_inches"}
+    present = {label: c for label, c in wanted.items() if c in products.columns}
+    if not present:
+        return result
+    specs = summary_rows(products, present, {})
+    kept = ["found", "total", "mean", "min", "max"]
+    long = specs.select("name", *[F.col(c).cast("double").alias(c) for c in kept]).unpivot("name", kept, "metric", "value")
+    return result.unionByName(long.select(F.col("name").alias("section"), "metric", "value"))
 
 
 def review_summary(reviews: DataFrame, user: str = "user_id", key: str = "asin", rating: str = "rating") -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from catalens.functions import bins, specs
 from catalens.functions import text as tx
+from catalens.operators.clean import with_once
 from catalens.operators.stats import as_scalar
 from catalens.session import is_small, staged
 
@@ -323,7 +324,7 @@ def add_specs(df: DataFrame, texts: Sequence[str], strict: bool = False, trim: b
     """Specification columns and their categories from the given text columns."""
     present = [F.col(c).cast("string") for c in texts if c in df.columns]
     df = df.withColumn("__spec_text", tx.searchable(tx.combine_text(*present)))
-    df = df.withColumns(spec_columns(F.col("__spec_text"), strict, trim)).drop("__spec_text")
+    df = with_once(df, spec_columns(F.col("__spec_text"), strict, trim)).drop("__spec_text")
     return df.withColumns(
         {
             "storage_category": bins.storage_category(F.col("storage_gb")),

@@ -25,43 +25,50 @@ def value_counts(df: DataFrame, column: str, name: str = "n") -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias(name))
 
 
-def exact_quantiles(
-    df: DataFrame, column: str, fractions: Sequence[float], accuracy: int = DEFAULT_ACCURACY
+def column_quantiles(
+    df: DataFrame, columns: Sequence[str], fractions: Sequence[float], accuracy: int = DEFAULT_ACCURACY
 ) -> DataFrame:
-    """Exact, linearly interpolated quantiles, as rows ``(q, value)``.
+    """Exact, linearly interpolated quantiles of several columns, as rows ``(name, q, value)``.
 
     A sketch brackets every wanted rank; a second pass counts what lies below
     each bracket and keeps only the distinct values inside it, about
     ``4 / accuracy`` of the rows. No task holds more than that, however many
     rows or distinct values there are. A bracket that misses its rank raises.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    numbers = [F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]
+    values = df.select(*[F.when(~F.isnan(n), n).alias(f"v{i}") for i, n in enumerate(numbers)])
     slack = 2.0 / accuracy
     edges = [edge for q in fractions for edge in (max(0.0, q - slack), min(1.0, q + slack))]
     sketch = as_scalar(
-        values.agg(F.count("*").alias("n"), F.percentile_approx("v", edges, accuracy).alias("edges"))
+        values.agg(
+            *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))],
+            *[F.percentile_approx(f"v{i}", edges, accuracy).alias(f"e{i}") for i in range(len(columns))],
+        )
     )
     brackets = F.array(
         *[
             F.struct(
+                F.lit(name).alias("name"),
                 F.lit(float(q)).alias("q"),
-                sketch["n"].alias("n"),
-                sketch["edges"][2 * i].alias("lo"),
-                sketch["edges"][2 * i + 1].alias("hi"),
+                sketch[f"n{i}"].alias("n"),
+                sketch[f"e{i}"][2 * k].alias("lo"),
+                sketch[f"e{i}"][2 * k + 1].alias("hi"),
+                F.col(f"v{i}").alias("v"),
             )
-            for i, q in enumerate(fractions)
+            for i, name in enumerate(columns)
+            for k, q in enumerate(fractions)
         ]
     )
     inside = (
-        values.select("v", F.explode(brackets).alias("b"))
-        .where(F.col("v") <= F.col("b.hi"))
-        .groupBy("b.q", "b.n", F.when(F.col("v") >= F.col("b.lo"), F.col("v")).alias("v"))
+        values.select(F.inline(brackets))
+        .where(F.col("v") <= F.col("hi"))
+        .groupBy("name", "q", "n", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v"))
         .agg(F.count("*").alias("rows"))
     )
-    order = Window.partitionBy("q").orderBy(F.col("v").asc_nulls_first())
+    order = Window.partitionBy("name", "q").orderBy(F.col("v").asc_nulls_first())
     ranked = inside.withColumn("upto", F.sum("rows").over(order))
     rank = F.col("q") * (F.col("n") - 1)
-    picked = ranked.groupBy("q", "n").agg(
+    picked = ranked.groupBy("name", "q", "n").agg(
         F.coalesce(F.max(F.when(F.col("v").isNull(), F.col("upto"))), F.lit(0)).alias("below"),
         F.min(F.when(F.col("upto") > F.floor(rank), F.col("v"))).alias("lower"),
         F.min(F.when(F.col("upto") > F.ceil(rank), F.col("v"))).alias("upper"),
@@ -69,7 +76,14 @@ def exact_quantiles(
     value = F.col("lower") + (F.col("upper") - F.col("lower")) * (rank - F.floor(rank))
     missed = (F.col("below") > F.floor(rank)) | F.col("upper").isNull()
     checked = F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank; raise accuracy")).cast("double"))
-    return picked.select("q", checked.otherwise(value).alias("value"))
+    return picked.select("name", "q", checked.otherwise(value).alias("value"))
+
+
+def exact_quantiles(
+    df: DataFrame, column: str, fractions: Sequence[float], accuracy: int = DEFAULT_ACCURACY
+) -> DataFrame:
+    """Exact quantiles of one column as rows ``(q, value)``."""
+    return column_quantiles(df, [column], fractions, accuracy).select("q", "value")
 
 
 def quantile_row(
@@ -85,27 +99,47 @@ def exact_median(df: DataFrame, column: str, accuracy: int = DEFAULT_ACCURACY) -
     return as_scalar(quantile_row(df, column, {"median": 0.5}, accuracy))["median"]
 
 
-def summary_row(
+def summary_rows(
     df: DataFrame,
-    column: str,
+    columns: dict[str, str],
     quantiles: dict[str, float] | None = None,
     accuracy: int = DEFAULT_ACCURACY,
 ) -> DataFrame:
-    """One row: found, total, min, max, mean, std (n-1) and the exact quantiles."""
+    """Per label: found, total, min, max, mean, std (n-1) and exact quantiles.
+
+    All columns share one aggregation pass and one pair of quantile passes.
+    """
     quantiles = {"median": 0.5} if quantiles is None else quantiles
-    number = F.col(column).cast("double")
-    base = df.agg(
-        F.count(number).alias("found"),
-        F.count("*").alias("total"),
-        F.min(number).alias("min"),
-        F.max(number).alias("max"),
-        F.avg(number).alias("mean"),
-        F.stddev_samp(number).alias("std"),
-    )
+
+    def entry(label: str, column: str) -> Column:
+        number = F.col(column).cast("double")
+        return F.struct(
+            F.lit(label).alias("name"),
+            F.count(number).alias("found"),
+            F.count("*").alias("total"),
+            F.min(number).alias("min"),
+            F.max(number).alias("max"),
+            F.avg(number).alias("mean"),
+            F.stddev_samp(number).alias("std"),
+        )
+
+    entries = F.array(*[entry(label, column) for label, column in columns.items()])
+    base = df.agg(entries.alias("entries")).select(F.inline("entries"))
     if not quantiles:
         return base
-    at = as_scalar(quantile_row(df, column, quantiles, accuracy))
-    return base.select("*", *[at[name].alias(name) for name in quantiles])
+    rows = column_quantiles(df.select(*[F.col(c).alias(label) for label, c in columns.items()]), list(columns), sorted(set(quantiles.values())), accuracy)
+    wide = rows.groupBy("name").agg(*[F.max(F.when(F.col("q") == float(q), F.col("value"))).alias(n) for n, q in quantiles.items()])
+    return base.join(wide, "name", "left")
+
+
+def summary_row(
+    df: DataFrame,
+    column: str,
+    quantiles: dict[str, float] | None = None,
+    accuracy: int = DEFAULT_ACCURACY,
+) -> DataFrame:
+    """`summary_rows` of one column, without the label."""
+    return summary_rows(df, {column: column}, quantiles, accuracy).drop("name")
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:

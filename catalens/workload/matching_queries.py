@@ -228,20 +228,22 @@ def score_stage(spark, folder):
 
 @query(
     "score_stats",
-    " UNION ALL ".join(
+    f"WITH x AS MATERIALIZED ({SCORED}) "
+    + " UNION ALL ".join(
         f"""SELECT '{c}' AS name, count({c}) AS found, count(*) AS total, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max,
-        round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, CAST(median({c}) AS DOUBLE) AS median FROM ({SCORED}) AS x"""
+        round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, CAST(median({c}) AS DOUBLE) AS median FROM x"""
         for c in ("cpu_benchmark_score", "gpu_benchmark_score", "total_benchmark_score")
     ),
 )
 def score_stats(spark, folder):
-    stats = describe.score_summary(scored_products(spark, folder))
+    stats = describe.score_summary(staged(scored_products(spark, folder), "scored"))
     return stats.withColumns({c: F.round(c, 4) for c in ("mean", "std")})
 
 
 @query(
     "score_distributions",
-    " UNION ALL ".join(f"SELECT '{c}' AS dimension, {c} AS value, count(*) AS n FROM ({SCORED}) AS x GROUP BY {c}" for c in ("performance_tier", "gaming_capability")),
+    f"WITH x AS MATERIALIZED ({SCORED}) "
+    + " UNION ALL ".join(f"SELECT '{c}' AS dimension, {c} AS value, count(*) AS n FROM x GROUP BY {c}" for c in ("performance_tier", "gaming_capability")),
 )
 def score_distributions(spark, folder):
     return describe.distributions(scored_products(spark, folder), {"performance_tier": None, "gaming_capability": None})
