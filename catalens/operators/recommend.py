@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from catalens.functions import bins
 from catalens.functions import text as tx
 from catalens.operators.stats import as_scalar
-from catalens.operators.vectors import spec_match_score, words
+from catalens.operators.vectors import TIE_DIGITS, spec_match_score, words
 
 # ---- fixed values: our own weights, all parameters ---------------------------
 MAX_RATING = 5.0
@@ -74,7 +74,7 @@ def recommend(
         boost = boost + share * SPEC_BOOST
         reasons.append(F.format_string("specs matched %.0f%%", F.bround(share * 100, 0)))
     return (
-        scored.select(key, brand, price, (F.col("value_score") * boost).alias("score"), F.concat_ws("; ", *reasons).alias("explanation"))
+        scored.select(key, brand, price, F.round(F.col("value_score") * boost, TIE_DIGITS).alias("score"), F.concat_ws("; ", *reasons).alias("explanation"))
         .orderBy(F.desc("score"), key)
         .limit(n)
     )

@@ -67,8 +67,12 @@ def tfidf(
     return raw.select(key, "term", (F.col("raw") / norm).alias("weight"))
 
 
+# Sums arrive in any order on a cluster; scores closer than this count as ties.
+TIE_DIGITS = 9
+
+
 def _top(df: DataFrame, key: str, score: str, n: int | None) -> DataFrame:
-    ordered = df.orderBy(F.desc(score), key)
+    ordered = df.withColumn(score, F.round(score, TIE_DIGITS)).orderBy(F.desc(score), key)
     return ordered if n is None else ordered.limit(n)
 
 
@@ -99,14 +103,14 @@ def similar_by_embedding(
     """Items closest to one item by dense vectors: cosine or Euclidean."""
     single = df.where(F.col(key) == item).agg(F.first(vector).alias("v"))
     target = as_scalar(single.select("v", F.sqrt(_dot(F.col("v"), F.col("v"))).alias("norm")))
-    own, other = target["v"], F.col(vector)
-    rest = df.where(F.col(key) != item)
+    rest = df.where(F.col(key) != item).withColumn("__own", target)
+    own, other = F.col("__own.v"), F.col(vector)
     if metric == "cosine":
-        score = _dot(other, own) / (F.sqrt(_dot(other, other)) * target["norm"])
+        score = _dot(other, own) / (F.sqrt(_dot(other, other)) * F.col("__own.norm"))
         return _top(rest.select(key, score.alias("similarity")), key, "similarity", n)
     gaps = F.zip_with(other, own, lambda x, y: x.cast("double") - y.cast("double"))
     distance = F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda total, x: total + x * x))
-    scored = rest.select(key, distance.alias("distance")).orderBy("distance", key)
+    scored = rest.select(key, F.round(distance, TIE_DIGITS).alias("distance")).orderBy("distance", key)
     return scored if n is None else scored.limit(n)
 
 
@@ -177,7 +181,7 @@ def similarity_table(vectors: DataFrame, key: str, items: DataFrame, n: int = 5,
             for at, (names, weights) in enumerate(zip(batch["terms"], batch["weights"])):
                 dense[at, [position[t] for t in names]] = weights
             keys = batch[key].to_numpy()
-            scores = np.round(own @ dense.T, 12)
+            scores = np.round(own @ dense.T, TIE_DIGITS)
             for wanted, line in zip(wanted_keys, scores):
                 line = np.where(keys == wanted, 0.0, line)
                 near = np.lexsort((keys, -line))[:n]
