@@ -32,12 +32,13 @@ def column_quantiles(
 
     A sketch brackets every wanted rank; a second pass counts what lies below
     each bracket and keeps only the distinct values inside it, about
-    ``4 / accuracy`` of the rows. No task holds more than that, however many
-    rows or distinct values there are. A bracket that misses its rank raises.
+    ``6 / accuracy`` of the rows, or all values of a column that has fewer than
+    ``accuracy``. No task holds more than that, however many rows or distinct
+    values there are. A bracket that misses its rank raises.
     """
     numbers = [F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]
     values = df.select(*[F.when(~F.isnan(n), n).alias(f"v{i}") for i, n in enumerate(numbers)])
-    slack = 2.0 / accuracy
+    slack = 3.0 / accuracy
     edges = [edge for q in fractions for edge in (max(0.0, q - slack), min(1.0, q + slack))]
     sketch = as_scalar(
         values.agg(
@@ -45,14 +46,18 @@ def column_quantiles(
             *[F.percentile_approx(f"v{i}", edges, accuracy).alias(f"e{i}") for i in range(len(columns))],
         )
     )
+
+    def few(i: int) -> Column:
+        return sketch[f"n{i}"] < accuracy
+
     brackets = F.array(
         *[
             F.struct(
                 F.lit(name).alias("name"),
                 F.lit(float(q)).alias("q"),
                 sketch[f"n{i}"].alias("n"),
-                sketch[f"e{i}"][2 * k].alias("lo"),
-                sketch[f"e{i}"][2 * k + 1].alias("hi"),
+                F.when(few(i), F.lit(float("-inf"))).otherwise(sketch[f"e{i}"][2 * k]).alias("lo"),
+                F.when(few(i), F.lit(float("inf"))).otherwise(sketch[f"e{i}"][2 * k + 1]).alias("hi"),
                 F.col(f"v{i}").alias("v"),
             )
             for i, name in enumerate(columns)

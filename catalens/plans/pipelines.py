@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from catalens.functions import bins, specs
 from catalens.functions import text as tx
 from catalens.operators import clean, describe, encode, match, quality
+from catalens.session import staged
 from catalens.sources.report import report_lines
 
 # ---- fixed values -----------------------------------------------------------
@@ -52,20 +53,25 @@ def wide_pipeline(raw: DataFrame, roles: clean.Roles = clean.Roles()) -> DataFra
 def split_tables(raw: DataFrame, roles: clean.Roles = clean.Roles(), texts: Sequence[str] = tuple(SPEC_TEXTS)) -> tuple[DataFrame, DataFrame]:
     """Cleaned product table with prices and specs, and cleaned review table.
 
-    Both read the cleaned rows; write them out first when the input is large.
+    Both come from the cleaned rows written out once. The product table is
+    written out too: scalers, encoders and reports each read it again.
     """
     cleaned = clean.clean_table(raw, roles)
     products, reviews = clean.split_products_reviews(cleaned, [roles.order], roles.key)
-    return match.add_specs(add_price_conversion(products, roles.price), texts), reviews
+    return staged(match.add_specs(add_price_conversion(products, roles.price), texts), "products"), reviews
+
+
+def normalized_products(products: DataFrame) -> DataFrame:
+    """Normalised product table; a feature list is joined to text first."""
+    if "features" in products.columns and isinstance(products.schema["features"].dataType, T.ArrayType):
+        products = products.withColumn("features", tx.join_features(F.col("features")))
+    return encode.normalize_products(products)
 
 
 def split_pipeline(raw: DataFrame, roles: clean.Roles = clean.Roles()) -> tuple[DataFrame, DataFrame]:
     """Normalised product table and normalised review table."""
     products, reviews = split_tables(raw, roles)
-    feature = products.schema["features"].dataType if "features" in products.columns else None
-    if isinstance(feature, T.ArrayType):
-        products = products.withColumn("features", tx.join_features(F.col("features")))
-    return encode.normalize_products(products), encode.normalize_reviews(reviews)
+    return normalized_products(products), encode.normalize_reviews(reviews)
 
 
 def explore(raw: DataFrame, roles: clean.Roles = clean.Roles()) -> dict[str, DataFrame]:

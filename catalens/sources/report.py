@@ -16,6 +16,11 @@ SECTION_RULE = "-" * 30
 # -----------------------------------------------------------------------------
 
 
+def _fixed(name: str, digits: int) -> Column:
+    """A number for `%.nf`; ties round to even, as they do outside the JVM."""
+    return F.bround(name, digits)
+
+
 def _count(col: Column) -> Column:
     return F.format_string("%,d", col.cast("bigint"))
 
@@ -78,9 +83,9 @@ def report_lines(
         2,
         "PRICE ANALYSIS",
         describe.price_summary(products, price),
-        F.format_string(f"Price Range: {currency} %.2f - {currency} %.2f", "min", "max"),
-        F.format_string(f"Average Price: {currency} %.2f", "mean"),
-        F.format_string(f"Median Price: {currency} %.2f", "median"),
+        F.format_string(f"Price Range: {currency} %.2f - {currency} %.2f", _fixed("min", 2), _fixed("max", 2)),
+        F.format_string(f"Average Price: {currency} %.2f", _fixed("mean", 2)),
+        F.format_string(f"Median Price: {currency} %.2f", _fixed("median", 2)),
     )
     price_bins = _listing(
         2,
@@ -94,27 +99,27 @@ def report_lines(
         describe.group_summary(products, brand),
         F.format_string("Total Brands: %d", "n_groups"),
         F.format_string("Most Popular Brand: %s", "most_popular"),
-        F.format_string("Average Models per Brand: %.1f", "avg_per_group"),
+        F.format_string("Average Models per Brand: %.1f", _fixed("avg_per_group", 1)),
     )
     ratings = _section(
         4,
         "RATING ANALYSIS",
         describe.rating_summary(reviews, rating),
-        F.format_string("Average Rating: %.2f/5.0", "mean"),
-        F.format_string("Median Rating: %.2f/5.0", "median"),
+        F.format_string("Average Rating: %.2f/5.0", _fixed("mean", 2)),
+        F.format_string("Median Rating: %.2f/5.0", _fixed("median", 2)),
         F.format_string("Rating Range: %.1f - %.1f", "min", "max"),
     )
     helpful = describe.vote_summary(reviews, votes).select(
         F.lit(4).alias("section"),
         F.lit(100).alias("line_no"),
-        F.format_string("Total Helpful Votes: %,.0f, average %.1f", "total_votes", "avg_votes").alias("line"),
+        F.format_string("Total Helpful Votes: %,.0f, average %.1f", "total_votes", _fixed("avg_votes", 1)).alias("line"),
     )
     texts = _section(
         5,
         "REVIEW ANALYSIS",
         describe.length_summary(reviews, text),
         F.concat(F.lit("Total Reviews: "), _count(F.col("total"))),
-        F.format_string("Average Review Length: %.0f characters", F.bround("avg_length", 0)),
+        F.format_string("Average Review Length: %.0f characters", _fixed("avg_length", 0)),
         F.format_string("Review Length Range: %d - %d characters", "min_length", "max_length"),
     )
     text_bins = _listing(
@@ -135,7 +140,7 @@ def report_lines(
                     f"{label.upper()} ANALYSIS",
                     describe.summary_row(products, column, {}),
                     F.format_string(f"{label} Range: %.0f - %.0f GB", "min", "max"),
-                    F.format_string(f"Average {label}: %.1f GB", "mean"),
+                    F.format_string(f"Average {label}: %.1f GB", _fixed("mean", 1)),
                 )
             )
     if os_column in products.columns:
