@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalens.functions import text as tx
-from catalens.operators.stats import as_scalar, exact_median, quantile_row
+from catalens.operators.stats import as_scalar, column_quantiles, exact_medians
 from catalens.session import staged
 
 # ---- fixed values -----------------------------------------------------------
@@ -75,7 +75,11 @@ def to_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def fill_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Missing numbers become the exact median of their column."""
     present = [c for c in columns if c in df.columns]
-    return df.withColumns({c: F.coalesce(F.col(c), exact_median(df, c)) for c in present}) if present else df
+    return _coalesce(df, exact_medians(df, present)) if present else df
+
+
+def _coalesce(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
+    return df.withColumns({c: F.coalesce(F.col(c), default) for c, default in defaults.items()})
 
 
 def fill_zeros(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -101,9 +105,12 @@ def drop_short_content(df: DataFrame, text: str, title: str) -> DataFrame:
 
 def outlier_limits(df: DataFrame, column: str) -> DataFrame:
     """One row ``(low, high)``; open limits when there are too few rows to trim."""
-    count = as_scalar(df.agg(F.count("*").alias("n")))["n"]
-    limits = quantile_row(df, column, {"low": TRIM_LOW, "high": TRIM_HIGH})
-    enough = count > TRIM_ROWS
+    limits = column_quantiles(df, [column], [TRIM_LOW, TRIM_HIGH]).agg(
+        F.max("n").alias("n"),
+        F.min("value").alias("low"),
+        F.max("value").alias("high"),
+    )
+    enough = F.col("n") > TRIM_ROWS
     return limits.select(
         F.when(enough, F.col("low")).otherwise(F.lit(float("-inf"))).alias("low"),
         F.when(enough, F.col("high")).otherwise(F.lit(float("inf"))).alias("high"),
@@ -199,9 +206,8 @@ def clean_table(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
     after them read that table instead of cleaning and shuffling again.
     """
     present = [c for c in roles.medians if c in df.columns]
-    medians = {c: exact_median(to_numbers(df, [c]), c) for c in present}
     cleaned = clean_rows(df, roles)
-    cleaned = cleaned.withColumns({c: F.coalesce(F.col(c), medians[c]) for c in present}) if present else cleaned
+    cleaned = _coalesce(cleaned, exact_medians(to_numbers(df, present), present)) if present else cleaned
     cleaned = staged(distinct_rows(cleaned, roles.order if roles.order in df.columns else None), "clean")
     cleaned = drop_short_content(cleaned, roles.text, roles.title)
     return trim_outliers(cleaned, "price_numeric") if "price_numeric" in cleaned.columns else cleaned

@@ -28,7 +28,7 @@ def value_counts(df: DataFrame, column: str, name: str = "n") -> DataFrame:
 def column_quantiles(
     df: DataFrame, columns: Sequence[str], fractions: Sequence[float], accuracy: int = DEFAULT_ACCURACY
 ) -> DataFrame:
-    """Exact, linearly interpolated quantiles of several columns, as rows ``(name, q, value)``.
+    """Exact, linearly interpolated quantiles of several columns, as rows ``(name, q, n, value)``.
 
     A sketch brackets every wanted rank; a second pass counts what lies below
     each bracket and keeps only the distinct values inside it, about
@@ -81,7 +81,7 @@ def column_quantiles(
     value = F.col("lower") + (F.col("upper") - F.col("lower")) * (rank - F.floor(rank))
     missed = (F.col("below") > F.floor(rank)) | F.col("upper").isNull()
     checked = F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank; raise accuracy")).cast("double"))
-    return picked.select("name", "q", checked.otherwise(value).alias("value"))
+    return picked.select("name", "q", "n", checked.otherwise(value).alias("value"))
 
 
 def exact_quantiles(
@@ -99,9 +99,11 @@ def quantile_row(
     return rows.agg(*[F.max(F.when(F.col("q") == float(q), F.col("value"))).alias(n) for n, q in names.items()])
 
 
-def exact_median(df: DataFrame, column: str, accuracy: int = DEFAULT_ACCURACY) -> Column:
-    """Median of a column as a scalar."""
-    return as_scalar(quantile_row(df, column, {"median": 0.5}, accuracy))["median"]
+def exact_medians(df: DataFrame, columns: Sequence[str], accuracy: int = DEFAULT_ACCURACY) -> dict[str, Column]:
+    """Medians of several columns as scalars, from one pair of passes."""
+    rows = column_quantiles(df, columns, [0.5], accuracy)
+    at = as_scalar(rows.agg(*[F.max(F.when(F.col("name") == c, F.col("value"))).alias(c) for c in columns]))
+    return {c: at[c] for c in columns}
 
 
 def summary_rows(
