@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 # Whitespace and word classes follow Unicode, as in Python's `re`.
 SPACE_CLASS = r"[\s\x0B\x1c-\x1f\x{85}\p{Z}]"
 TAG_PATTERN = r"<[^>]+>"
-JUNK_PATTERN = r"[^\p{L}\p{N}_\s\p{Z}.,!?-]"
+# Plain letters and marks come first: Java tests a class from left to right.
+JUNK_PATTERN = r"[^a-zA-Z0-9_ .,!?\-\p{L}\p{N}\s\p{Z}]"
+# What collapsing whitespace has to change: runs, and single blanks other than a plain one.
+SPACE_RUN_PATTERN = SPACE_CLASS + r"{2,}|[\s\x0B\x1c-\x1f\x{85}\p{Z}&&[^ ]]"
 PRICE_JUNK_PATTERN = r"[^\d.,]"
 UNICODE_SPACES = (
     "\x0b\x1c\x1d\x1e\x1f\x85\xa0        "
@@ -38,7 +41,7 @@ def parse_price(col: Column) -> Column:
 def clean_text(col: Column) -> Column:
     """Drop tags, collapse whitespace, keep word characters and `.,!?-`."""
     text = F.regexp_replace(F.coalesce(col.cast("string"), F.lit("")), TAG_PATTERN, "")
-    text = F.regexp_replace(text, SPACE_CLASS + "+", " ")
+    text = F.regexp_replace(text, SPACE_RUN_PATTERN, " ")
     return F.trim(F.regexp_replace(text, JUNK_PATTERN, ""))
 
 
@@ -86,7 +89,7 @@ def title_case(col: Column) -> Column:
 
 
 def _collapse(col: Column) -> Column:
-    return F.trim(F.regexp_replace(col, SPACE_CLASS + "+", " "))
+    return F.trim(F.regexp_replace(col, SPACE_RUN_PATTERN, " "))
 
 
 def normalize_cpu_name(col: Column) -> Column:

@@ -92,7 +92,7 @@ def fill_false(df: DataFrame, column: str) -> DataFrame:
 
 def parse_prices(df: DataFrame, column: str, target: str = "price_numeric") -> DataFrame:
     """Parsed price; rows without a readable price are dropped."""
-    return df.withColumn(target, tx.parse_price(F.col(column))).where(F.col(target).isNotNull())
+    return with_once(df, {target: tx.parse_price(F.col(column))}).where(F.col(target).isNotNull())
 
 
 def short_content(text: Column, title: Column) -> Column:
@@ -134,7 +134,8 @@ def distinct_rows(df: DataFrame, order: str | None = None) -> DataFrame:
     """Whole-row distinct; ``order`` is not compared and keeps its smallest value.
 
     Equal rows are combined before the shuffle, so one value repeated in a
-    third of the table costs one row per task.
+    third of the table costs one row per task. A numeric ``order`` keeps this a
+    hash aggregation; a text order or a map column makes Spark sort.
     """
     compared = [c for c in df.columns if c != order]
     maps = [c for c in compared if isinstance(df.schema[c].dataType, T.MapType)]
@@ -173,11 +174,8 @@ def split_products_reviews(
     return products.select(*wanted), select_existing(df, review_columns)
 
 
-def clean_rows(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
-    """The row-wise part of cleaning: categories, numbers, texts, flags, prices.
-
-    Medians are left as NULL here, so this also runs on a streaming table.
-    """
+def compared_rows(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
+    """Categories, numbers, prices, texts and flags cleaned row by row."""
     df = fill_categories(df, roles.categories)
     df = to_numbers(df, [*roles.medians, *roles.zeros])
     df = fill_zeros(df, roles.zeros)
@@ -185,38 +183,50 @@ def clean_rows(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
         df = parse_prices(df, roles.price)
     texts = {c: tx.clean_text(F.col(c)) for c in roles.texts if c in df.columns}
     df = with_once(df, texts) if texts else df
-    df = fill_false(df, roles.verified)
+    return fill_false(df, roles.verified)
+
+
+def content_columns(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
+    """`features_clean` and `details_parsed`: copies of other columns in another form."""
     if roles.features in df.columns:
-        feature_type = df.schema[roles.features].dataType
-        joined = tx.join_features(F.col(roles.features)) if isinstance(feature_type, T.ArrayType) else F.col(roles.features)
-        df = df.withColumn("features_clean", joined)
+        is_list = isinstance(df.schema[roles.features].dataType, T.ArrayType)
+        df = df.withColumn("features_clean", tx.join_features(F.col(roles.features)) if is_list else F.col(roles.features))
     if roles.details in df.columns:
-        parsed = F.col(roles.details)
-        if isinstance(df.schema[roles.details].dataType, T.StringType):
-            parsed = tx.parse_details(parsed)
-        df = df.withColumn("details_parsed", parsed)
+        is_text = isinstance(df.schema[roles.details].dataType, T.StringType)
+        df = df.withColumn("details_parsed", tx.parse_details(F.col(roles.details)) if is_text else F.col(roles.details))
     return df
 
 
+def clean_rows(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
+    """All row-wise cleaning. Medians stay missing, so it also runs on a stream."""
+    return content_columns(compared_rows(df, roles), roles)
+
+
+def _order(df: DataFrame, roles: Roles) -> str | None:
+    return roles.order if roles.order in df.columns else None
+
+
 def clean_table(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
     """Full cleaning: impute, parse, clean texts, deduplicate, drop short rows, trim prices.
 
     Medians are taken over the raw table, before unpriced rows go. The
     deduplicated rows are written out once: the price limits and everything
     after them read that table instead of cleaning and shuffling again.
+    Columns that only repeat another one are added after the shuffle.
     """
     present = [c for c in roles.medians if c in df.columns]
-    cleaned = clean_rows(df, roles)
+    cleaned = compared_rows(df, roles)
     cleaned = _coalesce(cleaned, exact_medians(to_numbers(df, present), present)) if present else cleaned
-    cleaned = staged(distinct_rows(cleaned, roles.order if roles.order in df.columns else None), "clean")
+    cleaned = staged(distinct_rows(cleaned, _order(df, roles)), "clean")
     cleaned = drop_short_content(cleaned, roles.text, roles.title)
-    return trim_outliers(cleaned, "price_numeric") if "price_numeric" in cleaned.columns else cleaned
+    cleaned = trim_outliers(cleaned, "price_numeric") if "price_numeric" in cleaned.columns else cleaned
+    return content_columns(cleaned, roles)
 
 
 def step_audit(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
     """Rows in, rows out and rows removed for every dropping step of cleaning."""
     priced = parse_prices(df, roles.price)
-    unique = staged(distinct_rows(clean_rows(df, roles), roles.order if roles.order in df.columns else None), "audit")
+    unique = staged(distinct_rows(compared_rows(df, roles), _order(df, roles)), "audit")
     long_enough = drop_short_content(unique, roles.text, roles.title)
     trimmed = trim_outliers(long_enough, "price_numeric")
     names = ["price", "duplicates", "short_content", "outliers"]

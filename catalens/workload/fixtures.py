@@ -88,8 +88,7 @@ JOIN (SELECT asin, avg(rating) AS average_rating, count(*) AS rating_number FROM
 
 # Wide review table: one row per line item, some rows repeated, product columns repeated per review.
 WIDE = f"""
-SELECT lpad(CAST(l.l_orderkey AS STRING), 12, '0') || '-' || CAST(l.l_linenumber AS STRING) || '-' || lpad(CAST(l.l_partkey AS STRING), 12, '0')
-    || '-' || lpad(CAST(l.l_suppkey AS STRING), 12, '0') || '-' || CAST(l.copy AS STRING) AS row_id, CAST(p.p_partkey AS STRING) AS asin, 'P' || CAST(p.p_size AS STRING) AS parent_asin,
+SELECT ((l.l_orderkey * 10 + l.l_linenumber) * 1000000000 + l.l_partkey * 1000 + l.l_suppkey % 1000) * 2 + l.copy AS row_id, CAST(p.p_partkey AS STRING) AS asin, 'P' || CAST(p.p_size AS STRING) AS parent_asin,
   CASE WHEN l.l_linenumber = 7 THEN NULL ELSE 'U' || CAST(o.o_custkey AS STRING) END AS user_id,
   l.l_shipdate AS timestamp,
   CASE l.l_linenumber WHEN 5 THEN NULL WHEN 6 THEN 'n/a' ELSE CAST(1 + (l.l_orderkey + l.l_linenumber) % 5 AS STRING) END AS rating,
@@ -172,7 +171,7 @@ TABLES = (
 ).split()
 
 
-LARGE_TABLES = ("lineitem", "documents", "pages")
+LARGE_TABLES = ("lineitem", "orders", "part", "documents", "pages", "conversations", "events")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
