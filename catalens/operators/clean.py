@@ -206,7 +206,7 @@ def _order(df: DataFrame, roles: Roles) -> str | None:
     return roles.order if roles.order in df.columns else None
 
 
-def clean_table(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
+def clean_table(df: DataFrame, roles: Roles = Roles(), trim: bool = True) -> DataFrame:
     """Full cleaning: impute, parse, clean texts, deduplicate, drop short rows, trim prices.
 
     Medians are taken over the raw table, before unpriced rows go. The
@@ -219,7 +219,8 @@ def clean_table(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
     cleaned = _coalesce(cleaned, exact_medians(to_numbers(df, present), present)) if present else cleaned
     cleaned = staged(distinct_rows(cleaned, _order(df, roles)), "clean")
     cleaned = drop_short_content(cleaned, roles.text, roles.title)
-    cleaned = trim_outliers(cleaned, "price_numeric") if "price_numeric" in cleaned.columns else cleaned
+    if trim and "price_numeric" in cleaned.columns:
+        cleaned = trim_outliers(cleaned, "price_numeric")
     return content_columns(cleaned, roles)
 
 
