@@ -12,8 +12,8 @@ TAG_PATTERN = r"<[^>]+>"
 JUNK_PATTERN = r"[^\p{L}\p{N}_\s\p{Z}.,!?-]"
 PRICE_JUNK_PATTERN = r"[^\d.,]"
 UNICODE_SPACES = (
-    "\x0b\x1c\x1d\x1e\x1f\x85\xa0        "
-    "        　"
+    "\x0b\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 CPU_NOISE = ["processor", "cpu", "apu", "dual", "quad"]
 CPU_CLOCK_PATTERN = r"@\s*\d+\.?\d*ghz"

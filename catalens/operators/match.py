@@ -165,8 +165,10 @@ def pattern_hits(texts: DataFrame, key: str, text: str, patterns: DataFrame, gra
 def best_match(texts: DataFrame, key: str, text: str, patterns: DataFrame, gram: int = GRAM) -> DataFrame:
     """Best dictionary name per text by covered share of the text; first in order wins ties.
 
-    Texts without any name are absent.
+    Texts without any name are absent. Names that differ only in case are one
+    name, the first in order, so repeated names are not matched again.
     """
+    patterns = patterns.groupBy(F.lower("name")).agg(F.min_by("name", "ord").alias("name"), F.min("ord").alias("ord"))
     hits = pattern_hits(texts, key, text, patterns, gram)
     share = F.length("pattern") * F.col("hits") / F.col("size")
     return hits.groupBy(key).agg(

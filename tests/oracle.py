@@ -46,9 +46,9 @@ def _rows(columns, rows):
     return sorted([tuple(_value(row[i]) for i in order) for row in rows], key=repr)
 
 
-def compare(spark, connection, folder: str, name: str) -> str | None:
+def compare(spark, connection, folder: str, name: str, frame=None) -> str | None:
     """None if equal, else what differs."""
-    frame = entry.queries()[name](spark, folder)
+    frame = frame if frame is not None else entry.queries()[name](spark, folder)
     rows = _rows(frame.columns, [tuple(r) for r in frame.collect()])
     sql = entry.oracle_sql().get(name)
     if sql is None:

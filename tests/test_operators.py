@@ -123,7 +123,7 @@ def test_best_match_equals_brute_force(spark, monkeypatch, small):
 def test_score_from_text_order_of_resort(spark):
     scores = spark.createDataFrame([("core i5-1135g7", 9900, 0), ("celeron", 1500, 1), ("core i9", 21000, 2), ("snapdragon", 77, 3)], "name string, score int, ord int")
     rows = [
-        (1, "Intel Core i5-1135G7 laptop", 9900, "exact"),
+        (1, "Intel Core i5-1135G7 notebook", 9900, "exact"),
         (2, "Intel Celeron N4020", 1500, "family"),
         (3, "core i9", 21000, "fuzzy"),
         (4, "with a core i7 inside and a long description of everything else", 3000, "keyword_fallback"),

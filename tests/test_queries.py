@@ -18,17 +18,14 @@ def connection(folder):
 
 
 @pytest.mark.parametrize("name", NAMES)
-def test_query_equals_sql(spark, connection, folder, name):
-    assert oracle.compare(spark, connection, folder, name) is None
-
-
-@pytest.mark.parametrize("name", NAMES)
-def test_plan_is_distributed(spark, folder, name):
-    plan = entry.queries()[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+def test_query(spark, connection, folder, name):
+    frame = entry.queries()[name](spark, folder)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
     if name not in PYTHON_ALLOWED:
         assert not re.search(r"BatchEvalPython|ArrowEvalPython|MapInPandas|FlatMapGroups", plan)
+    assert oracle.compare(spark, connection, folder, name, frame) is None
 
 
 def test_entry_runs(spark, folder):
