@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalens.llm import line_dedup, sharding
+from catalens.llm import byte_bpe, line_dedup, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +57,11 @@ ORACLES["op4_line_dedup"] = f"""
 WITH {LINE_DEDUP_SQL.format(docs="documents")}
 SELECT doc_id, n_lines, n_dropped, sha256(text) AS kept_sha256 FROM line_kept
 """
+
+
+@_query
+def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = byte_bpe.encode(_table(spark, folder).select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    decoded = byte_bpe.decode(encoded.select("doc_id", "n_tokens", "ids"), ranks)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
