@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 2_000_000
 _CHUNK = 1 << 20
@@ -135,7 +136,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0)
+        sizes = pc.binary_length(batch.column(column)).fill_null(0)
         total = np.cumsum(sizes.to_numpy(zero_copy_only=False))
         at = 0
         while at < batch.num_rows:
