@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalens.llm import byte_bpe, line_dedup, sharding
+from catalens.llm import byte_bpe, fertility, line_dedup, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,10 @@ def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     encoded = byte_bpe.encode(_table(spark, folder).select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
     decoded = byte_bpe.decode(encoded.select("doc_id", "n_tokens", "ids"), ranks)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_query
+def op7_fertility(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder).select("doc_id", "lang", "text")
+    paths = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model")
+    return fertility.fertility_rules(docs, *paths).drop("text", "lang")
