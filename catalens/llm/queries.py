@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalens.llm import byte_bpe, fertility, line_dedup, sharding
+from catalens.llm import byte_bpe, fertility, line_dedup, quality_classifier, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,14 @@ def op7_fertility(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder).select("doc_id", "lang", "text")
     paths = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model")
     return fertility.fertility_rules(docs, *paths).drop("text", "lang")
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality_classifier.Model:
+    return quality_classifier.fit(docs, labels, F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+
+
+@_query
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder).select("doc_id", "text")
+    scored = quality_classifier.score(docs, quality_model(docs, _table(spark, folder, "labels")))
+    return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted")

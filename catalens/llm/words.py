@@ -29,6 +29,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Offsets that make one hash several.
+STEPS = np.arange(1, 17, dtype=np.uint64) * _STEP
+
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[list(_SEPARATORS)] = False
 _EXACT = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
