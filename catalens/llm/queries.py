@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalens.llm import byte_bpe, fertility, line_dedup, quality_classifier, sharding
+from catalens.llm import byte_bpe, fertility, license_scan, line_dedup, quality_classifier, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +83,9 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder).select("doc_id", "text")
     scored = quality_classifier.score(docs, quality_model(docs, _table(spark, folder, "labels")))
     return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted")
+
+
+@_query
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder).select("doc_id", "text")
+    return license_scan.scan(docs, license_scan.train(docs))
