@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalens.llm import byte_bpe, fertility, license_scan, line_dedup, quality_classifier, sharding
+from catalens.llm import byte_bpe, decontamination, fertility, license_scan, line_dedup, quality_classifier, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,8 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder).select("doc_id", "text")
     return license_scan.scan(docs, license_scan.train(docs))
+
+
+@_query
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.find_overlaps(_table(spark, folder), _table(spark, folder, "benchmark")).drop("text_hash")

@@ -34,6 +34,8 @@ STEPS = np.arange(1, 17, dtype=np.uint64) * _STEP
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[list(_SEPARATORS)] = False
+#: Letters, digits and all bytes beyond ASCII: words without punctuation.
+ALPHANUMERIC = np.array([chr(b).isalnum() and b < 128 or b >= 128 for b in range(256)])
 _EXACT = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
 _EXACT[list(_SEPARATORS)] = 0
 _LOWER = _EXACT.copy()
@@ -49,6 +51,7 @@ class Texts:
     starts: np.ndarray
     ends: np.ndarray
     first: np.ndarray  # per document the index of its first word; one more entry at the end
+    inside: np.ndarray  # which byte values words are made of
 
     def __len__(self) -> int:
         return len(self.offsets) - 1
@@ -61,7 +64,7 @@ class Texts:
 
     def hashes(self, lower: bool) -> np.ndarray:
         """A 64-bit hash of every word; ``lower`` takes A-Z as a-z."""
-        table = _LOWER if lower else _EXACT
+        table = (_LOWER if lower else _EXACT) * self.inside
         out = np.empty(len(self.starts), np.uint64)
         at = 0
         while at < len(out):
@@ -80,7 +83,7 @@ class Texts:
 
     def characters(self) -> np.ndarray:
         """Code points per document inside words."""
-        lead = ((self.data & 0xC0) != 0x80) & _IS_WORD[self.data]
+        lead = ((self.data & 0xC0) != 0x80) & self.inside[self.data]
         total = np.concatenate([[0], np.cumsum(lead)])
         return total[self.offsets[1:]] - total[self.offsets[:-1]]
 
@@ -103,7 +106,7 @@ def _powers(count: int) -> np.ndarray:
     return _POWERS
 
 
-def split(column: pa.Array) -> Texts:
+def split(column: pa.Array, word_bytes: np.ndarray = _IS_WORD) -> Texts:
     """The words of a string column; a null is a text without words."""
     column = column.cast(pa.large_string()).fill_null("")
     _, offsets, data = column.buffers()
@@ -112,7 +115,7 @@ def split(column: pa.Array) -> Texts:
     data = data[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
     inside = np.zeros(len(data) + 1, bool)
-    inside[:-1] = _IS_WORD[data]
+    inside[:-1] = word_bytes[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     cut = offsets[:-1][offsets[:-1] < len(data)]
@@ -121,7 +124,7 @@ def split(column: pa.Array) -> Texts:
     closes = inside[:-1] & ~inside[1:]
     last = offsets[1:][offsets[1:] > 0] - 1
     closes[last] = inside[last]
-    return Texts(data, offsets, starts, np.flatnonzero(closes) + 1, np.searchsorted(starts, offsets))
+    return Texts(data, offsets, starts, np.flatnonzero(closes) + 1, np.searchsorted(starts, offsets), word_bytes)
 
 
 def grams(hashes: np.ndarray, width: int) -> np.ndarray:
