@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalens.llm import byte_bpe, decontamination, fertility, license_scan, line_dedup, quality_classifier, sharding
+from catalens.llm import byte_bpe, decontamination, fertility, license_scan, line_dedup, ngram_join, quality_classifier, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +94,8 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.find_overlaps(_table(spark, folder), _table(spark, folder, "benchmark")).drop("text_hash")
+
+
+@_query
+def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.link_documents(_table(spark, folder))
