@@ -28,12 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalens.llm import words
+from catalens.llm import blocks, words
 from catalens.session import staged
 
 MASKS = ("110110101111", "111010010111", "101111001101")
 SHORT = 5
-_BLOCKS = 16
 
 
 def _seeds(hashes: np.ndarray, number: int, mask: str) -> np.ndarray:
@@ -86,17 +85,11 @@ def _filters(bits: int):
         for batch in batches:
             for place in _places(batch.column("seed").to_numpy(zero_copy_only=False).view(np.uint64), bits):
                 table[place] = True
-        parts = [np.packbits(x).tobytes() for x in np.split(table, _BLOCKS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), pa.array(parts, pa.binary())], ["block", "bits"])
+        yield blocks.cut(np.packbits(table), 16)
 
     return run
 
 
-def _either(table: pa.Table) -> pa.Table:
-    found = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table["bits"].to_pylist()])
-    return pa.table({"block": table["block"].slice(0, 1), "bits": pa.array([found.tobytes()], pa.binary())})
-
-
 def _regions(shared, bits: int, reach: int):
     """Places that pass the filter, with the words around them up to an item's length."""
 
@@ -185,8 +178,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, mi
     named = staged(raw.mapInArrow(_items, "item_id long, tokens binary"), "benchmark-items")
     items = staged(named.where(F.length("tokens") > 0).groupBy("tokens").agg(F.min(F.coalesce("item_id", F.lit(-1))).alias("item")), "benchmark-distinct")
     seeds = staged(items.mapInArrow(_seed_rows, "seed long, item long, item_at int"), "benchmark-seeds")
-    parts = seeds.mapInArrow(_filters(filter_bits), "block int, bits binary").groupBy("block").applyInArrow(_either, "block int, bits binary").collect()
-    packed = b"".join(r.bits for r in sorted(parts, key=lambda r: r.block)) or bytes(1 << filter_bits - 3)
+    found = blocks.folded(seeds.mapInArrow(_filters(filter_bits), blocks.SCHEMA), np.bitwise_or, np.uint8)
+    packed = bytes(1 << filter_bits - 3) if found is None else found.tobytes()
     # The filter has a fixed size, however long the benchmark is.
     shared = spark.sparkContext.broadcast(packed)
     reach = (items.agg(F.max(F.length("tokens"))).first()[0] or 0) // 8

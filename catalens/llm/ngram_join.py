@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalens.llm import words
+from catalens.llm import blocks, words
 from catalens.llm.components import components
 from catalens.llm.shared_keys import shared_entries
 from catalens.session import staged
@@ -118,22 +118,16 @@ def _whole_sets(shared, bits: int, width: int):
     return run
 
 
-def _filter_parts(bits: int, blocks: int):
+def _filter_parts(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << bits, bool)
         for batch in batches:
             table[batch.column("class").to_numpy() & (1 << bits) - 1] = True
-        parts = [np.packbits(x).tobytes() for x in np.split(table, blocks)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array(parts, pa.binary())], ["block", "bits"])
+        yield blocks.cut(np.packbits(table), 16)
 
     return run
 
 
-def _either(table: pa.Table) -> pa.Table:
-    found = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table["bits"].to_pylist()])
-    return pa.table({"block": table["block"].slice(0, 1), "bits": pa.array([found.tobytes()], pa.binary())})
-
-
 def _bitmap(tokens: np.ndarray) -> bytes:
     """A bit for every token; four to eight bits a token, always a power of two."""
     bits = 1 << max(8, min(16, int(4 * len(tokens) - 1).bit_length()))
@@ -254,12 +248,12 @@ def class_links(docs: DataFrame, width: int = 5, chunk: int = 2048, filter_bits:
     able = shared.groupBy("class", "n").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least)
     alive = shared.join(able.select("class"), "class")
     # Tokens held by the same classes are one block; a block's name comes from its members.
-    blocks = alive.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("class").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("class")).alias("x")).where("k > 1")
-    named = blocks.select("token", "k", F.xxhash64("k", "s", "x").alias("block"))
+    held = alive.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("class").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("class")).alias("x")).where("k > 1")
+    named = held.select("token", "k", F.xxhash64("k", "s", "x").alias("block"))
     members = staged(alive.join(named, "token").select("block", "class", "k").distinct(), "ngram-blocks")
-    parts = members.select("class").distinct().mapInArrow(_filter_parts(filter_bits, 16), "block int, bits binary").groupBy("block").applyInArrow(_either, "block int, bits binary").collect()
+    found = blocks.folded(members.select("class").distinct().mapInArrow(_filter_parts(filter_bits), blocks.SCHEMA), np.bitwise_or, np.uint8)
     # A filter of fixed size; what passes it beside the wanted classes is never joined.
-    wanted = spark.sparkContext.broadcast(b"".join(r.bits for r in sorted(parts, key=lambda r: r.block)) or bytes(1 << filter_bits - 3))
+    wanted = spark.sparkContext.broadcast(bytes(1 << filter_bits - 3) if found is None else found.tobytes())
     tokens = staged(docs.select("text").mapInArrow(_whole_sets(wanted, filter_bits, width), "class long, tokens binary").dropDuplicates(["class"]), "ngram-sets")
     bitmaps = staged(tokens.mapInArrow(_bitmaps, "class long, n long, bitmap binary"), "ngram-bitmaps")
 

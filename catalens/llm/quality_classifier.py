@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalens.llm import words
+from catalens.llm import blocks, words
 from catalens.session import staged
 
 _IS_SYMBOL = np.zeros(256, bool)
@@ -144,21 +144,16 @@ def features(column: pa.Array, shape: Shape, table: np.ndarray) -> np.ndarray:
     return np.hstack([pooled / n, extra])
 
 
-def _partial_tables(shape: Shape, blocks: int, text_col: str):
+def _partial_tables(shape: Shape, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((shape.rows, shape.dimensions), np.int32)
         for batch in words.slices(batches, text_col, 1_000_000):
             _context(batch.column(text_col), shape, table)
-        yield pa.RecordBatch.from_pydict({"block": pa.array(range(blocks), pa.int32()), "sums": pa.array([x.tobytes() for x in np.array_split(table, blocks)], pa.binary())})
+        yield blocks.cut(table.astype(np.int64).ravel(), 16)
 
     return run
 
 
-def _add(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in table["sums"].to_pylist())
-    return pa.table({"block": table["block"].slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
-
-
 def _train(x: np.ndarray, y: np.ndarray, table: np.ndarray, shape: Shape) -> Model:
     random = np.random.default_rng(shape.seed)
     width = x.shape[1]
@@ -202,10 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, shape: Shape = Shape(
     # At most ``max_train`` rows of two numbers.
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
     sample = staged(known.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")), "quality-sample")
-    blocks = 16
-    parts = sample.select("text").mapInArrow(_partial_tables(shape, blocks, "text"), "block int, sums binary")
-    sums = {r.block: r.sums for r in parts.groupBy("block").applyInArrow(_add, "block int, sums binary").collect()}
-    table = np.concatenate([np.frombuffer(sums[b], np.int64) for b in range(blocks)]) if sums else np.zeros(shape.rows * shape.dimensions)
+    sums = blocks.folded(sample.select("text").mapInArrow(_partial_tables(shape, "text"), blocks.SCHEMA), np.add, np.int64)
+    table = np.zeros(shape.rows * shape.dimensions) if sums is None else sums
     table = table.reshape(shape.rows, shape.dimensions).astype(np.float32)
     table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1)
     shared = docs.sparkSession.sparkContext.broadcast(table)
