@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalens.llm import byte_bpe, decontamination, fertility, language_model, license_scan, line_dedup, ngram_join, quality_classifier, sharding
+from catalens.llm import byte_bpe, decontamination, fertility, language_model, license_scan, line_dedup, ngram_join, quality_classifier, sharding, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +105,9 @@ def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 def op6_language_model(spark: SparkSession, folder: str) -> DataFrame:
     scored = language_model.score(_table(spark, folder), F.crc32(F.col("doc_id").cast("string")) % 10 != 0)
     return scored.select("doc_id", (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@_query
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(_table(spark, folder))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
