@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalens.functions import bins
-from catalens.operators.stats import as_scalar, exact_quantiles, histogram, quantile_row, summary_row, summary_rows
+from catalens.operators.stats import as_scalar, exact_quantiles, histogram, number, quantile_row, summary_row, summary_rows
 
 # ---- fixed values -----------------------------------------------------------
 PRICE_CANDIDATES = ["price_myr", "price_usd", "price_numeric", "price"]
@@ -52,7 +52,7 @@ def bin_counts(df: DataFrame, column: str, labels: Sequence[str]) -> DataFrame:
 def group_ratings(df: DataFrame, group: str, rating: str, top: int = TOP_BRANDS) -> DataFrame:
     """Mean and count of a rating per group, biggest groups first."""
     grouped = df.where(F.col(group).isNotNull()).groupBy(group).agg(
-        F.avg(rating).alias("mean_rating"), F.count(rating).alias("n")
+        F.avg(number(rating)).alias("mean_rating"), F.count(number(rating)).alias("n")
     )
     return grouped.orderBy(F.desc("n"), group).limit(top)
 
@@ -73,7 +73,7 @@ def rating_summary(df: DataFrame, column: str) -> DataFrame:
 
 
 def vote_summary(df: DataFrame, column: str) -> DataFrame:
-    votes = F.col(column).cast("double")
+    votes = number(column)
     return df.agg(F.sum(votes).alias("total_votes"), F.avg(votes).alias("avg_votes"), F.max(votes).alias("max_votes"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from catalens.functions import text as tx
 from catalens.functions.bins import date_parts, to_moment
 from catalens.operators.clean import select_existing
-from catalens.operators.stats import as_scalar
+from catalens.operators.stats import as_scalar, number
 from catalens.session import staged
 
 # ---- fixed values -----------------------------------------------------------
@@ -34,8 +34,8 @@ def fit_minmax(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     limits = [
         F.struct(
             F.lit(c).alias("column"),
-            F.min(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias("min"),
-            F.max(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias("max"),
+            F.min(F.coalesce(number(c), F.lit(0.0))).alias("min"),
+            F.max(F.coalesce(number(c), F.lit(0.0))).alias("max"),
         )
         for c in columns
     ]
@@ -52,7 +52,7 @@ def apply_minmax(df: DataFrame, scaler: DataFrame, columns: Sequence[str], suffi
 
     def scaled(i: int, c: str) -> Column:
         lo, hi = at[f"lo_{i}"], at[f"hi_{i}"]
-        shifted = F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - lo
+        shifted = F.coalesce(number(c), F.lit(0.0)) - lo
         return F.when(hi == lo, F.lit(0.0)).otherwise(shifted / (hi - lo))
 
     return df.withColumns({c + suffix: scaled(i, c) for i, c in enumerate(columns)})

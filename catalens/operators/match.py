@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 from catalens.functions import bins, specs
 from catalens.functions import text as tx
 from catalens.operators.clean import with_once
-from catalens.operators.stats import as_scalar
-from catalens.session import is_small, staged
+from catalens.session import staged
 
 GRAM = 4
 
@@ -137,9 +136,8 @@ def pattern_hits(texts: DataFrame, key: str, text: str, patterns: DataFrame, gra
 
     Exact and without a text-by-dictionary product: a name can only occur in a
     text that holds the name's rarest n-gram, so text and names meet in an
-    equi-join on n-grams and `contains` settles the rest. A dictionary of
-    measured small size goes to the tasks, which then explode only the n-grams
-    they share with it; a larger one is joined by shuffling keys and n-grams.
+    equi-join on n-grams and `contains` settles the rest. Whether the dictionary
+    is sent to the tasks or shuffled is left to adaptive execution.
     """
     names = patterns.select(F.col("name").alias("pattern"), F.lower("name").alias("low"), "ord")
     keyed = staged(_rarest_grams(names, gram), "dictionary")
@@ -150,13 +148,8 @@ def pattern_hits(texts: DataFrame, key: str, text: str, patterns: DataFrame, gra
     kinds = [w for w in range(1, gram) if lengths[w - 1]] + [gram]
     found = F.array_distinct(F.concat(*[tx.grams(body, w) for w in kinds]))
 
-    if is_small(keyed):
-        wanted = as_scalar(keyed.agg(F.collect_set("gram").alias("grams")))["grams"]
-        shared = base.select(key, "__text", F.explode(F.array_intersect(found, wanted)).alias("gram"))
-        met = shared.join(F.broadcast(keyed), "gram")
-    else:
-        pairs = base.select(key, F.explode(found).alias("gram")).join(keyed, "gram").drop("gram").distinct()
-        met = pairs.join(base, key)
+    pairs = base.select(key, F.explode(found).alias("gram")).join(keyed, "gram").drop("gram").distinct()
+    met = pairs.join(base, key)
     return met.where(body.contains(F.col("low"))).select(
         key, "pattern", "ord", tx.count_occurrences(body, F.col("low")).alias("hits"), F.length(body).alias("size")
     )

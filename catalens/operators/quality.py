@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalens.operators.stats import missing as absent
+
 # ---- fixed values -----------------------------------------------------------
 VALID_RAM = (1, 128)
 VALID_STORAGE = (16, 8192)
@@ -79,7 +81,7 @@ def validity_summary(df: DataFrame, ram: Range = RAM, storage: Range = STORAGE)
 
 def handle_invalid(df: DataFrame, action: str = "drop") -> DataFrame:
     if action not in ACTIONS:
-        raise ValueError(f'Invalid action: {action}. Use "drop" or "mark".')
+        raise ValueError(f"unknown action {action!r}, expected one of {sorted(ACTIONS)}")
     return drop_invalid(df) if action == "drop" else mark_invalid(df)
 
 
@@ -91,7 +93,7 @@ def null_profile(df: DataFrame) -> DataFrame:
             F.lit(name).alias("column"),
             F.lit(kind).alias("type"),
             F.count("*").alias("rows"),
-            F.count_if(F.col(name).isNull()).alias("missing"),
+            F.count_if(absent(df, name)).alias("missing"),
         )
         for position, (name, kind) in enumerate(df.dtypes)
     ]
@@ -101,7 +103,7 @@ def null_profile(df: DataFrame) -> DataFrame:
 def missing_share(df: DataFrame) -> DataFrame:
     """Rows, columns, missing cells and their percentage, in one pass."""
     width = len(df.columns)
-    cells = sum((F.col(name).isNull().cast("bigint") for name in df.columns), F.lit(0).cast("bigint"))
+    cells = sum((absent(df, name).cast("bigint") for name in df.columns), F.lit(0).cast("bigint"))
     base = df.agg(F.count("*").alias("total_rows"), F.coalesce(F.sum(cells), F.lit(0)).alias("missing_values"))
     share = F.try_divide(F.col("missing_values") * 100.0, F.col("total_rows") * F.lit(width))
     return base.select("total_rows", F.lit(width).alias("total_columns"), "missing_values", share.alias("missing_percentage"))

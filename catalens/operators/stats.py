@@ -20,6 +20,18 @@ def as_scalar(one_row: DataFrame) -> Column:
     return one_row.select(F.struct(*one_row.columns)).scalar()
 
 
+def number(column: str | Column) -> Column:
+    """A column as double with NaN as missing, for every statistic."""
+    value = (F.col(column) if isinstance(column, str) else column).cast("double")
+    return F.when(~F.isnan(value), value)
+
+
+def missing(df: DataFrame, name: str) -> Column:
+    """Whether a cell is missing: NULL, or NaN in a floating-point column."""
+    absent = F.col(name).isNull()
+    return absent | F.isnan(name) if dict(df.dtypes)[name] in ("double", "float") else absent
+
+
 def value_counts(df: DataFrame, column: str, name: str = "n") -> DataFrame:
     """Rows per non-missing value."""
     return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias(name))
@@ -36,8 +48,7 @@ def column_quantiles(
     ``accuracy``. No task holds more than that, however many rows or distinct
     values there are. A bracket that misses its rank raises.
     """
-    numbers = [F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]
-    values = df.select(*[F.when(~F.isnan(n), n).alias(f"v{i}") for i, n in enumerate(numbers)])
+    values = df.select(*[number(c).alias(f"v{i}") for i, c in enumerate(columns)])
     slack = 3.0 / accuracy
     edges = [edge for q in fractions for edge in (max(0.0, q - slack), min(1.0, q + slack))]
     sketch = as_scalar(
@@ -119,15 +130,15 @@ def summary_rows(
     quantiles = {"median": 0.5} if quantiles is None else quantiles
 
     def entry(label: str, column: str) -> Column:
-        number = F.col(column).cast("double")
+        value = number(column)
         return F.struct(
             F.lit(label).alias("name"),
-            F.count(number).alias("found"),
+            F.count(value).alias("found"),
             F.count("*").alias("total"),
-            F.min(number).alias("min"),
-            F.max(number).alias("max"),
-            F.avg(number).alias("mean"),
-            F.stddev_samp(number).alias("std"),
+            F.min(value).alias("min"),
+            F.max(value).alias("max"),
+            F.avg(value).alias("mean"),
+            F.stddev_samp(value).alias("std"),
         )
 
     entries = F.array(*[entry(label, column) for label, column in columns.items()])
@@ -152,16 +163,17 @@ def summary_row(
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """Equal-width histogram with a closed last bin: ``(bin, bin_lo, bin_hi, n)``.
 
-    Empty bins are kept. A constant column spans half a unit on both sides.
+    Empty bins are kept, missing values are not counted. A constant column spans
+    half a unit on both sides.
     """
-    number = F.col(column).cast("double")
-    raw = as_scalar(df.agg(F.min(number).alias("lo"), F.max(number).alias("hi")))
+    value = number(column)
+    raw = as_scalar(df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")))
     constant = raw["lo"] == raw["hi"]
     lo = F.when(constant, raw["lo"] - 0.5).otherwise(raw["lo"])
     hi = F.when(constant, raw["hi"] + 0.5).otherwise(raw["hi"])
     counted = (
-        df.where(number.isNotNull())
-        .select(F.least(F.floor((number - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int").alias("bin"))
+        df.where(value.isNotNull())
+        .select(F.least(F.floor((value - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int").alias("bin"))
         .groupBy("bin")
         .agg(F.count("*").alias("n"))
     )

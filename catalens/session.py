@@ -43,24 +43,6 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-BROADCAST_BYTES = 32 * 1024 * 1024
-
-
-def measured_bytes(df: DataFrame) -> int:
-    """Approximate bytes of a table: text by its length, eight for anything else."""
-    texts = [name for name, kind in df.dtypes if kind == "string"]
-    fixed = 8 * (len(df.columns) - len(texts))
-    row = F.lit(fixed)
-    for name in texts:
-        row = row + F.coalesce(F.octet_length(name), F.lit(0))
-    return df.agg(F.sum(row)).first()[0] or 0
-
-
-def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether the measured size allows every executor to hold the table."""
-    return measured_bytes(df) <= limit
-
-
 def local_session(cores: str = "8", app: str = "catalens", **conf: str) -> SparkSession:
     """A single-machine session for tests and the bench."""
     builder = (

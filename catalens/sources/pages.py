@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from catalens.functions import text as tx
 
 # ---- fixed values -----------------------------------------------------------
-CPU_TABLE_ID = "cputable"
-GPU_TABLE_ID = "gputable"
+TABLE_ID = "cputable"  # of both kinds of pages
 TABLE_CLASS = "chart"
 MIN_CELLS = 3
 CPU_SCORE_PATTERNS = [
@@ -46,8 +45,7 @@ def scores_from_tables(pages: DataFrame, order: str, html: str = "html", kind: s
     than three cells are skipped. Of a repeated name the last row counts.
     """
     source = F.col(html)
-    table_id = CPU_TABLE_ID if kind == "cpu" else GPU_TABLE_ID
-    body = F.coalesce(_table(source, "id", table_id), _table(source, "class", TABLE_CLASS))
+    body = F.coalesce(_table(source, "id", TABLE_ID), _table(source, "class", TABLE_CLASS))
     rows = F.regexp_extract_all(body, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
     lines = pages.select(order, F.posexplode(rows).alias("row", "line")).where(F.col("row") > 0)
     cells = F.regexp_extract_all("line", F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1))

@@ -10,8 +10,6 @@ import string
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalens.sources.files import spread
-
 DIRTY_ORDERS = """
 SELECT o_orderkey, o_custkey, o_totalprice,
   CASE o_orderkey % 10
@@ -154,14 +152,47 @@ SELECT CAST(floor(p_partkey / {PAGE_SIZE}) AS BIGINT) AS page_id, p_partkey,
 FROM {{part}}
 """
 
+# Numbers with NaN and NULL among them.
+GAPPY = """
+SELECT l_orderkey, l_linenumber,
+  CASE WHEN l_linenumber = 3 THEN CAST('NaN' AS DOUBLE) WHEN l_linenumber = 4 THEN NULL ELSE l_quantity END AS quantity,
+  CASE WHEN l_linenumber = 5 THEN CAST('NaN' AS DOUBLE) ELSE l_extendedprice END AS price_usd
+FROM {lineitem}
+"""
+
+# Text with everything that CSV has to quote.
+AWKWARD = """
+SELECT p_partkey,
+  CASE p_size % 8 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN p_name || chr(10) || 'second' WHEN 3 THEN chr(13) || chr(10)
+    WHEN 4 THEN 'a "quoted" word' WHEN 5 THEN ' one, two ' WHEN 6 THEN chr(9) || 'back' || chr(92) ELSE p_name END AS note,
+  CASE WHEN p_size % 3 = 0 THEN NULL ELSE '"' || p_type || '"' END AS kind
+FROM {part}
+"""
+
+# Captured pages with a stated score on most of them.
+SCORED_PAGES = """
+SELECT page_id, html || CASE page_id % 4 WHEN 0 THEN ' Score: ' || CAST(100 + page_id AS STRING)
+  WHEN 1 THEN ' cpu mark: ' || CAST(200 + page_id AS STRING) || ', score: 7' WHEN 2 THEN ' PassMark CPU Mark: ' || CAST(page_id AS STRING)
+  ELSE '' END AS html
+FROM {pages}
+"""
+
+# Documents that name a product's parts.
+DOCUMENT_SPECS = f"""
+SELECT doc_id, text || ' ' || title_y || ' ' || features AS text
+FROM {{documents}} JOIN ({PRODUCTS}) AS p ON p_partkey = 1 + doc_id % 200
+"""
+
 # One result page per product name searched.
 ANSWER_PAGES = """
 SELECT p_partkey AS page_id, p_name || ' ' || CAST(p_partkey AS STRING) || ' Processor' AS name,
   '<html><body><h1>' || p_name || '</h1><p>'
-  || CASE p_size % 5 WHEN 0 THEN 'PassMark CPU Mark: ' || CAST(1000 + p_size AS STRING)
+  || CASE p_size % 7 WHEN 0 THEN 'PassMark CPU Mark: ' || CAST(1000 + p_size AS STRING)
        WHEN 1 THEN 'cpu mark: <b>' || CAST(2000 + p_size AS STRING) || '</b>'
        WHEN 2 THEN 'Score: ' || CAST(p_size AS STRING) || ', Benchmark: ' || CAST(3000 + p_size AS STRING)
        WHEN 3 THEN 'score: ' || CAST(4000 + p_size AS STRING)
+       WHEN 4 THEN 'PassMark G3D Mark: ' || CAST(5000 + p_size AS STRING) || ', Score: 1'
+       WHEN 5 THEN 'g3d mark: <b>' || CAST(6000 + p_size AS STRING) || '</b>'
        ELSE 'no result' END || '</p></body></html>' AS html
 FROM {part}
 """
@@ -171,13 +202,9 @@ TABLES = (
 ).split()
 
 
-LARGE_TABLES = ("lineitem", "orders", "part", "documents", "pages", "conversations", "events")
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A test table; a large one stored as fewer splits than cores is spread first."""
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    return spread(df) if name in LARGE_TABLES else df
+    """A test table."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def load(spark: SparkSession, folder: str, sql: str) -> DataFrame:

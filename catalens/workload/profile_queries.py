@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from catalens.functions import bins
 from catalens.functions import text as tx
-from catalens.operators import clean, describe, match, quality
+from catalens.operators import clean, describe, encode, match, quality
 from catalens.operators.stats import histogram
 from catalens.workload import sqltext as q
-from catalens.workload.fixtures import DIRTY_ORDERS, PRODUCTS, RATINGS, WIDE, load, plain, table
+from catalens.workload.fixtures import DIRTY_ORDERS, GAPPY, PRODUCTS, RATINGS, WIDE, load, plain, table
 from catalens.workload.registry import query
 
 SPEC = plain(PRODUCTS)
@@ -352,3 +352,60 @@ def null_profile(spark, folder):
 )
 def missing_pct(spark, folder):
     return _round(quality.missing_share(load(spark, folder, DIRTY_ORDERS)), 6, "missing_percentage")
+
+
+GAPS = plain(GAPPY)
+KNOWN = f"(SELECT CASE WHEN NOT isnan(quantity) THEN quantity END AS quantity, CASE WHEN NOT isnan(price_usd) THEN price_usd END AS price_usd FROM ({GAPS}) AS g)"
+
+
+@query(
+    "nan_summary",
+    f"""SELECT round(min(p), 4) AS min, round(max(p), 4) AS max, round(avg(p), 4) AS mean, round(median(p), 4) AS median,
+    round(stddev_samp(p), 4) AS std, round(quantile_cont(p, 0.25), 4) AS q25, round(quantile_cont(p, 0.75), 4) AS q75
+    FROM (SELECT price_usd AS p FROM {KNOWN} AS k) AS o""",
+)
+def nan_summary(spark, folder):
+    summary = describe.price_summary(load(spark, folder, GAPPY))
+    return _round(summary, 4, *summary.columns)
+
+
+@query(
+    "nan_scale",
+    f"""WITH v AS (SELECT l_orderkey, l_linenumber, CASE WHEN isnan(quantity) THEN 0 ELSE coalesce(quantity, 0) END AS v FROM ({GAPS}) AS g)
+    SELECT l_orderkey, l_linenumber, round((v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()), 9) AS quantity FROM v""",
+)
+def nan_scale(spark, folder):
+    scaled = encode.scale_minmax(load(spark, folder, GAPPY).select("l_orderkey", "l_linenumber", "quantity"), ["quantity"])
+    return _round(scaled, 9, "quantity")
+
+
+@query("nan_histogram", histogram_sql(f"{KNOWN} AS k", "quantity", 10))
+def nan_histogram(spark, folder):
+    return _round(histogram(load(spark, folder, GAPPY), "quantity", 10), 4, "bin_lo", "bin_hi")
+
+
+GAPPY_TYPES = (("l_orderkey", "bigint"), ("l_linenumber", "int"), ("quantity", "double"), ("price_usd", "double"))
+
+
+@query(
+    "nan_profile",
+    f"WITH d AS ({GAPS}) "
+    + " UNION ALL ".join(
+        f"SELECT {i} AS position, '{c}' AS \"column\", '{t}' AS type, count(*) AS rows, count(*) FILTER (WHERE {c} IS NULL"
+        + (f" OR isnan({c})" if t == "double" else "")
+        + ") AS missing FROM d"
+        for i, (c, t) in enumerate(GAPPY_TYPES)
+    ),
+)
+def nan_profile(spark, folder):
+    return quality.null_profile(load(spark, folder, GAPPY))
+
+
+@query(
+    "nan_missing_pct",
+    f"""WITH m AS (SELECT count(*) AS total_rows, CAST(count(*) FILTER (WHERE quantity IS NULL OR isnan(quantity)) + count(*) FILTER (WHERE isnan(price_usd)) AS BIGINT)
+      AS missing_values FROM ({GAPS}) AS d)
+    SELECT total_rows, 4 AS total_columns, missing_values, round(missing_values * 100.0 / (total_rows * 4), 6) AS missing_percentage FROM m""",
+)
+def nan_missing_pct(spark, folder):
+    return _round(quality.missing_share(load(spark, folder, GAPPY)), 6, "missing_percentage")

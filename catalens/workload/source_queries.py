@@ -11,7 +11,7 @@ from catalens.session import scratch_path
 from catalens.sources import files, report
 from catalens.sources import pages as pg
 from catalens.workload import sqltext as q
-from catalens.workload.fixtures import ANSWER_PAGES, CPU_SCORES, DIRTY_ORDERS, PRODUCTS, RATINGS, SCORE_ROWS, load, plain, table
+from catalens.workload.fixtures import ANSWER_PAGES, AWKWARD, CPU_SCORES, DIRTY_ORDERS, PRODUCTS, RATINGS, SCORE_ROWS, SCORED_PAGES, load, plain, table
 from catalens.workload.registry import query
 
 SPEC = plain(PRODUCTS)
@@ -33,6 +33,14 @@ def csv_roundtrip(spark, folder):
     return files.read_csv(spark, path, dirty.schema)
 
 
+@query("csv_awkward_text", plain(AWKWARD))
+def csv_awkward_text(spark, folder):
+    path = scratch_path(spark, "csv")
+    rows = load(spark, folder, AWKWARD)
+    files.write_csv(rows, path)
+    return files.read_csv(spark, path, rows.schema)
+
+
 @query(
     "csv_nested",
     f"SELECT p_partkey, CASE WHEN details IS NULL THEN '{{}}' WHEN json_valid(details) THEN replace(replace(details, '\": \"', '\":\"'), '\", \"', '\",\"') ELSE '{{\"raw_details\":\"not json\"}}' END AS details FROM ({SPEC}) AS p",
@@ -84,6 +92,15 @@ def score_table_from_html(spark, folder):
     return pg.scores_from_tables(_score_pages(spark, folder), "page_id").select("name", "score")
 
 
+@query(
+    "score_table_from_html_gpu",
+    f"""SELECT {q.gpu_name(f'({PAGE_NAME})')} AS name, CAST(first(p_size * 1000 + p_partkey % 1000 ORDER BY p_partkey DESC) AS BIGINT) AS score
+    FROM part WHERE p_size <> 13 GROUP BY 1""",
+)
+def score_table_from_html_gpu(spark, folder):
+    return pg.scores_from_tables(_score_pages(spark, folder), "page_id", kind="gpu").select("name", "score")
+
+
 ANSWER_TEXT = r"regexp_replace(html, '<[^>]+>', '', 'g')"
 PATTERNS = [r"(?i)PassMark CPU Mark: (\d+)", r"(?i)CPU Mark: (\d+)", r"(?i)Benchmark: (\d+)", r"(?i)Score: (\d+)"]
 
@@ -105,9 +122,22 @@ def score_from_page_text_gpu(spark, folder):
     return pg.scores_from_texts(load(spark, folder, ANSWER_PAGES), "name", "html", kind="gpu")
 
 
-@query("score_in_pages", f"SELECT page_id, CAST({q.first_match('html', PATTERNS)} AS BIGINT) AS score FROM pages")
+@query(
+    "score_from_page_text_cached",
+    f"""SELECT a.name, coalesce(CAST(a.paged AS BIGINT), s.score) AS score
+    FROM (SELECT page_id, {q.cpu_name('name')} AS name, {q.first_match(ANSWER_TEXT, PATTERNS)} AS paged FROM ({plain(ANSWER_PAGES)}) AS x) AS a
+    LEFT JOIN (SELECT p_partkey, CAST(p_size AS BIGINT) AS score FROM part WHERE p_partkey % 2 = 0) AS s ON page_id = p_partkey""",
+)
+def score_from_page_text_cached(spark, folder):
+    pages = load(spark, folder, ANSWER_PAGES)
+    known = table(spark, folder, "part").where("p_partkey % 2 = 0").select("p_partkey", F.col("p_size").cast("bigint").alias("score"))
+    scores = pages.join(known, F.col("page_id") == F.col("p_partkey")).select(tx.normalize_cpu_name(F.col("name")).alias("name"), "score")
+    return pg.scores_from_texts(pages, "name", "html", scores=scores)
+
+
+@query("score_in_pages", f"SELECT page_id, CAST({q.first_match('html', PATTERNS)} AS BIGINT) AS score FROM ({plain(SCORED_PAGES)}) AS p")
 def score_in_pages(spark, folder):
-    return table(spark, folder, "pages").select("page_id", pg.score_in_text(F.col("html")).alias("score"))
+    return load(spark, folder, SCORED_PAGES).select("page_id", pg.score_in_text(F.col("html")).alias("score"))
 
 
 STAGE = q.spec_stage(SPEC, ["title_y", "features"])
@@ -128,14 +158,17 @@ def quarantine_export(spark, folder):
 
 @query(
     "quarantine_rows",
-    f"SELECT p_partkey, {BAD_RAM} AS ram_invalid, {BAD_DISK} AS storage_invalid FROM ({STAGE}) AS s WHERE {BAD_RAM} OR {BAD_DISK}",
+    f"""SELECT p_partkey, title_y, features, details, note, kind, {BAD_RAM} AS ram_invalid, {BAD_DISK} AS storage_invalid
+    FROM ({STAGE}) AS s JOIN ({plain(AWKWARD)}) AS a USING (p_partkey) WHERE {BAD_RAM} OR {BAD_DISK}""",
 )
 def quarantine_rows(spark, folder):
     path = scratch_path(spark, "invalid")
-    specced = match.add_specs(load(spark, folder, PRODUCTS), ["title_y", "features"]).select("p_partkey", "ram_gb", "storage_gb")
+    awkward = load(spark, folder, AWKWARD)
+    specced = match.add_specs(load(spark, folder, PRODUCTS), ["title_y", "features"]).join(awkward, "p_partkey")
     report.export_invalid(specced, path)
-    schema = "p_partkey bigint, ram_gb double, storage_gb double, ram_invalid boolean, storage_invalid boolean, validation_notes string"
-    return files.read_csv(spark, path, schema).select("p_partkey", "ram_invalid", "storage_invalid")
+    flags = "ram_invalid boolean, storage_invalid boolean, validation_notes string"
+    schema = ", ".join(f"{name} {kind}" for name, kind in specced.dtypes) + ", " + flags
+    return files.read_csv(spark, path, schema).select("p_partkey", "title_y", "features", "details", "note", "kind", "ram_invalid", "storage_invalid")
 
 
 def _bin_lines(section: int, source: str, column: str, labels, noun: str) -> str:

@@ -8,7 +8,7 @@ from catalens.functions import bins, specs
 from catalens.functions import text as tx
 from catalens.operators import match
 from catalens.workload import sqltext as q
-from catalens.workload.fixtures import PRODUCTS, load, plain, table
+from catalens.workload.fixtures import DOCUMENT_SPECS, PRODUCTS, load, plain, table
 from catalens.workload.registry import query
 
 SPEC = plain(PRODUCTS)
@@ -50,9 +50,9 @@ def spec_stage(spark, folder):
     return match.add_specs(load(spark, folder, PRODUCTS), ["title_y", "features", "details"]).select(*SPEC_OUT.split(", "))
 
 
-@query("documents_specs", f"SELECT doc_id, {q.spec_columns('t')} FROM (SELECT doc_id, lower(text) AS t FROM documents) AS d")
+@query("documents_specs", f"SELECT doc_id, {q.spec_columns('t')} FROM (SELECT doc_id, lower(text) AS t FROM ({plain(DOCUMENT_SPECS)}) AS x) AS d")
 def documents_specs(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", tx.searchable(F.col("text")).alias("t"))
+    docs = load(spark, folder, DOCUMENT_SPECS).select("doc_id", tx.searchable(F.col("text")).alias("t"))
     return docs.select("doc_id", *[c.alias(n) for n, c in match.spec_columns(F.col("t")).items()])
 
 

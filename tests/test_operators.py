@@ -108,9 +108,7 @@ def brute_best(text):
     return best, top
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_best_match_equals_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(match, "is_small", lambda df: small)
+def test_best_match_equals_brute_force(spark):
     texts = spark.createDataFrame(list(enumerate(TEXTS)), "id int, t string")
     names = spark.createDataFrame(NAMES, "name string, score int, ord int")
     got = {r.id: (r.best_pattern, r.match_score) for r in match.best_match(texts, "id", "t", names).collect()}
