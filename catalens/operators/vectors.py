@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalens.functions import text as tx
 from catalens.operators.stats import as_scalar
+from catalens.session import staged
 
 # ---- fixed values -----------------------------------------------------------
 MAX_TERMS = 1000
@@ -47,20 +46,17 @@ def tfidf(
 ) -> DataFrame:
     """Sparse unit vectors ``(key, term, weight)`` over the most frequent terms.
 
-    weight = tf * (ln((1 + N) / (1 + df)) + 1), then L2-normalised. Every table
-    joined here is bounded by ``max_terms`` rows and a row's vector by
-    ``max_terms`` entries; counts are combined before every shuffle.
+    weight = tf * (ln((1 + N) / (1 + df)) + 1), then L2-normalised. The term
+    counts are written once; the vocabulary sent to the tasks has ``max_terms`` rows
+    and a vector at most as many entries.
     """
-    occurrences = term_rows(df, key, text, stop_words)
+    # Texts are taken apart once; all that follows reads the stored counts.
+    counts = staged(term_rows(df, key, text, stop_words).groupBy(key, "term").agg(F.count("*").alias("tf")), "terms")
     vocabulary = (
-        occurrences.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(max_terms).select("term")
+        counts.groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("df")).orderBy(F.desc("n"), "term").limit(max_terms).select("term", "df")
     )
-    counted = (
-        occurrences.join(F.broadcast(vocabulary), "term").groupBy(key, "term").agg(F.count("*").alias("tf"))
-    )
-    spread = counted.groupBy("term").agg(F.count("*").alias("df"))
     total = as_scalar(df.agg(F.count("*").alias("n")))["n"]
-    raw = counted.join(F.broadcast(spread), "term").select(
+    raw = counts.join(F.broadcast(vocabulary), "term").select(
         key, "term", (F.col("tf") * (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0)).alias("raw")
     )
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
@@ -72,8 +68,8 @@ TIE_DIGITS = 9
 
 
 def _top(df: DataFrame, key: str, score: str, n: int | None) -> DataFrame:
-    ordered = df.withColumn(score, F.round(score, TIE_DIGITS)).orderBy(F.desc(score), key)
-    return ordered if n is None else ordered.limit(n)
+    rounded = df.withColumn(score, F.round(score, TIE_DIGITS))
+    return rounded if n is None else rounded.orderBy(F.desc(score), key).limit(n)
 
 
 def similar_by_terms(vectors: DataFrame, key: str, item, n: int | None = 5) -> DataFrame:
@@ -110,8 +106,8 @@ def similar_by_embedding(
         return _top(rest.select(key, score.alias("similarity")), key, "similarity", n)
     gaps = F.zip_with(other, own, lambda x, y: x.cast("double") - y.cast("double"))
     distance = F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda total, x: total + x * x))
-    scored = rest.select(key, F.round(distance, TIE_DIGITS).alias("distance")).orderBy("distance", key)
-    return scored if n is None else scored.limit(n)
+    scored = rest.select(key, F.round(distance, TIE_DIGITS).alias("distance"))
+    return scored if n is None else scored.orderBy("distance", key).limit(n)
 
 
 def similar_by_sets(df: DataFrame, key: str, items: str, item, n: int | None = 5) -> DataFrame:
@@ -152,43 +148,58 @@ def blend(scores: Sequence[tuple[DataFrame, float]], key: str, score: str, n: in
     return _top(weighted.groupBy(key).agg(F.sum("__part").alias("score")), key, "score", n)
 
 
-def similarity_table(vectors: DataFrame, key: str, items: DataFrame, n: int = 5, limit: int = 2000) -> DataFrame:
-    """Pre-computed neighbours ``(item, neighbour, similarity, rank)`` for a list of items.
+def _heavy_terms(vectors: DataFrame, key: str, min_similarity: float) -> DataFrame:
+    """Of each unit vector the rarest terms, without which no cosine reaches ``min_similarity``."""
+    spread = vectors.groupBy("term").agg(F.count("*").alias("df"))
+    rare_first = Window.partitionBy(key).orderBy("df", "term").rowsBetween(0, Window.unboundedFollowing)
+    rest = vectors.join(spread, "term").withColumn("rest", F.sum(F.col("weight") * F.col("weight")).over(rare_first))
+    # What is left of the vector from this term on can still make the similarity.
+    return rest.where(F.col("rest") >= min_similarity**2 - 10**-TIE_DIGITS).select(key, "term")
+
 
-    ``items`` has the keys to serve, at most ``limit`` of them per call (checked),
-    so their vectors fit every task; longer lists go in several calls. All other
-    vectors are read once: each task multiplies its vectors with the wanted ones
-    and passes on only its best ``n`` per wanted item, so no item pairs are
-    shuffled. Neighbours are ordered by similarity, then key.
+def similarity_table(vectors: DataFrame, key: str, items: DataFrame, n: int = 5, min_similarity: float = 0.8) -> DataFrame:
+    """Neighbours ``(item, neighbour, similarity, rank)`` of every item in a list of any length.
+
+    ``vectors`` are unit vectors ``(key, term, weight)``, read more than once, so
+    pass a stored table. Exact for all neighbours of at least ``min_similarity``: two
+    such vectors share one of the rarest terms of both, so only pairs that do are
+    compared. The best ``n`` per item are kept, by similarity, then key.
     """
-    wanted_keys = [row[0] for row in items.select(key).distinct().limit(limit + 1).collect()]
-    if len(wanted_keys) > limit:
-        raise ValueError(f"more than {limit} items; split the list")
-    index = vectors.select("term").distinct().orderBy("term").limit(MAX_TERMS + 1)
-    position = {row[0]: i for i, row in enumerate(index.collect())}
-    if len(position) > MAX_TERMS:
-        raise ValueError(f"more than {MAX_TERMS} terms; build the vectors with tfidf")
-    kind = dict(vectors.dtypes)[key]
-    packed = vectors.groupBy(key).agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
-    own = np.zeros((len(wanted_keys), len(position)))
-    order = {value: i for i, value in enumerate(wanted_keys)}
-    for row in packed.where(F.col(key).isin(wanted_keys)).collect():
-        own[order[row[0]], [position[t] for t in row["terms"]]] = row["weights"]
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            dense = np.zeros((len(batch), len(position)))
-            for at, (names, weights) in enumerate(zip(batch["terms"], batch["weights"])):
-                dense[at, [position[t] for t in names]] = weights
-            keys = batch[key].to_numpy()
-            scores = np.round(own @ dense.T, TIE_DIGITS)
-            for wanted, line in zip(wanted_keys, scores):
-                line = np.where(keys == wanted, 0.0, line)
-                near = np.lexsort((keys, -line))[:n]
-                near = near[line[near] > 0]
-                if len(near):
-                    yield pd.DataFrame({"item": wanted, "neighbour": keys[near], "similarity": line[near]})
-
-    found = packed.mapInPandas(best, f"item {kind}, neighbour {kind}, similarity double")
+    heavy = _heavy_terms(vectors, key, min_similarity)
+    wanted = heavy.join(items.select(key).distinct(), key, "left_semi").withColumnRenamed(key, "item")
+    pairs = wanted.join(heavy.withColumnRenamed(key, "neighbour"), "term").where("item <> neighbour").select("item", "neighbour").distinct()
+    own = vectors.select(F.col(key).alias("item"), "term", F.col("weight").alias("own"))
+    other = vectors.select(F.col(key).alias("neighbour"), "term", "weight")
+    scored = (
+        pairs.join(own, "item")
+        .join(other, ["neighbour", "term"])
+        .groupBy("item", "neighbour")
+        .agg(F.round(F.sum(F.col("own") * F.col("weight")), TIE_DIGITS).alias("similarity"))
+        .where(F.col("similarity") >= min_similarity)
+    )
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("similarity"), "neighbour"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= n)
+    return scored.withColumn("rank", rank).where(F.col("rank") <= n)
+
+
+SLOTS = 64
+
+
+def _slot(item: Column) -> Column:
+    return F.pmod(F.xxhash64(item), F.lit(SLOTS)).cast("int")
+
+
+def write_similarity_table(found: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Store a similarity table by hash of item, so that a lookup reads one slot."""
+    found.withColumn("slot", _slot(F.col("item"))).repartition("slot").write.mode(mode).partitionBy("slot").parquet(path)
+
+
+def read_similarity_table(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
+    """A stored similarity table; ``kind`` is the type of its items."""
+    return spark.read.schema(f"item {kind}, neighbour {kind}, similarity double, rank int, slot int").parquet(path)
+
+
+def read_similar(spark: SparkSession, path: str, item, kind: str = "bigint") -> DataFrame:
+    """The stored neighbours of one item: ``(neighbour, similarity, rank)``."""
+    stored = read_similarity_table(spark, path, kind)
+    own = F.lit(item).cast(kind)
+    return stored.where((F.col("slot") == _slot(own)) & (F.col("item") == own)).select("neighbour", "similarity", "rank")

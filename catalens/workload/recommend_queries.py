@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalens.operators import collab, match, recommend, vectors
+from catalens.session import scratch_path, staged
 from catalens.workload import sqltext as q
 from catalens.workload.fixtures import CATALOGUE, PRODUCTS, RATINGS, load, plain, table
 from catalens.workload.registry import query
@@ -292,16 +293,25 @@ def ranking_metrics(spark, folder):
     return metrics.withColumns({c: F.round(c, 6) for c in metrics.columns if c != "users"})
 
 
-@query(
-    "similarity_table",
-    f"""WITH v AS MATERIALIZED ({tfidf_sql(PRODUCT_TEXT, 'p_partkey', 'text')}),
-    top AS (SELECT asin FROM ({SHOP}) AS c ORDER BY rating_number DESC, asin LIMIT 20),
+SIMILAR_SQL = f"""WITH v AS MATERIALIZED ({tfidf_sql(PRODUCT_TEXT, 'p_partkey', 'text')}),
     s AS (SELECT b.p_partkey AS item, a.p_partkey AS neighbour, round(sum(a.weight * b.weight), 9) AS similarity FROM v AS a JOIN v AS b ON a.term = b.term
-      WHERE b.p_partkey IN (SELECT asin FROM top) AND a.p_partkey <> b.p_partkey GROUP BY 1, 2)
+      WHERE a.p_partkey <> b.p_partkey GROUP BY 1, 2)
     SELECT item, neighbour, round(similarity, 6) AS similarity,
-    CAST(row_number() OVER (PARTITION BY item ORDER BY s.similarity DESC, neighbour) AS INT) AS rank FROM s QUALIFY rank <= 5""",
-)
+    CAST(row_number() OVER (PARTITION BY item ORDER BY s.similarity DESC, neighbour) AS INT) AS rank FROM s WHERE s.similarity >= 0.6 QUALIFY rank <= 5"""
+
+
+def _similar_products(spark, folder):
+    stored = staged(product_vectors(spark, folder), "vectors")
+    return vectors.similarity_table(stored, "p_partkey", table(spark, folder, "part"), n=5, min_similarity=0.6)
+
+
+@query("similarity_table", SIMILAR_SQL)
 def similarity_table(spark, folder):
-    popular = load(spark, folder, CATALOGUE).orderBy(F.desc("rating_number"), "asin").limit(20).select(F.col("asin").alias("p_partkey"))
-    found = vectors.similarity_table(product_vectors(spark, folder), "p_partkey", popular, n=5)
-    return found.withColumn("similarity", F.round("similarity", 6))
+    return _similar_products(spark, folder).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("similarity_stored", SIMILAR_SQL)
+def similarity_stored(spark, folder):
+    path = scratch_path(spark, "similar")
+    vectors.write_similarity_table(_similar_products(spark, folder), path)
+    return vectors.read_similarity_table(spark, path).drop("slot").withColumn("similarity", F.round("similarity", 6))

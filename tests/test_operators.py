@@ -175,18 +175,21 @@ def test_tfidf_against_numpy(spark):
     assert [r.id for r in near] == [1, 0]
 
 
-def test_similarity_table_equals_pairs(spark):
+def test_similarity_table_equals_pairs(spark, tmp_path):
     rng = np.random.default_rng(1)
     docs = [" ".join(rng.choice(["w%d" % k for k in range(12)], 6)) for _ in range(40)] + ["w1 w2 w3 w4 w5 w6"] * 20
     frame = spark.createDataFrame(list(enumerate(docs)), "id int, t string")
     weights = vectors.tfidf(frame, "id", "t")
-    table = vectors.similarity_table(weights, "id", frame.where("id in (0, 45)").select("id"), n=4)
-    for item in (0, 45):
-        got = [(r.neighbour, round(r.similarity, 8)) for r in table.where(F.col("item") == item).orderBy("rank").collect()]
-        want = [(r.id, round(r.similarity, 8)) for r in vectors.similar_by_terms(weights, "id", item, 4).collect()]
-        assert got == want
-    with pytest.raises(ValueError):
-        vectors.similarity_table(weights, "id", frame.select("id"), limit=5)
+    for least in (0.2, 0.5):
+        rows = vectors.similarity_table(weights, "id", frame.where("id in (0, 7, 45)").select("id"), n=4, min_similarity=least).collect()
+        for item in (0, 7, 45):
+            got = [(r.neighbour, round(r.similarity, 8)) for r in sorted(rows, key=lambda r: r.rank) if r.item == item]
+            want = [(r.id, round(r.similarity, 8)) for r in vectors.similar_by_terms(weights, "id", item, 4).collect() if r.similarity >= least]
+            assert got == want
+    table = vectors.similarity_table(weights, "id", frame.select("id"), n=3, min_similarity=0.99)
+    assert table.count() == 20 * 3
+    vectors.write_similarity_table(table, str(tmp_path / "similar"))
+    assert [(r.neighbour, r.rank) for r in vectors.read_similar(spark, str(tmp_path / "similar"), 45, "int").orderBy("rank").collect()] == [(40, 1), (41, 2), (42, 3)]
 
 
 def ratings_matrix(spark):
