@@ -82,8 +82,8 @@ def _describe(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches):
             found, _ = sets(batch.column("text"), width)
-            columns = [batch.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array([class_of(s) for s in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "class"])
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in found], pa.int64()), pa.array([class_of(s) for s in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "class"])
 
     return run
 
@@ -280,9 +280,10 @@ def class_links(docs: DataFrame, width: int = 5, chunk: int = 2048, filter_bits:
 
 
 def link_documents(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row."""
+    """doc_id, text_hash, n_shingles, component_id (smallest doc_id reachable by links) of every row."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = staged(docs.mapInArrow(_describe(width), "doc_id long, n_shingles long, class long"), "ngram-documents")
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    described = staged(hashed.mapInArrow(_describe(width), "doc_id long, text_hash long, n_shingles long, class long"), "ngram-documents")
     classes = described.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("smallest"))
     joined = components(class_links(docs.where(F.col("doc_id").isNotNull()), width))
     heads = classes.join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
@@ -291,6 +292,7 @@ def link_documents(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text
     # An empty set has no class and keeps its own id.
     return described.join(names, "class", "left").select(
         "doc_id",
+        "text_hash",
         "n_shingles",
         F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"),
     )

@@ -98,7 +98,7 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
-    return ngram_join.link_documents(_table(spark, folder))
+    return ngram_join.link_documents(_table(spark, folder)).drop("text_hash")
 
 
 @_query

@@ -1,25 +1,78 @@
-"""A training-text pipeline of five stages over ``documents``; each stage reads what its predecessor kept."""
+"""A training-text pipeline of five stages over ``documents``.
+
+Each stage works on all rows its predecessor kept and, except for the last, returns
+the columns it was given. Rows that repeat a document, null ids and texts,
+empty tables and further columns go through as the stages' operators define.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from catalens.llm import line_dedup
+from catalens.llm import byte_bpe, decontamination, line_dedup, ngram_join, quality_classifier
+from catalens.llm.queries import quality_model
 from catalens.session import staged
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    model = quality_model(docs.select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return quality_classifier.score(docs, model).where("predicted = 1").select(docs.columns)
+
+
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop lines that three documents or more share."""
-    return line_dedup.dedup_lines(docs).select(docs.columns)
+    """Documents without the lines that three documents or more share; n_chars follows the text."""
+    kept = line_dedup.dedup_lines(docs)
+    size = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.select(*[size.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id; rows without an id stay."""
+    linked = ngram_join.link_documents(docs)
+    heads = linked.where("doc_id = component_id").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    named = docs.where("doc_id IS NOT NULL")
+    same = (F.col("doc_id") == F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__hash"))
+    kept = named.join(heads.distinct(), same, "left_semi").withColumn("__text", F.xxhash64("text"))
+    # Of rows that repeat a document one stays.
+    order = Window.partitionBy("doc_id", "__text").orderBy("__text")
+    once = kept.withColumn("__row", F.row_number().over(order)).where("__row = 1")
+    return once.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return decontamination.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and whether they decode to its text."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    decoded = byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    return decoded.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", same.alias("round_trip"))
 
 
-STAGES = [("line_dedup", lines)]
+STAGES = [
+    ("quality_classifier", quality),
+    ("line_dedup", lines),
+    ("ngram_join", near_duplicates),
+    ("decontamination", decontaminated),
+    ("byte_bpe", tokens),
+]
+#: A trained classifier decides the first stage, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
