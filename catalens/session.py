@@ -6,27 +6,29 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables that the cluster names.
+    """The folder for intermediate tables: below ``spark.checkpoint.dir``, or else below the warehouse.
 
-    ``spark.checkpoint.dir`` wins. Only a local session without that setting
-    gets a temporary folder; on a cluster a machine-local folder would not
-    survive the loss of an executor, so the job stops with a clear message.
+    Both are shared by all executors of a cluster. The context keeps a folder of
+    its own there, which `clear_stages` removes.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-            folder = tempfile.mkdtemp(prefix="catalens-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages")
     return context.getCheckpointDir().rstrip("/")
 
 
+def clear_stages(spark: SparkSession) -> None:
+    """Remove every intermediate table of this session; call it when no result is read any more."""
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -54,6 +56,7 @@ def local_session(cores: str = "8", app: str = "catalens", **conf: str) -> Spark
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", conf.pop("driver_memory", "12g"))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="catalens-"))
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalens.functions import bins
@@ -13,6 +13,7 @@ from catalens.sources.files import write_csv
 REPORT_TITLE = "PRODUCT REVIEW DATASET ANALYSIS REPORT"
 RULE = "=" * 60
 SECTION_RULE = "-" * 30
+TOP_BRANDS = 10
 # -----------------------------------------------------------------------------
 
 
@@ -55,8 +56,12 @@ def report_lines(
     text: str = "text",
     os_column: str = "os",
     currency: str = "RM",
+    original_rating: str | None = None,
 ) -> DataFrame:
-    """The analysis report as rows ``(section, line_no, line)``."""
+    """The analysis report as rows ``(section, line_no, line)``.
+
+    ``original_rating`` is the column of ratings before they were rescaled, if they were.
+    """
     spark = products.sparkSession
     start = spark.range(1).select(
         F.inline(
@@ -101,6 +106,15 @@ def report_lines(
         F.format_string("Most Popular Brand: %s", "most_popular"),
         F.format_string("Average Models per Brand: %.1f", _fixed("avg_per_group", 1)),
     )
+    first = F.row_number().over(Window.orderBy(F.desc("n"), "value"))
+    ranked = describe.value_distribution(products, brand, top=TOP_BRANDS).withColumn("rank", first)
+    top_brands = _listing(
+        3,
+        ranked,
+        "rank",
+        F.concat(F.lit("  "), F.col("rank").cast("string"), F.lit(". "), F.col("value"), F.lit(": "), _count(F.col("n")), F.lit(" products")),
+    )
+    top_head = spark.range(1).select(F.lit(3).alias("section"), F.lit(99).alias("line_no"), F.lit(f"Top {TOP_BRANDS} Brands:").alias("line"))
     ratings = _section(
         4,
         "RATING ANALYSIS",
@@ -129,8 +143,12 @@ def report_lines(
         F.concat(F.lit("  "), F.col("label"), F.lit(": "), _count(F.col("n")), F.lit(" reviews")),
     )
     result = start
-    for part in (overview, prices, price_bins, brands, ratings, helpful, texts, text_bins):
+    for part in (overview, prices, price_bins, brands, top_head, top_brands, ratings, helpful, texts, text_bins):
         result = result.unionByName(part)
+    if original_rating is not None:
+        unscaled = describe.rating_summary(reviews, original_rating)
+        line = F.format_string("Original Rating Range: %.2f - %.2f", _fixed("min", 2), _fixed("max", 2))
+        result = result.unionByName(unscaled.select(F.lit(4).alias("section"), F.lit(6).alias("line_no"), line.alias("line")))
     specs = {"RAM": "ram_gb", "Storage": "storage_gb"}
     for at, (label, column) in enumerate(specs.items()):
         if column in products.columns:

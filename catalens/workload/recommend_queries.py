@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalens.operators import collab, match, recommend, vectors
+from catalens.operators.stats import as_scalar
 from catalens.session import scratch_path, staged
 from catalens.workload import sqltext as q
 from catalens.workload.fixtures import CATALOGUE, PRODUCTS, RATINGS, load, plain, table
@@ -178,10 +179,22 @@ def item_cf_top(spark, folder):
     return collab.item_based(_pairs(spark, folder), USER).withColumn("score", F.round("score", 6))
 
 
-@query("als_factors")
+@query(
+    "als_factors",
+    f"""WITH r AS (SELECT DISTINCT user_id, asin FROM ({RATED}) AS x)
+    SELECT least(10, (SELECT count(DISTINCT asin) FROM r) - (SELECT count(*) FROM r WHERE user_id = {USER})) AS recommended,
+    CAST(0 AS BIGINT) AS seen, true AS fits""",
+)
 def als_factors(spark, folder):
+    """How many items are recommended, how many of them the user knows, and whether the factors explain the ratings."""
     ratings = _pairs(spark, folder)
-    return collab.recommend_by_factors(collab.fit_factors(ratings), ratings, USER)
+    factors = collab.fit_factors(ratings)
+    chosen = collab.recommend_by_factors(factors, ratings, USER)
+    known = ratings.where(F.col("user") == USER).select("item", F.lit(1).alias("known"))
+    facts = chosen.join(known, "item", "left").agg(F.count("*").alias("recommended"), F.count("known").alias("seen"))
+    error = F.col("prediction") - F.col("rating")
+    fits = collab.predict_by_factors(factors, ratings).agg((F.sqrt(F.avg(error * error)) < F.stddev_samp("rating")).alias("fits"))
+    return facts.withColumn("fits", as_scalar(fits)["fits"])
 
 
 @query(

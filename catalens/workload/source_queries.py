@@ -187,12 +187,16 @@ REPORT_SQL = f"""WITH p AS MATERIALIZED (SELECT *, p_retailprice * 4.75 AS price
       'REVIEW ANALYSIS', 'RAM ANALYSIS', 'STORAGE ANALYSIS', 'SYSTEM ANALYSIS'])
     UNION ALL SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8]), 2, repeat('-', 30)
     UNION ALL SELECT 1, 3, 'Products: ' || format('{{:,}}', count(*)) || ' rows, 24 features' FROM p
-    UNION ALL SELECT 1, 4, 'Reviews: ' || format('{{:,}}', count(*)) || ' rows, 8 features' FROM r
+    UNION ALL SELECT 1, 4, 'Reviews: ' || format('{{:,}}', count(*)) || ' rows, 9 features' FROM r
     UNION ALL SELECT 2, unnest([3, 4, 5]), unnest([format('Price Range: RM {{:.2f}} - RM {{:.2f}}', round(min(price_myr), 2), round(max(price_myr), 2)),
       format('Average Price: RM {{:.2f}}', round(avg(price_myr), 2)), format('Median Price: RM {{:.2f}}', round(median(price_myr), 2))]) FROM p
     UNION ALL {_bin_lines(2, 'p', 'price_bin', bins.PRICE_LABELS, 'products')}
     UNION ALL SELECT 3, unnest([3, 4, 5]), unnest(['Total Brands: ' || count(*), 'Most Popular Brand: ' || first(p_brand ORDER BY n DESC, p_brand),
       format('Average Models per Brand: {{:.1f}}', avg(n))]) FROM b
+    UNION ALL SELECT 3, 99, 'Top 10 Brands:'
+    UNION ALL SELECT 3, CAST(100 + k AS INT), '  ' || k || '. ' || p_brand || ': ' || format('{{:,}}', n) || ' products'
+      FROM (SELECT *, row_number() OVER (ORDER BY n DESC, p_brand) AS k FROM b) AS t WHERE k <= 10
+    UNION ALL SELECT 4, 6, format('Original Rating Range: {{:.2f}} - {{:.2f}}', min(rating / 5), max(rating / 5)) FROM r
     UNION ALL SELECT 4, unnest([3, 4, 5]), unnest([format('Average Rating: {{:.2f}}/5.0', avg(rating)), format('Median Rating: {{:.2f}}/5.0', median(rating)),
       format('Rating Range: {{:.1f}} - {{:.1f}}', min(rating), max(rating))]) FROM r
     UNION ALL SELECT 4, 100, 'Total Helpful Votes: ' || format('{{:,}}', CAST(sum(helpful_vote) AS BIGINT)) || format(', average {{:.1f}}', avg(helpful_vote)) FROM r
@@ -212,7 +216,8 @@ def _report(spark, folder):
     products = products.withColumns({"price_myr": local, "price_bin": bins.price_bin_local(local)})
     names = table(spark, folder, "part").select("p_partkey", F.col("p_name").alias("text"))
     reviews = load(spark, folder, RATINGS).join(names, F.col("asin") == F.col("p_partkey")).drop("p_partkey")
-    return report.report_lines(products, reviews, price_bin="price_bin", brand="p_brand", os_column="p_type")
+    reviews = reviews.withColumn("rating_before", F.col("rating") / 5)
+    return report.report_lines(products, reviews, price_bin="price_bin", brand="p_brand", os_column="p_type", original_rating="rating_before")
 
 
 @query("report_lines", REPORT_SQL)

@@ -6,14 +6,16 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from catalens.session import local_session  # noqa: E402
+from catalens.session import clear_stages, local_session  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("4", shuffle_partitions="4", driver_memory="6g")
+    session = local_session("4", shuffle_partitions="4", driver_memory="6g")
+    yield session
+    clear_stages(session)
 
 
 @pytest.fixture(scope="session")
