@@ -259,7 +259,8 @@ def remove_repeats(docs: DataFrame, width: int = 13, run: int = 5, shard_segment
     cut = packed.join(wanted, "doc_id").mapInArrow(_cut(width), "doc_id long, text_hash long, name long, start long, words string")
     cut = cut.withColumn("s1", F.xxhash64("words")).withColumn("s2", F.xxhash64(F.lit(1), "words"))
     distinct = staged(cut.groupBy("s1", "s2", "name", "words").agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("largest")), "substring-segments")
-    many = distinct.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_segments).select("name", F.ceil(F.col("n") / shard_segments).alias("ways"))
+    # Written, so that the join has shuffles of its own, which adaptive execution may split at a name of many segments.
+    many = staged(distinct.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_segments).select("name", F.ceil(F.col("n") / shard_segments).alias("ways")), "substring-names")
     dealt = distinct.join(many, "name", "left")
     shard = F.pmod(F.xxhash64("name"), F.lit(shards))
     columns = ["s1", "s2", "words", "smallest", "shift", "shard", "way"]
