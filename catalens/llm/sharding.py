@@ -1,11 +1,15 @@
 """Shards of nearly equal bytes by Karmarkar-Karp differencing.
 
-Rows with equal texts are one indivisible group. Groups are dealt into buckets
-by hash; a task differences its bucket: every partial partition is a tuple of
-``shards`` sums, the two with the largest spread are combined in opposite order
-(largest with smallest), until one is left. The buckets' partial partitions, one
-tuple of sums each, are differenced in the same way, ``fan`` at a time and level by
-level. No task holds more than ``bucket_groups`` groups on average or ``fan`` tuples.
+Rows with equal texts are one indivisible group. Differencing starts from a partial
+partition for each group, a tuple of ``shards`` sums, and repeatedly combines the two
+with the largest spread in opposite order (largest with smallest), until one is left.
+
+Groups of more than a 64th of a fair share, ``64 * shards`` of them at most, are
+differenced first. The others are dealt into buckets by hash; a task differences
+its bucket together with the large groups' sums, scaled to the bucket's share of
+the bytes. So every bucket fills the shards that the large groups leave short, and
+the place of those sums says which shard a slot is. No task holds more than
+``bucket_groups`` groups on average.
 
 A group of any number of rows is one row here, because sizes are summed before
 the shuffle. Numbers inside a shard are dealt by blocks of rows, so a shard that
@@ -73,31 +77,23 @@ def differencing(partials: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _deal(shards: int):
+def _deal(shards: int, loads: list[int], rest: int):
+    """Shards of a bucket's groups, next to ``loads`` that ``rest`` bytes are to level."""
+
     def deal(table: pa.Table) -> pa.Table:
         table = table.sort_by([("size", "descending"), ("h1", "ascending"), ("h2", "ascending")])
         sizes = table["size"].to_pylist()
-        # A group alone is a partial partition with one filled slot.
-        slots = [row[0] for row in differencing([[size] + [0] * (shards - 1) for size in sizes])]
-        return pa.table({"h1": table["h1"], "h2": table["h2"], "bucket": table["bucket"], "part": pa.array(slots, pa.int32()), "size": table["size"]})
+        share = sum(sizes) / max(rest, 1)
+        # The first partial partition holds the loads; a group alone is one with one filled slot.
+        start = [max(1, round(load * share)) for load in loads]
+        first, *slots = differencing([start, *([size] + [0] * (shards - 1) for size in sizes)])
+        shard_of = {slot: shard for shard, slot in enumerate(first)}
+        return pa.table({"h1": table["h1"], "h2": table["h2"], "shard": pa.array([shard_of[row[0]] for row in slots], pa.int32()), "size": table["size"]})
 
     return deal
 
 
-def _merge(shards: int):
-    def merge(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("bucket", "ascending"), ("part", "ascending")])
-        buckets, index = np.unique(table["bucket"].to_numpy(), return_inverse=True)
-        sums = np.zeros((len(buckets), shards), np.int64)
-        part = table["part"].to_numpy()
-        sums[index, part] = table["size"].to_numpy()
-        final = np.array(differencing(sums.tolist()))
-        return pa.table({"bucket": table["bucket"], "part": table["part"], "up": table["up"], "shard": pa.array(final[index, part], pa.int32())})
-
-    return merge
-
-
-def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", row_bytes: int = 8, bucket_groups: int = 50_000, fan: int = 1_000, block_rows: int = 50_000) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", row_bytes: int = 8, bucket_groups: int = 50_000, block_rows: int = 50_000) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot (0, 1, ... inside the shard) of every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = staged(
@@ -111,21 +107,18 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", te
         "shard-rows",
     )
     total = rows.count()
+    groups = staged(rows.groupBy("h1", "h2").agg(F.sum("size").alias("size")), "shard-groups")
+    bytes_ = groups.agg(F.sum("size")).first()[0] or 0
+    # Each of these holds its part of all bytes, so there are at most 64 * shards.
+    is_large = F.col("size") * (64 * shards) >= bytes_
+    dealt = "h1 long, h2 long, shard int, size long"
+    large = staged(groups.where(is_large).groupBy(F.lit("all")).applyInArrow(_deal(shards, [0] * shards, 1), dealt), "shard-large")
+    held = {r.shard: r.load for r in large.groupBy("shard").agg(F.sum("size").alias("load")).collect()}
+    loads = [held.get(shard, 0) for shard in range(shards)]
     # A bucket number depends on the group only, so that repeated runs deal alike.
     buckets = max(1, math.ceil(total / bucket_groups))
-    groups = rows.groupBy("h1", "h2").agg(F.sum("size").alias("size")).withColumn("bucket", F.pmod("h1", F.lit(buckets)))
-    dealt = staged(groups.groupBy("bucket").applyInArrow(_deal(shards), "h1 long, h2 long, bucket long, part int, size long"), "shard-groups")
-    while True:
-        # Combine up to ``fan`` partial partitions in a task, level by level, until one is left.
-        last = buckets <= fan
-        sums = dealt.groupBy("bucket", "part").agg(F.sum("size").alias("size")).withColumn("up", F.floor(F.col("bucket") / fan).cast("long"))
-        merged = sums.groupBy("up").applyInArrow(_merge(shards), "bucket long, part int, up long, shard int")
-        dealt = dealt.join(merged, ["bucket", "part"]).select("h1", "h2", F.col("up").alias("bucket"), F.col("shard").alias("part"), "size")
-        if last:
-            break
-        buckets = math.ceil(buckets / fan)
-        dealt = staged(dealt, "shard-groups")
-    placed = dealt.select("h1", "h2", F.col("part").alias("shard"))
+    small = groups.where(~is_large).groupBy(F.pmod("h1", F.lit(buckets))).applyInArrow(_deal(shards, loads, bytes_ - sum(loads)), dealt)
+    placed = staged(large.unionByName(small), "shard-placed").select("h1", "h2", "shard")
     blocks = max(256, math.ceil(total / block_rows))
     put = staged(
         rows.join(placed, ["h1", "h2"]).select("doc_id", "size", "text_crc32", "h1", "shard", F.pmod(F.xxhash64("doc_id", "h1"), F.lit(blocks)).cast("int").alias("block")),
