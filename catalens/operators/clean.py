@@ -118,8 +118,12 @@ def outlier_limits(df: DataFrame, column: str) -> DataFrame:
 
 
 def trim_outliers(df: DataFrame, column: str) -> DataFrame:
-    """Keep values between the 1 % and 99 % quantiles, both included."""
-    limits = as_scalar(outlier_limits(df, column))
+    """Keep values between the 1 % and 99 % quantiles, both included.
+
+    The two limits are written as one row, so that whatever reads the trimmed
+    table does not look for them again.
+    """
+    limits = as_scalar(staged(outlier_limits(df, column), "limits"))
     return df.where((F.col(column) >= limits["low"]) & (F.col(column) <= limits["high"]))
 
 

@@ -246,7 +246,9 @@ def score_from_text(df: DataFrame, key: str, text: str, scores: DataFrame, rules
     (or the default if the table lacks it), default. ``key`` must be unique.
     """
     rows = df.select(F.col(key), F.lower(F.coalesce(text, F.lit(""))).alias("__text"))
-    lookup = scores.select("name", F.col("score").cast("bigint").alias("score"))
+    # Of a repeated name the last one counts.
+    scores = scores.groupBy("name").agg(F.max_by(F.col("score").cast("bigint"), "ord").alias("score"), F.min("ord").alias("ord"))
+    lookup = scores.select("name", "score")
     proposed = rows.select(
         key,
         F.array_distinct(_all_candidates("__text", rules)).alias("proposed"),
@@ -262,18 +264,22 @@ def score_from_text(df: DataFrame, key: str, text: str, scores: DataFrame, rules
     found = candidates.join(lookup, F.col("candidate.name") == F.col("name"), "left")
     by_rule = F.col("score").isNotNull() & (F.col("candidate.kind") != "keyword")
     hit = F.struct("score", "name", F.col("candidate.kind").alias("kind"))
-    ruled = found.groupBy(key).agg(
-        F.min_by(F.when(by_rule, hit), F.when(by_rule, F.col("pos"))).alias("rule"),
-        F.max(F.when(F.col("candidate.kind") == "keyword", F.col("score"))).alias("keyword_score"),
-        F.max("keyword").alias("keyword"),
-        F.max("tried").alias("tried"),
+    # Read twice below; written, so that the patterns run over the texts once.
+    ruled = staged(
+        found.groupBy(key).agg(
+            F.min_by(F.when(by_rule, hit), F.when(by_rule, F.col("pos"))).alias("rule"),
+            F.max(F.when(F.col("candidate.kind") == "keyword", F.col("score"))).alias("keyword_score"),
+            F.max("keyword").alias("keyword"),
+            F.max("tried").alias("tried"),
+        ),
+        "ruled",
     )
     unresolved = rows.join(ruled.where(F.col("rule").isNull()).select(key), key, "left_semi")
     fuzzy = (
         best_match(unresolved, key, "__text", scores)
         .where(F.col("match_score") > MIN_MATCH)
         .join(
-            scores.select(F.col("name").alias("best_pattern"), F.col("score").cast("bigint").alias("fuzzy_score")),
+            scores.select(F.col("name").alias("best_pattern"), F.col("score").alias("fuzzy_score")),
             "best_pattern",
         )
         .select(key, "best_pattern", "fuzzy_score")

@@ -78,6 +78,10 @@ def explore(raw: DataFrame, roles: clean.Roles = clean.Roles()) -> dict[str, Dat
     """All exploration results of a raw wide table, by name."""
     products, reviews = split_tables(raw, roles)
     valid = quality.drop_invalid(products)
+    if "rating" in reviews.columns:
+        reviews = encode.rescale_ratings(reviews, "rating", "rating")
+    # Ten results read these rows.
+    reviews = staged(reviews, "reviews")
     return {
         "price": describe.price_summary(valid, "price_myr"),
         "brands": describe.group_summary(valid, "brand"),
