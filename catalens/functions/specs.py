@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,11 +13,9 @@ from catalens.functions.text import title_case
 
 # ---- fixed values -----------------------------------------------------------
 NUMBER = r"(\d+(?:\.\d+)?)"
-RAM_GB_PATTERNS = [
+RAM_PATTERNS = [
     NUMBER + r"\s*gb\s*(?:ddr\d*|ram|memory)",
     NUMBER + r"\s*gb",
-]
-RAM_TB_PATTERNS = [
     NUMBER + r"\s*tb\s*(?:ddr\d*|ram|memory)",
     NUMBER + r"\s*tb",
 ]
@@ -25,6 +25,16 @@ PLAIN_TB_PATTERN = NUMBER + r"\s*tb"
 PLAIN_GB_PATTERN = NUMBER + r"\s*gb"
 RAM_WORDS = ["ram", "memory", "ddr", "lpddr"]
 SCREEN_PATTERNS = [NUMBER + r"\s*inch", NUMBER + r'\s*"', NUMBER + r"\s*in"]
+# Label, then the alternatives of words that must all occur.
+STORAGE_TYPES = [
+    ("NVMe SSD", [["ssd", "nvme"]]),
+    ("PCIe SSD", [["ssd", "pcie"]]),
+    ("SSD", [["ssd"]]),
+    ("HDD", [["hdd"], ["hard drive"], ["hard disk"]]),
+    ("Hybrid", [["hybrid"], ["sshdd"]]),
+    ("eMMC", [["emmc"]]),
+    ("Flash Storage", [["flash"]]),
+]
 RAM_TYPES = ["ddr5", "ddr4", "ddr3"]
 LOW_POWER_RAM_TYPES = ["lpddr5", "lpddr4", "lpddr3"]
 CPU_MODEL_PATTERNS = [
@@ -64,7 +74,7 @@ def _contains_any(text: Column, words: Sequence[str]) -> Column:
 
 
 def ram_gb(text: Column) -> Column:
-    value = first_match(text, RAM_GB_PATTERNS + RAM_TB_PATTERNS).cast("double")
+    value = first_match(text, RAM_PATTERNS).cast("double")
     in_tera = text.contains("tb") & ~text.contains("gb")
     return F.when(in_tera, value * 1024).otherwise(value)
 
@@ -85,16 +95,12 @@ def screen_inches(text: Column) -> Column:
 
 
 def storage_type(text: Column) -> Column:
-    has = text.contains
-    return (
-        F.when(has("ssd") & has("nvme"), "NVMe SSD")
-        .when(has("ssd") & has("pcie"), "PCIe SSD")
-        .when(has("ssd"), "SSD")
-        .when(has("hdd") | has("hard drive") | has("hard disk"), "HDD")
-        .when(has("hybrid") | has("sshdd"), "Hybrid")
-        .when(has("emmc"), "eMMC")
-        .when(has("flash"), "Flash Storage")
-    )
+    """Label of the first kind that the text names."""
+
+    def named(alternatives: Sequence[Sequence[str]]) -> Column:
+        return reduce(or_, (reduce(and_, (text.contains(word) for word in words)) for words in alternatives))
+
+    return F.coalesce(*[F.when(named(alternatives), F.lit(label)) for label, alternatives in STORAGE_TYPES])
 
 
 def ram_type(text: Column, strict: bool = False) -> Column:

@@ -13,6 +13,11 @@ from catalens.operators.stats import missing as absent
 VALID_RAM = (1, 128)
 VALID_STORAGE = (16, 8192)
 ACTIONS = ("drop", "mark")
+NOTE = "{label} %sGB outside valid range ({low}-{high}GB)"
+VALID_FLAGS = ("ram_valid", "storage_valid")
+INVALID_FLAGS = ("ram_invalid", "storage_invalid")
+NOTES_COLUMN = "validation_notes"
+DROPPED, KEPT_ALL = "dropped_invalid_records", "no_action_needed"
 # -----------------------------------------------------------------------------
 
 
@@ -30,9 +35,8 @@ class Range:
         return F.coalesce((value < self.low) | (value > self.high), F.lit(False))
 
     def note(self) -> Column:
-        text = F.format_string(
-            f"{self.label} %sGB outside valid range ({self.low}-{self.high}GB)", F.col(self.column).cast("string")
-        )
+        form = NOTE.format(label=self.label, low=self.low, high=self.high)
+        text = F.format_string(form, F.col(self.column).cast("string"))
         return F.when(self.invalid(), text)
 
 
@@ -45,18 +49,13 @@ def drop_invalid(df: DataFrame, ram: Range = RAM, storage: Range = STORAGE) -> D
 
 
 def mark_invalid(df: DataFrame, ram: Range = RAM, storage: Range = STORAGE) -> DataFrame:
-    return df.withColumns({"ram_valid": ~ram.invalid(), "storage_valid": ~storage.invalid()})
+    return df.withColumns({name: ~limits.invalid() for name, limits in zip(VALID_FLAGS, (ram, storage))})
 
 
 def invalid_details(df: DataFrame, ram: Range = RAM, storage: Range = STORAGE) -> DataFrame:
     """The invalid rows with flags and notes."""
-    return df.where(ram.invalid() | storage.invalid()).withColumns(
-        {
-            "ram_invalid": ram.invalid(),
-            "storage_invalid": storage.invalid(),
-            "validation_notes": F.concat_ws("; ", ram.note(), storage.note()),
-        }
-    )
+    flags = {name: limits.invalid() for name, limits in zip(INVALID_FLAGS, (ram, storage))}
+    return df.where(ram.invalid() | storage.invalid()).withColumns(flags | {NOTES_COLUMN: F.concat_ws("; ", ram.note(), storage.note())})
 
 
 def validity_summary(df: DataFrame, ram: Range = RAM, storage: Range = STORAGE) -> DataFrame:
@@ -74,7 +73,7 @@ def validity_summary(df: DataFrame, ram: Range = RAM, storage: Range = STORAGE)
         {
             "records_dropped": dropped,
             "total_records_final": F.col("total_records_original") - dropped,
-            "action_taken": F.when(dropped > 0, "dropped_invalid_records").otherwise("no_action_needed"),
+            "action_taken": F.when(dropped > 0, DROPPED).otherwise(KEPT_ALL),
         }
     )
 

@@ -1,4 +1,8 @@
-"""SQL text of the scalar rules, for the DuckDB side of the comparison."""
+"""SQL text of the scalar rules, for the DuckDB side of the comparison.
+
+Edges, labels, words and patterns here are fixed values: they restate what the
+rules must give, on their own and not from the library's constants.
+"""
 
 from __future__ import annotations
 
