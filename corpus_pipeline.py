@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from catalens.llm import byte_bpe, decontamination, line_dedup, ngram_join, quality_classifier
 from catalens.llm.queries import quality_model
+from catalens.llm.ship import ship
 from catalens.session import staged
 
 
@@ -72,6 +73,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are written to the shared folder and read again."""
+    ship(spark)
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
