@@ -75,16 +75,22 @@ def _entries(width: int, run: int):
     return entries
 
 
+def _plain(text: words.Texts, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen words with a space after each, and where each begins."""
+    starts, lengths = text.starts[chosen], text.ends[chosen] - text.starts[chosen] + 1
+    begin = np.concatenate([[0], np.cumsum(lengths)])
+    source = np.arange(begin[-1]) + np.repeat(starts - begin[:-1], lengths)
+    plain = text.data[np.minimum(source, max(len(text.data) - 1, 0))] if len(source) else np.empty(0, np.uint8)
+    plain[begin[1:] - 1] = 32
+    return plain, begin
+
+
 def _cut(width: int):
     """The words of the wanted segments of each text, joined by single spaces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, text in _texts(batches):
-            lengths = text.ends - text.starts + 1
-            begin = np.concatenate([[0], np.cumsum(lengths)])
-            source = np.arange(begin[-1]) + np.repeat(text.starts - begin[:-1], lengths)
-            plain = text.data[np.minimum(source, max(len(text.data) - 1, 0))] if len(source) else np.empty(0, np.uint8)
-            plain[begin[1:] - 1] = 32
+            plain, begin = _plain(text, np.arange(len(text.starts)))
             rows: list[tuple[int, int, int, bytes]] = []
             for i, found in enumerate(batch.column("found").to_pylist()):
                 low, high = int(text.first[i]), int(text.first[i + 1])
@@ -131,16 +137,14 @@ class FMIndex:
     def __init__(self, symbols: np.ndarray, sigma: int):
         n = len(symbols)
         rank, step = symbols.astype(np.int64), 1
-        while True:
-            order = np.argsort(rank, kind="stable")
-            if step == DEPTH:
-                break
-            following = np.zeros(n, np.int64)
-            following[:-step] = rank[step:] + 1
-            order = np.lexsort((following, rank))
-            change = np.append(False, (rank[order[1:]] != rank[order[:-1]]) | (following[order[1:]] != following[order[:-1]]))
+        while step < DEPTH:
+            # Rank by twice as many symbols: the pair of ranks as one number. Equal suffixes may stand in any order.
+            key = rank * (n + 1)
+            key[:-step] += rank[step:] + 1
+            order = np.argsort(key)
+            key = key[order]
             rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(change)
+            rank[order] = np.cumsum(np.append(False, key[1:] != key[:-1]))
             step *= 2
         self.order = order
         bits = max(1, int(sigma).bit_length())
@@ -237,10 +241,9 @@ def _remove(width: int):
                         change[low + span["b"] + width] -= 1
             gone = np.cumsum(change)[:-1] > 0
             total = np.concatenate([[0], np.cumsum(gone)])
-            kept = []
-            for a, b in zip(text.first[:-1].tolist(), text.first[1:].tolist()):
-                stay = np.flatnonzero(~gone[a:b]) + a
-                kept.append(b" ".join([text.word(k) for k in stay.tolist()]))
+            plain, begin = _plain(text, np.flatnonzero(~gone))
+            bounds = begin[text.first - total[text.first]]
+            kept = [plain[a : max(a, b - 1)].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             removed = total[text.first[1:]] - total[text.first[:-1]]
             columns = [batch.column("doc_id"), pa.array(text.counts()), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_text"])
