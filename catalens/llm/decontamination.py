@@ -1,13 +1,15 @@
 """Benchmark passages in documents, found by spaced seeds.
 
 A mask of ones and zeros slides over the words and hashes only the words under
-its ones, so that a changed word under a zero does not hide a passage. Items
-shorter than the masks are sought by runs of ``SHORT`` words. A fixed-size filter
-of all item hashes, sent to every task, picks the places in documents worth a
-look; those hashes are joined with the items' and every hit is verified: along its
-diagonal the segment is taken in which matches outweigh substitutions, and it
-counts if it has ``min_words`` words (or all of a shorter item) of which
-``min_share`` are equal.
+its ones, so that a changed word under a zero does not hide a passage. The masks
+are chosen so that every run of ``WHOLE`` words or more with three quarters of them
+equal, wherever the others stand, has a place for one of them; items shorter than
+that have masks of their own. A fixed-size filter of all item hashes, sent to
+every task, picks the places in documents worth a look; those hashes are joined
+with the items' and every hit is verified: its diagonal counts if any run of
+``min_words`` words (or all of a shorter item) has ``min_share`` of them equal.
+Reported is the run with most equal words, without unequal ones at its edges as
+long as it has words enough.
 
 Words are runs of letters and digits, A-Z as a-z. Only places that pass the
 filter are shuffled. Equal items are joined once and listed again at the end; a
@@ -21,6 +23,7 @@ give no rows. Other columns, whatever their names, are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +34,11 @@ from pyspark.sql import functions as F
 from catalens.llm import blocks, words
 from catalens.session import staged
 
-MASKS = ("110110101111", "111010010111", "101111001101")
-SHORT = 5
+SHORT, WHOLE = 5, 12
+#: A run of 24 words has a half of at least its share, so covering 12 to 23 words covers all.
+MASKS = ("111011", "1100001011", "11010011", "110100000011")
+#: For items of 5 to 11 words, as wholes.
+SHORT_MASKS = ("11011", "1111", "1100011", "10111", "11101")
 
 
 def _seeds(hashes: np.ndarray, number: int, mask: str) -> np.ndarray:
@@ -46,16 +52,28 @@ def _seeds(hashes: np.ndarray, number: int, mask: str) -> np.ndarray:
     return out
 
 
-def _all_masks() -> list[tuple[int, str]]:
-    return list(enumerate((*MASKS, "1" * SHORT)))
+def _masks(min_words: int, min_share: float) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Masks of items of ``WHOLE`` words or more, and of shorter ones."""
+    if min_words >= WHOLE and min_share >= 0.75:
+        return MASKS, SHORT_MASKS
+    # Anything looser is sought by the longest run of equal words that no allowed pattern can do without.
+    least = max(min(min_words, SHORT), 1)
+    changed = {n: math.floor(n * (1 - min_share) + 1e-9) for n in range(least, 2 * max(min_words, WHOLE))}
+    run = min(-(-(n - c) // (c + 1)) for n, c in changed.items())
+    if run < 1:
+        raise ValueError("min_share allows overlaps without an equal word")
+    return ("1" * run,), ("1" * run,)
 
 
-def _item_seeds(hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    span = max(map(len, MASKS))
-    for number, mask in _all_masks():
-        if (len(hashes) < span) == (number == len(MASKS)):
-            found = _seeds(hashes, number, mask)
-            yield found, np.arange(len(found))
+def _item_seeds(hashes: np.ndarray, masks: tuple[tuple[str, ...], tuple[str, ...]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for number, mask in _numbered(masks, len(hashes) >= WHOLE, len(hashes) < WHOLE):
+        found = _seeds(hashes, number, mask)
+        yield found, np.arange(len(found))
+
+
+def _numbered(masks: tuple[tuple[str, ...], tuple[str, ...]], long: bool, short: bool) -> list[tuple[int, str]]:
+    """The masks of long or short items or both, each with its number among all."""
+    return [(n, mask) for n, mask in enumerate(masks[0] + masks[1]) if (long if n < len(masks[0]) else short)]
 
 
 def _places(seeds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,12 +89,17 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(tokens, pa.binary())], ["item_id", "tokens"])
 
 
-def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for item, tokens in zip(batch.column("item").to_pylist(), batch.column("tokens").to_pylist()):
-            for seeds, places in _item_seeds(np.frombuffer(tokens, np.uint64)):
-                columns = [pa.array(seeds.view(np.int64)), pa.array([item] * len(seeds), pa.int64()), pa.array(places.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["seed", "item", "item_at"])
+def _seed_rows(masks: tuple[tuple[str, ...], tuple[str, ...]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, tokens in zip(batch.column("item").to_pylist(), batch.column("tokens").to_pylist()):
+                if len(tokens) < 8 * SHORT:
+                    continue
+                for seeds, places in _item_seeds(np.frombuffer(tokens, np.uint64), masks):
+                    columns = [pa.array(seeds.view(np.int64)), pa.array([item] * len(seeds), pa.int64()), pa.array(places.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, ["seed", "item", "item_at"])
+
+    return run
 
 
 def _filters(bits: int):
@@ -90,7 +113,7 @@ def _filters(bits: int):
     return run
 
 
-def _regions(shared, bits: int, reach: int):
+def _regions(shared, bits: int, reach: int, masks: list[tuple[int, str]]):
     """Places that pass the filter, with the words around them up to an item's length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,14 +123,14 @@ def _regions(shared, bits: int, reach: int):
             hashes = text.hashes(lower=True)
             owner = text.document_of_word()
             at, seeds = [], []
-            for number, mask in _all_masks():
+            for number, mask in masks:
                 found = _seeds(hashes, number, mask)
                 one, two = _places(found, bits)
                 hit = np.flatnonzero(table[one])
                 hit = hit[table[two[hit]] & (owner[hit] == owner[hit + len(mask) - 1])]
                 at.append(hit)
                 seeds.append(found[hit])
-            at, seeds = np.concatenate(at), np.concatenate(seeds)
+            at, seeds = np.concatenate(at or [np.empty(0, np.int64)]), np.concatenate(seeds or [np.empty(0, np.uint64)])
             if not len(at):
                 continue
             order = np.argsort(at, kind="stable")
@@ -118,7 +141,7 @@ def _regions(shared, bits: int, reach: int):
             for a, b in zip(bounds[:-1], bounds[1:]):
                 document = owner[at[a]]
                 low = max(text.first[document], at[a] - reach)
-                high = min(text.first[document + 1], at[b - 1] + reach + max(map(len, MASKS)))
+                high = min(text.first[document + 1], at[b - 1] + reach + WHOLE)
                 rows.append((document, low - text.first[document], hashes[low:high].tobytes(), seeds[a:b].view(np.int64), (at[a:b] - low).astype(np.int32)))
             which = pa.array([r[0] for r in rows])
             yield pa.RecordBatch.from_arrays(
@@ -136,17 +159,33 @@ def _regions(shared, bits: int, reach: int):
     return run
 
 
-def best_segment(equal: np.ndarray, min_share: float) -> tuple[int, int]:
-    """Start and end of the segment with the highest sum of matches less the price of substitutions."""
-    price = min_share / (1 - min_share)
-    total = np.concatenate([[0.0], np.cumsum(np.where(equal, 1.0, -price))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total[1:] - low[:-1])) + 1
-    return int(np.flatnonzero(total[:end] == low[end - 1])[-1]), end
+def best_run(equal: np.ndarray, need: int, min_share: float) -> tuple[int, int] | None:
+    """Start and end of the run with most equal words, then fewest words, among those of ``need`` words with ``min_share`` equal."""
+    if len(equal) < need or not equal.any():
+        return None
+    count = np.concatenate([[0], np.cumsum(equal)])
+    level = count - min_share * np.arange(len(count))
+    # The farthest end at which each start still has its share: more words have as many equal ones at least.
+    highest = np.maximum.accumulate(level[::-1])
+    end = len(level) - 1 - np.searchsorted(highest, level - 1e-9)
+    start = np.arange(len(level))
+    fit = np.flatnonzero(end - start >= need)
+    if not len(fit):
+        return None
+    start, end = start[fit], end[fit]
+    most = count[end] - count[start]
+    start, end = start[most == most.max()], end[most == most.max()]
+    # Unequal words at the edges go, the first ones first, while ``need`` are left.
+    places = np.flatnonzero(equal)
+    first, last = places[count[start]], places[count[end] - 1] + 1
+    a = np.minimum(first, end - need)
+    b = np.maximum(last, a + need)
+    best = int(np.argmin(b - a))
+    return int(a[best]), int(b[best])
 
 
 def _verify(min_words: int, min_share: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for row, (text, item, start, shifts) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("words", "tokens", "start", "shifts")))):
@@ -155,11 +194,12 @@ def _verify(min_words: int, min_share: float):
                 for shift in sorted(shifts):
                     low, high = max(0, -shift), min(len(item), len(text) - shift)
                     equal = text[low + shift : high + shift] == item[low:high]
-                    if not equal.any():
+                    run = best_run(equal, min(min_words, len(item)), min_share)
+                    if run is None:
                         continue
-                    a, b = best_segment(equal, min_share)
+                    a, b = run
                     found = (int(equal[a:b].sum()), a - b, start + low + a + shift, low + a)
-                    if b - a >= min(min_words, len(item)) and (best is None or found[:2] > best[:2]):
+                    if best is None or found[:2] > best[:2]:
                         best = found
                 if best:
                     out.append((row, best[2], best[3], -best[1], best[0]))
@@ -168,7 +208,7 @@ def _verify(min_words: int, min_share: float):
             columns += [pa.array([o[k] for o in out], pa.int32()) for k in (1, 2, 3, 4)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "item", "doc_word", "item_word", "n_words", "n_equal"])
 
-    return run
+    return verify
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, min_share: float = 0.75, filter_bits: int = 22, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -177,15 +217,18 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, mi
     raw = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
     named = staged(raw.mapInArrow(_items, "item_id long, tokens binary"), "benchmark-items")
     items = staged(named.where(F.length("tokens") > 0).groupBy("tokens").agg(F.min(F.coalesce("item_id", F.lit(-1))).alias("item")), "benchmark-distinct")
-    seeds = staged(items.mapInArrow(_seed_rows, "seed long, item long, item_at int"), "benchmark-seeds")
+    masks = _masks(min_words, min_share)
+    seeds = staged(items.mapInArrow(_seed_rows(masks), "seed long, item long, item_at int"), "benchmark-seeds")
     found = blocks.folded(seeds.mapInArrow(_filters(filter_bits), blocks.SCHEMA), np.bitwise_or, np.uint8)
     packed = bytes(1 << filter_bits - 3) if found is None else found.tobytes()
     # The filter has a fixed size, however long the benchmark is.
     shared = spark.sparkContext.broadcast(packed)
-    reach = (items.agg(F.max(F.length("tokens"))).first()[0] or 0) // 8
+    longest, long, short = items.agg(F.max(F.length("tokens")), F.max(F.length("tokens") >= 8 * WHOLE), F.max(F.length("tokens").between(8 * SHORT, 8 * WHOLE - 8))).first()
+    reach = (longest or 0) // 8
+    used = _numbered(masks, bool(long), bool(short))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     regions = staged(
-        texts.mapInArrow(_regions(shared, filter_bits, reach), "doc_id long, text_hash long, start int, words binary, seeds array<long>, places array<int>").withColumn("region", F.xxhash64("doc_id", "text_hash", "start")),
+        texts.mapInArrow(_regions(shared, filter_bits, reach, used), "doc_id long, text_hash long, start int, words binary, seeds array<long>, places array<int>").withColumn("region", F.xxhash64("doc_id", "text_hash", "start")),
         "benchmark-regions",
     )
     hits = regions.select("region", F.inline(F.arrays_zip(F.col("seeds").alias("seed"), F.col("places").alias("place"))))
