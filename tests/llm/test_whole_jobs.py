@@ -4,9 +4,11 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from catalens.llm import decontamination
+from catalens.llm import decontamination, language_model
 
 
 def _found(rows):
@@ -67,3 +69,42 @@ def test_decontamination_with_looser_parameters(spark):
     assert _found(decontamination.find_overlaps(docs, bench, min_share=0.65).collect()) == {(1, 1): (0, 0, 20, 14)}
     with pytest.raises(ValueError):
         decontamination.find_overlaps(docs, bench, min_share=0.0)
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_language_model_trains_on_every_position(spark, monkeypatch, rounds):
+    """Each token of each text gives one gradient over all rounds, short texts and beginnings like any other."""
+    taken = []
+    steps = language_model._steps
+    monkeypatch.setattr(language_model, "_steps", lambda features, symbols, *rest: taken.append(len(symbols)) or steps(features, symbols, *rest))
+
+    class Frame:
+        """Runs the training function in this process, to see what it takes."""
+
+        def __init__(self, text):
+            self.sparkSession, self.batch = spark, pa.RecordBatch.from_arrays([pa.array(text)], ["text"])
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return list(run(iter([self.batch])))
+
+    monkeypatch.setattr(language_model.blocks, "folded", lambda parts, *_: np.concatenate([np.frombuffer(x, np.float32) for b in parts for x in b.column("data").to_pylist()]))
+    texts = ["a b c d e f g", "x y", None, " ".join(f"w{i}" for i in range(50))]
+    shape = language_model.Shape(rounds=rounds)
+    counts = language_model.count_words(spark.createDataFrame([(t,) for t in texts], "text string"), shape)[1]
+    language_model.train(Frame(texts), counts, shape)
+    assert sum(taken) == counts.tokens == 8 + 3 + 1 + 51
+
+
+def test_language_model_learns_the_middle_of_short_texts(spark):
+    """A pair of words at the third and fourth place only is learnt."""
+    random.seed(3)
+    rows = []
+    for n in range(3000):
+        kind = n % 2
+        rows.append((n, f"{random.choice('abcdefgh')} {random.choice('abcdefgh')} {('left', 'right')[kind]} {('port', 'starboard')[kind]} {random.choice('abcdefgh')}"))
+    docs = spark.createDataFrame([*rows, (9001, "a b left port c"), (9002, "a b left starboard c")], "doc_id long, text string")
+    found = {r.doc_id: r.score for r in language_model.score(docs, F.col("doc_id") < 9000).where("doc_id > 9000").collect()}
+    assert found[9001] - found[9002] > 0.1
