@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from catalens.llm import decontamination, language_model
+from catalens.llm import decontamination, language_model, license_scan
 
 
 def _found(rows):
@@ -108,3 +108,23 @@ def test_language_model_learns_the_middle_of_short_texts(spark):
     docs = spark.createDataFrame([*rows, (9001, "a b left port c"), (9002, "a b left starboard c")], "doc_id long, text string")
     found = {r.doc_id: r.score for r in language_model.score(docs, F.col("doc_id") < 9000).where("doc_id > 9000").collect()}
     assert found[9001] - found[9002] > 0.1
+
+
+def test_license_scan_finds_notices_inside_long_lines(spark, odd):
+    random.seed(12)
+    words = sorted({w for r in odd.where("doc_id < 900000").select("text").limit(60).collect() for w in (r.text or "").lower().split() if w.isalpha()})
+    words = [w for w in words if "licen" not in w]
+    rows, wanted = [], {}
+    for n in (20, 200, 20_000):
+        for family in ("Apache-2.0", "MIT", "GPL-3.0", "CC-BY-NC-4.0"):
+            for place in (0.0, 0.37, 0.5, 1.0):
+                around = [random.choice(words) for _ in range(n)]
+                at = int(place * n)
+                wanted[len(rows)] = [family]
+                rows.append((len(rows), " ".join([*around[:at], license_scan.TEMPLATES[family][0], *around[at:]])))
+        wanted[len(rows)] = []
+        rows.append((len(rows), " ".join(random.choice(words) for _ in range(n))))
+    scanner = license_scan.train(odd)
+    found = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), scanner).collect()
+    assert {r.doc_id: r.families for r in found} == wanted
+    assert all(r.n_paragraphs == 1 and r.n_license == len(wanted[r.doc_id]) for r in found)
