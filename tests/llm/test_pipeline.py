@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from catalens.session import staged
-from test_operators import _components, _plain_lines, _shingles
+from test_llm_operators import _components, _plain_lines, _shingles
 
 
 @pytest.fixture(scope="module")
