@@ -8,7 +8,7 @@ bytes the largest id is a response and all others revisit it.
 `read_archives` reads files of any size, also gzipped ones, with Spark's text
 reader cut at record starts, so a plain file is read in splits and a task holds one
 record. ``Content-Length`` decides where a record ends. A payload that holds
-the separator itself is written in chunks that cut it, so a split never
+a record start itself is written in chunks that cut it, so a split never
 starts inside a payload of these archives; an archive of other origin that has such
 a payload at the edge of a split is refused, not misread (gzip it: then it is one split).
 
@@ -32,7 +32,7 @@ import hashlib
 import re
 import time
 from collections.abc import Iterator
-from urllib.parse import quote, unquote
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -79,12 +79,12 @@ def _name(key: object) -> str:
 
 
 def _chunks(payload: bytes) -> bytes:
-    """A payload as HTTP chunks, cut inside every separator it holds."""
-    parts = payload.split(SEPARATOR)
-    middle = len(SEPARATOR) // 2
+    """A payload as HTTP chunks, cut inside every record start it holds."""
+    start = START.encode()
+    parts = payload.split(start)
     for i in range(len(parts) - 1):
-        parts[i] += SEPARATOR[:middle]
-        parts[i + 1] = SEPARATOR[middle:] + parts[i + 1]
+        parts[i] += start[:1]
+        parts[i + 1] = start[1:] + parts[i + 1]
     return b"".join(b"%x\r\n%s\r\n" % (len(p), p) for p in parts) + b"0\r\n\r\n"
 
 
@@ -101,7 +101,7 @@ def _unchunked(block: bytes) -> bytes:
 
 def _record(key: object, url: str | None, payload: bytes, digest: str, seconds: int, head: object) -> bytes:
     """A record without the line ends that close it."""
-    chunked = SEPARATOR in payload and head is None
+    chunked = START.encode() in payload and head is None
     http = [("Content-Type", "text/html; charset=utf-8"), ("Transfer-Encoding", "chunked") if chunked else ("Content-Length", len(payload))]
     block = _headers(http, "HTTP/1.1 200 OK")
     if head is None:
@@ -143,7 +143,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 1000, id_col: s
     ``seconds_col`` is the time of capture since 1970; without one, page i is taken i seconds (below 1e9) into 2024.
     """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    clock = F.col(seconds_col).cast("long") if seconds_col else F.lit(FIRST_DATE) + F.pmod(F.coalesce(F.try_to_number(F.col(id_col).cast("string"), F.lit("S9999999999999999999")).cast("long"), F.lit(0)), F.lit(10**9))
+    clock = F.col(seconds_col).cast("long") if seconds_col else F.lit(FIRST_DATE) + F.pmod(F.coalesce(F.col(id_col).try_cast("long"), F.lit(0)), F.lit(10**9))
     rows = pages.select(
         F.col(id_col).alias("key"),
         F.col(url_col).cast("string").alias("url"),
@@ -164,7 +164,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 1000, id_col: s
 
 
 def _capture(raw: bytes) -> tuple | None:
-    """Type, id, url, key, seconds, payload bytes, digest, referred id and whether the digest holds; None if the record goes on."""
+    """Length, type, id, url, key, seconds, payload bytes, digest, referred id and whether the digest holds; None if the record goes on."""
     top, _, block = raw.partition(b"\r\n\r\n")
     fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in top.decode("utf-8", "replace").split("\r\n")[1:])}
     size = int(fields["content-length"])
@@ -187,7 +187,7 @@ def _capture(raw: bytes) -> tuple | None:
     stamp = fields.get("warc-date", "")[:19]
     seconds = calendar.timegm(time.strptime(stamp, "%Y-%m-%dT%H:%M:%S")) if stamp else 0
     url = fields.get("warc-target-uri")
-    return kind, fields.get("warc-record-id", ""), url, url_key(url), seconds, total, digest, fields.get("warc-refers-to"), intact
+    return len(top) + 4 + size, kind, fields.get("warc-record-id", ""), url, url_key(url), seconds, total, digest, fields.get("warc-refers-to"), intact
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +210,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = _capture(raw)
             held = b"" if found else raw
             if found:
-                out.append((file, block, begin, len(raw.rstrip(b"\r\n")) if not found[0] else len(raw), at, *found))
+                out.append((file, block, begin, found[0], at, *found[1:]))
         columns = list(zip(*out)) if out else [()] * len(_PARSED)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PARSED.values())], list(_PARSED))
     if held:
@@ -357,10 +357,5 @@ def capture_index(captures: DataFrame, run_rows: int = 100_000, range_rows: int
 
 def page_of(record_id):
     """The id inside a record's name as `write_archives` gives it; null for other names."""
-    return F.url_decode(F.regexp_extract(record_id, "^<urn:page:(.+)>$", 1))
+    return F.url_decode(F.nullif(F.regexp_extract(record_id, "^<urn:page:(.+)>$", 1), F.lit("")))
 
-
-def unnamed(record_id: str) -> str | None:
-    """The same for one Python string."""
-    found = re.fullmatch(r"<urn:page:(.+)>", record_id or "")
-    return unquote(found[1]) if found else None
