@@ -30,7 +30,7 @@ from catalens.llm.galloping import common
 from catalens.session import staged
 
 PART = 4096
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 LETTERS = np.array([chr(b).isalpha() and b < 128 or b >= 128 for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -50,6 +50,15 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) * (p - q) // (p + q)
 
 
+def _tight(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs."""
+    return values.astype(np.min_scalar_type(int(values.max()))).tobytes()
+
+
+def _wide(data: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(data, f"u{len(data) // count}").astype(np.int64)
+
+
 def _counts(buckets: int):
     """Counts of (group, term) in slices, packed by bucket of the term."""
 
@@ -89,7 +98,7 @@ def _counts(buckets: int):
             for a, b, x, y in zip(edges[:-1], edges[1:], cuts[:-1], cuts[1:]):
                 used, mine = np.unique(owner[x:y], return_inverse=True)
                 values = (int(bucket[a]), *([names[g][k] for g in used] for k in (0, 1)), hashes[a:b].tobytes(), spelt[a:b])
-                values += ((term[x:y] - a).astype(np.int32).tobytes(), mine.astype(np.int32).tobytes(), count[x:y].astype(np.int32).tobytes(), docs[x:y].astype(np.int32).tobytes())
+                values += tuple(map(_tight, (np.bincount(term[x:y] - a, minlength=b - a), mine, count[x:y], docs[x:y])))
                 for column, value in zip(rows, values):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, _PACKED.values())], list(_PACKED))
@@ -98,8 +107,8 @@ def _counts(buckets: int):
 
 
 _NAMES = pa.list_(pa.string())
-_PACKED = {"bucket": pa.int32(), "langs": _NAMES, "sources": _NAMES, "hashes": pa.binary(), "terms": pa.list_(pa.binary()), **{c: pa.binary() for c in ("term", "owner", "count", "docs")}}
-_PACKED_SQL = "bucket int, langs array<string>, sources array<string>, hashes binary, terms array<binary>, term binary, owner binary, count binary, docs binary"
+_PACKED = {"bucket": pa.int32(), "langs": _NAMES, "sources": _NAMES, "hashes": pa.binary(), "terms": pa.list_(pa.binary()), **{c: pa.binary() for c in ("groups", "owner", "count", "docs")}}
+_PACKED_SQL = "bucket int, langs array<string>, sources array<string>, hashes binary, terms array<binary>, groups binary, owner binary, count binary, docs binary"
 _ARRAYS_SQL = "lang string, source string, part long, size int, ids binary, counts binary, n long, terms array<string>"
 
 
@@ -110,9 +119,11 @@ def _arrays(min_docs: int):
         group_of: dict[tuple[str, str], int] = {}
         parts = []
         for row in range(len(table)):
-            hashes, term, owner, count, docs = (np.frombuffer(table.column(c)[row].as_py(), t) for c, t in (("hashes", np.uint64), *((c, np.int32) for c in ("term", "owner", "count", "docs"))))
+            hashes = np.frombuffer(table.column("hashes")[row].as_py(), np.uint64)
+            term = np.repeat(np.arange(len(hashes)), _wide(table.column("groups")[row].as_py(), len(hashes)))
+            owner, count, docs = (_wide(table.column(c)[row].as_py(), len(term)) for c in ("owner", "count", "docs"))
             local = np.array([group_of.setdefault(g, len(group_of)) for g in zip(*(table.column(c)[row].as_py() for c in ("langs", "sources")))], np.int64)
-            parts.append((hashes[term], local[owner], count.astype(np.int64), docs.astype(np.int64), hashes))
+            parts.append((hashes[term], local[owner], count, docs, hashes))
         hashes, owner, count, docs, spelt_as = (np.concatenate(x) for x in zip(*parts))
         spelt = pc.list_flatten(table.column("terms")).combine_chunks()
         langs, lang_of = np.unique(np.array([g[0] for g in group_of], object), return_inverse=True)
@@ -203,7 +214,7 @@ def _excess(top: int):
     return run
 
 
-def source_divergence(docs: DataFrame, min_docs: int = 10, top_terms: int = 10, bucket_bytes: int = 64_000_000, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def source_divergence(docs: DataFrame, min_docs: int = 10, top_terms: int = 10, bucket_bytes: int = 32_000_000, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """lang, source, part (``pair`` or ``term``), item, value, rank: every other source, and the ``top_terms`` terms in excess."""
     texts = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
