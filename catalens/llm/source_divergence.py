@@ -214,7 +214,7 @@ def _excess(top: int):
     return run
 
 
-def source_divergence(docs: DataFrame, min_docs: int = 10, top_terms: int = 10, bucket_bytes: int = 32_000_000, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def source_divergence(docs: DataFrame, min_docs: int = 10, top_terms: int = 10, bucket_bytes: int = 16_000_000, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """lang, source, part (``pair`` or ``term``), item, value, rank: every other source, and the ``top_terms`` terms in excess."""
     texts = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
