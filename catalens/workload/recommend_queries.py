@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalens.operators import collab, match, recommend, vectors
+from catalens.operators import collab, lsh, match, recommend, search_index, vectors
 from catalens.operators.stats import as_scalar
 from catalens.session import scratch_path, staged
 from catalens.workload import sqltext as q
@@ -234,20 +234,33 @@ def recommend_items(spark, folder):
     return found.withColumn("score", F.round("score", 6))
 
 
-@query(
-    "search",
-    f"""SELECT asin, title, brand, price, round(average_rating, 6) AS average_rating, relevance FROM (
+SEARCHED = f"""SELECT asin, title, brand, price, round(average_rating, 6) AS average_rating, relevance FROM (
       SELECT *, CAST(len(list_intersect(list_distinct(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]{{2,}}')), ['ryzen', 'ddr4', 'widget'])) AS INT) AS relevance
       FROM ({SHOP}) AS c) AS s
     WHERE relevance > 0 AND average_rating >= 2.5 AND price <= 1000 AND brand IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5')
-    ORDER BY s.average_rating DESC, relevance DESC, asin LIMIT 10""",
-)
+    ORDER BY s.average_rating DESC, relevance DESC, asin LIMIT 10"""
+
+
+@query("search", SEARCHED)
 def search(spark, folder):
     brands = [f"Brand#{i}" for i in range(1, 6)]
     found = recommend.search(load(spark, folder, CATALOGUE), "asin", "Ryzen DDR4 widget", min_rating=2.5, max_price=1000, brands=brands, sort_by="rating")
     return found.withColumn("average_rating", F.round("average_rating", 6))
 
 
+@query("search_indexed", SEARCHED)
+def search_indexed(spark, folder):
+    """The same search through a stored index of whose items half came, with other texts before, as a later change."""
+    shop = staged(load(spark, folder, CATALOGUE).select("asin", "title", "brand", "price", "average_rating"), "catalogue")
+    index = search_index.SearchIndex(scratch_path(spark, "search"))
+    cheap = F.col("price") < 1000
+    search_index.create(spark, shop.withColumn("title", F.when(cheap, F.concat(F.lit("ryzen ddr4 widget "), "title")).otherwise(F.col("title"))), index)
+    search_index.add(spark, shop.where(cheap), index)
+    brands = [f"Brand#{i}" for i in range(1, 6)]
+    found = search_index.search(spark, index, "Ryzen DDR4 widget", min_rating=2.5, max_price=1000, brands=brands, sort_by="rating")
+    return found.withColumn("average_rating", F.round("average_rating", 6))
+
+
 @query("item_detail", f"SELECT asin, title, brand, price, rating_number FROM ({SHOP}) AS c WHERE asin = {ITEM}")
 def item_detail(spark, folder):
     return recommend.item_detail(load(spark, folder, CATALOGUE), "asin", ITEM).select("asin", "title", "brand", "price", "rating_number")
@@ -282,6 +295,19 @@ def index_terms(spark, folder):
     return recommend.index_terms(recommend.postings(table(spark, folder, "documents"), "doc_id", "text"), "doc_id")
 
 
+@query("index_segments", INDEX)
+def index_segments(spark, folder):
+    """An index created with other texts, then changed, cut and merged, read back whole."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    index = search_index.SearchIndex(scratch_path(spark, "segments"), "doc_id", "text", ("lang",), stop_words=tuple(vectors.STOP_WORDS))
+    other = F.col("lang") != "en"
+    search_index.create(spark, docs.withColumn("text", F.when(other, F.concat("lang", F.lit(" "), F.reverse("text"))).otherwise(F.col("text"))), index)
+    search_index.remove(spark, docs.where("lang = 'de'"), index)
+    search_index.add(spark, docs.where(other), index)
+    search_index.merge(spark, index)
+    return search_index.postings(spark, index)
+
+
 HALF = "TIMESTAMP '2024-01-15 00:00:00'"
 
 
@@ -328,3 +354,61 @@ def similarity_stored(spark, folder):
     path = scratch_path(spark, "similar")
     vectors.write_similarity_table(_similar_products(spark, folder), path)
     return vectors.read_similarity_table(spark, path).drop("slot").withColumn("similarity", F.round("similarity", 6))
+
+
+NEAR_DOCS = f"""WITH v AS MATERIALIZED ({tfidf_sql('documents', 'doc_id', 'text')}),
+    s AS (SELECT b.doc_id AS item, a.doc_id AS neighbour, round(sum(a.weight * b.weight), 9) AS similarity FROM v AS a JOIN v AS b ON a.term = b.term
+      WHERE a.doc_id <> b.doc_id GROUP BY 1, 2)
+    SELECT item, neighbour, similarity, CAST(row_number() OVER (PARTITION BY item ORDER BY similarity DESC, neighbour) AS INT) AS rank
+    FROM s WHERE similarity >= 0.8 QUALIFY rank <= 5"""
+
+
+def _document_vectors(spark, folder):
+    return staged(vectors.tfidf(table(spark, folder, "documents"), "doc_id", "text"), "vectors")
+
+
+@query("lsh_similar", f"SELECT item, neighbour, round(similarity, 6) AS similarity, rank FROM ({NEAR_DOCS}) AS n")
+def lsh_similar(spark, folder):
+    """The five nearest of every document by text; with so many bands that a lost pair is a matter of one in 10,000."""
+    found = lsh.similar_all(_document_vectors(spark, folder), "doc_id", n=5, min_similarity=0.8, recall=0.9999)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("lsh_recall", f"SELECT count(*) AS pairs, CAST(0 AS BIGINT) AS wrong, true AS recalled FROM ({NEAR_DOCS}) AS n")
+def lsh_recall(spark, folder):
+    """Exact pairs, pairs found with another similarity, and whether nine of ten are found with the usual number of bands."""
+    stored = _document_vectors(spark, folder)
+    exact = staged(vectors.similarity_table(stored, "doc_id", stored, n=5, min_similarity=0.8), "exact")
+    found = staged(lsh.similar_all(stored, "doc_id", n=5, min_similarity=0.8), "found")
+    both = exact.join(found.select("item", "neighbour", F.col("similarity").alias("told")), ["item", "neighbour"])
+    wrong = as_scalar(both.agg(F.count_if(F.abs(F.col("told") - F.col("similarity")) > 1e-6).alias("n")))["n"]
+    return lsh.recall_of(found, exact).select("pairs", wrong.alias("wrong"), (F.coalesce("recall", F.lit(1.0)) >= 0.9).alias("recalled"))
+
+
+NEAR_SETS = f"""WITH w AS MATERIALIZED (SELECT doc_id, list_distinct({words_sql('text')}) AS w FROM documents WHERE len({words_sql('text')}) > 0),
+    s AS (SELECT a.doc_id AS item, b.doc_id AS neighbour, round(len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w)), 9) AS similarity
+      FROM w AS a JOIN w AS b ON a.doc_id <> b.doc_id AND 2 * len(a.w) >= len(b.w) AND 2 * len(b.w) >= len(a.w))
+    SELECT item, neighbour, similarity, CAST(row_number() OVER (PARTITION BY item ORDER BY similarity DESC, neighbour) AS INT) AS rank
+    FROM s WHERE similarity >= 0.5 QUALIFY rank <= 5"""
+
+
+def _document_words(spark, folder):
+    return staged(table(spark, folder, "documents").select("doc_id", vectors.words(F.col("text")).alias("w")), "word-sets")
+
+
+@query("minhash_similar", f"SELECT item, neighbour, round(similarity, 6) AS similarity, rank FROM ({NEAR_SETS}) AS n")
+def minhash_similar(spark, folder):
+    """The five nearest of every document by Jaccard similarity of words."""
+    found = lsh.similar_sets_all(_document_words(spark, folder), "doc_id", "w", n=5, min_similarity=0.5, recall=0.9999)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("minhash_recall", f"SELECT count(*) AS pairs, CAST(0 AS BIGINT) AS wrong, true AS recalled FROM ({NEAR_SETS}) AS n")
+def minhash_recall(spark, folder):
+    """As `lsh_recall`; the exact pairs are all that share a word."""
+    sets = _document_words(spark, folder)
+    exact = staged(lsh.exact_sets(sets, "doc_id", "w", n=5, min_similarity=0.5), "exact")
+    found = staged(lsh.similar_sets_all(sets, "doc_id", "w", n=5, min_similarity=0.5), "found")
+    both = exact.join(found.select("item", "neighbour", F.col("similarity").alias("told")), ["item", "neighbour"])
+    wrong = as_scalar(both.agg(F.count_if(F.abs(F.col("told") - F.col("similarity")) > 1e-6).alias("n")))["n"]
+    return lsh.recall_of(found, exact).select("pairs", wrong.alias("wrong"), (F.coalesce("recall", F.lit(1.0)) >= 0.9).alias("recalled"))
