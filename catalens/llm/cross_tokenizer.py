@@ -23,13 +23,13 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 from collections.abc import Iterator
 from functools import cache, partial
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +41,8 @@ from catalens.session import staged
 LONG = 1000
 BLOCK_BYTES = 16_000_000
 LINKS = 4_000_000
-_SHIFT = 32
+#: A link of a text is one number: 21 bits of the A id, 24 of the B id, 18 of the text's place in its part.
+_B_BITS, _TEXT_BITS = 24, 18
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -85,10 +86,9 @@ def _byte_bpe(path: str, pattern: str):
     fast = tiktoken.Encoding("a", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(tokens) if t and i not in special}, special_tokens={})
     slow = Tokenizer.from_file(path)
     slow.encode_special_tokens = True
-    run = re.compile(rf"\S{{{LONG}}}|\s{{{LONG}}}")
 
-    def encode(texts: list[str]) -> list[list[int]]:
-        return [slow.encode(t, add_special_tokens=False).ids if run.search(t) else fast.encode_ordinary(t) for t in texts]
+    def encode(texts: list[str], long: np.ndarray) -> list[list[int]]:
+        return [slow.encode(t, add_special_tokens=False).ids if is_long else fast.encode_ordinary(t) for t, is_long in zip(texts, long)]
 
     return encode, Pieces(tokens)
 
@@ -103,6 +103,31 @@ def _pieces(path: str):
     return partial(model.encode, num_threads=1), Pieces(tokens)
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _long(texts: list[bytes]) -> np.ndarray:
+    """Which texts have a run of ``LONG`` bytes without a change between blank and other bytes."""
+    size = np.array([len(t) for t in texts], np.int64)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    blank = _BLANK[data]
+    first = np.append(0, np.cumsum(size))
+    changes = np.append(False, blank[1:] != blank[:-1]) if len(data) else np.empty(0, bool)
+    changes[first[:-1][size > 0]] = True
+    begin = np.append(np.flatnonzero(changes), len(data))
+    out = np.zeros(len(texts), bool)
+    out[np.searchsorted(first, begin[:-1][np.diff(begin) >= LONG], "right") - 1] = True
+    return out
+
+
+def _widths(a: Pieces, b: Pieces) -> tuple[type, type]:
+    """Types that hold the ids."""
+    if len(a.length) > 1 << 63 - _B_BITS - _TEXT_BITS or len(b.length) > 1 << _B_BITS:
+        raise ValueError("a vocabulary is too large")
+    return tuple(np.uint16 if len(p.length) <= 65536 else np.uint32 for p in (a, b))
+
+
 def _decimals(vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     """Decimal digits of every id with room for a sign behind them, and their number."""
     digits = np.char.mod("%d", np.arange(vocabulary)).astype("S")
@@ -141,25 +166,36 @@ def links(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, owne
             ids_b, times_b = np.unique(b[start_b[low] : at_b[low] + 1], return_counts=True)
             step = max(1, most // len(ids_b))
             for k in range(0, len(ids_a), step):
-                pair = (ids_a[k : k + step, None].astype(np.int64) << _SHIFT | ids_b).ravel()
+                pair = (ids_a[k : k + step, None].astype(np.int64) << _B_BITS | ids_b).ravel()
                 yield np.full(len(pair), owner[low]), pair, (times_a[k : k + step, None] * times_b).ravel()
         else:
             size = (n_a * n_b)[low:high]
             group = np.repeat(np.arange(low, high), size)
             place = np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size)
-            pair = a[start_a[group] + place // n_b[group]].astype(np.int64) << _SHIFT | b[start_b[group] + place % n_b[group]]
+            pair = a[start_a[group] + place // n_b[group]].astype(np.int64) << _B_BITS | b[start_b[group] + place % n_b[group]]
             yield owner[group], pair, np.ones(len(pair), np.int64)
         low = high
 
 
-def _distinct(docs: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The different pairs, and by (text, pair): text, place among the pairs, occurrences."""
-    known, place = np.unique(pairs, return_inverse=True)
-    key = docs * len(known) + place
-    order = np.argsort(key, kind="stable")
-    start = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(key) else np.empty(0, np.int64)
-    cell = key[order][start]
-    return known, cell // max(len(known), 1), cell % max(len(known), 1), np.add.reduceat(times[order], start) if len(start) else times[:0]
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    return np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.empty(0, np.int64)
+
+
+def _distinct(docs: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, pair and occurrences of every different (text, pair), by pair."""
+    key = pairs << _TEXT_BITS | docs
+    if (times == 1).all():
+        key.sort()
+        start = _starts(key)
+        times = np.diff(np.append(start, len(key)))
+    else:
+        order = np.argsort(key)
+        key = key[order]
+        start = _starts(key)
+        times = np.add.reduceat(times[order], start)
+    key = key[start]
+    return key & (1 << _TEXT_BITS) - 1, key >> _TEXT_BITS, times
 
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -195,15 +231,17 @@ def _encode(byte_bpe: tuple[str, str], pieces: str, slice_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (encode_a, bytes_a), (encode_b, bytes_b) = _byte_bpe(*byte_bpe), _pieces(pieces)
         text_a, text_b = _decimals(len(bytes_a.length)), _decimals(len(bytes_b.length))
-        small = tuple(np.uint16 if len(p.length) <= 65536 else np.uint32 for p in (bytes_a, bytes_b))
+        press = zstandard.ZstdCompressor(3)
+        small = _widths(bytes_a, bytes_b)
         block, filled = TaskContext.get().partitionId() << 32, 0
-        for batch in words.slices(batches, "text", slice_bytes):
+        most = 1 << _TEXT_BITS
+        for batch in (part.slice(at, most) for part in words.slices(batches, "text", slice_bytes) for at in range(0, part.num_rows, most)):
             if filled >= BLOCK_BYTES:
                 block, filled = block + 1, 0
             texts = [t or "" for t in batch.column("text").to_pylist()]
             spaced = [(" " + t).encode() if t else b"" for t in texts]
             filled += sum(map(len, spaced))
-            a, n_a = _flat([e if s else [] for e, s in zip(encode_a([" " + t for t in texts]), spaced)])
+            a, n_a = _flat([e if s else [] for e, s in zip(encode_a([" " + t for t in texts], _long(spaced)), spaced)])
             b, n_b = _flat([e if s else [] for e, s in zip(encode_b(texts), spaced)])
             for ids, counts, vocabulary in ((a, n_a, bytes_a), (b, n_b, bytes_b)):
                 same, edge = vocabulary.joined(ids).tobytes(), np.append(0, np.cumsum(vocabulary.length[ids]))[np.append(0, np.cumsum(counts))].tolist()
@@ -230,104 +268,91 @@ def _encode(byte_bpe: tuple[str, str], pieces: str, slice_bytes: int):
                 flags = np.zeros(total, bool)
                 flags[places] = True
                 marks.append(flags)
-            packed: list[list[bytes]] = [[], [], [], []]
-            edge_a, edge_b = np.append(0, np.cumsum(n_a)).tolist(), np.append(0, np.cumsum(n_b)).tolist()
-            for column, values, edge in ((0, a.astype(small[0]), edge_a), (1, b.astype(small[1]), edge_b), (2, marks[0], edge_a), (3, marks[1], edge_b)):
-                for low, high in zip(edge[:-1], edge[1:]):
-                    packed[column].append((np.packbits(values[low:high]) if column > 1 else values[low:high]).tobytes())
+            data = press.compress(b"".join(x.tobytes() for x in (a.astype(small[0]), b.astype(small[1]), np.packbits(marks[0]), np.packbits(marks[1]))))
             hashed = [hashlib.sha256(s).hexdigest() if s else "" for s in strings]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("key"),
-                    pa.array(np.full(len(texts), block)),
-                    *(pa.array(x.astype(np.int64)) for x in (n_a, n_b, n_groups, np.diff(at))),
-                    pa.array(hashed, pa.string()),
-                    *(pa.array(p, pa.binary()) for p in packed),
-                ],
-                ["key", "block", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "a", "b", "cuts_a", "cuts_b"],
-            )
+            columns = [batch.column("key"), *(pa.array(x.astype(np.int64)) for x in (n_a, n_b, n_groups, np.diff(at))), pa.array(hashed, pa.string())]
+            whole = pa.array([0, len(texts)], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([block]), *(pa.ListArray.from_arrays(whole, c) for c in columns), pa.array([data], pa.binary())], ["block", *_COLUMNS, "packed"])
 
     return run
 
 
-def _read(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """Ids, places of common ends and texts of documents written by `_encode`."""
-    count, out = table.num_rows, []
-    for name in "ab":
-        sizes = table.column(f"n_{name}").to_numpy()
-        rows = table.column(name).to_pylist()
-        wide = np.uint32 if sum(map(len, rows)) > 2 * sizes.sum() else np.uint16
-        ids = np.frombuffer(b"".join(rows), wide).astype(np.int64)
-        flags = [np.unpackbits(np.frombuffer(c, np.uint8), count=n) for c, n in zip(table.column(f"cuts_{name}").to_pylist(), sizes.tolist())]
-        out += [ids, np.flatnonzero(np.concatenate(flags)) if flags else np.empty(0, np.int64)]
-        owner = np.repeat(np.arange(count), sizes)
-    a, at_a, b, at_b = out
-    return a, b, at_a, at_b, owner[at_b]
-
-
-def _some(table: pa.Table | pa.RecordBatch, tokens: int = 1_000_000) -> Iterator[pa.Table | pa.RecordBatch]:
-    """Rows with about ``tokens`` links at a time, one row at least."""
-    total = np.cumsum(table.column("n_links").to_numpy())
-    low = 0
-    while low < table.num_rows:
-        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + tokens, "right")))
-        yield table.slice(low, high - low)
-        low = high
+_COLUMNS = ["key", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
+
+
+def _read(row: pa.RecordBatch | pa.Table, wide: tuple[type, type]) -> tuple[np.ndarray, ...]:
+    """Ids, places of common ends and texts of a slice written by `_encode`."""
+    counts = [np.array(row.column(c)[0].as_py(), np.int64) for c in ("n_a", "n_b")]
+    data, at = zstandard.ZstdDecompressor().decompress(row.column("packed")[0].as_py()), 0
+    ids, marks = [], []
+    for n, kind in zip(counts, wide):
+        ids.append(np.frombuffer(data, kind, int(n.sum()), at))
+        at += ids[-1].nbytes
+    for n in counts:
+        marks.append(np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, -(-int(n.sum()) // 8), at), count=int(n.sum()))))
+        at += -(-int(n.sum()) // 8)
+    return *(x.astype(np.int64) for x in ids), *marks, np.repeat(np.arange(len(counts[0])), counts[0])[marks[0]]
 
 
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _of_documents(read: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, pair and occurrences of every different (text, pair); pieces of a text of more than ``LINKS`` links are joined."""
+    pieces = [_distinct(*piece) for piece in links(*read)]
+    if len(pieces) == 1:
+        return pieces[0]
+    return _distinct(*(np.concatenate(x) for x in zip(*pieces))) if pieces else (np.empty(0, np.int64),) * 3
+
+
+def _asked(wide: tuple[type, type]):
     """The different pairs of each block, with the number of its documents that hold them."""
 
     def told(block: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        pairs, place = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-        n = np.bincount(place, np.concatenate([h[1] for h in held]), len(pairs)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), block)), pa.array(pairs), pa.array(n)], ["block", "pair", "n"])
-
-    block, held, size = None, [], 0
-    for batch in batches:
-        blocks = batch.column("block").to_numpy()
-        edges = np.append(np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])), len(blocks)) if len(blocks) else [0]
-        for low, high in zip(edges[:-1], edges[1:]):
-            if blocks[low] != block or size > 4 * LINKS:
-                if held:
-                    yield told(block, held)
-                block, held, size = blocks[low], [], 0
-            for part in _some(batch.slice(low, high - low)):
-                for piece in _of_documents(_read(part)):
-                    known, _, place, _ = piece
-                    held.append((known, np.bincount(place, minlength=len(known))))
-                    size += len(known)
-    if held:
-        yield told(block, held)
-
-
-def _of_documents(read: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Distinct (text, pair) cells; the pieces of a text of more than ``LINKS`` links are joined first."""
-    a, b, at_a, at_b, owner = read
-    pieces = []
-    for docs, pairs, times in links(a, b, at_a, at_b, owner):
-        known, text, place, n = _distinct(docs, pairs, times)
-        pieces.append((text, known[place], n))
-    if pieces:
-        yield _distinct(*(np.concatenate(x) for x in zip(*pieces)))
-
-
-def _sums(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        pairs, n = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(pairs)
+        pairs = pairs[order]
+        start = _starts(pairs)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(start), block)), pa.array(pairs[start]), pa.array(np.add.reduceat(n[order], start))], ["block", "pair", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, size = None, [], 0
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own = batch.column("block")[row].as_py()
+                if own != block or size > LINKS:
+                    if held:
+                        yield told(block, held)
+                    block, held, size = own, [], 0
+                _, pairs, _ = _of_documents(_read(batch.slice(row, 1), wide))
+                start = _starts(pairs)
+                if len(start):
+                    held.append((pairs[start], np.diff(np.append(start, len(pairs)))))
+                    size += len(start)
+        if held:
+            yield told(block, held)
+
+    return run
+
+
+def _sums(wide: tuple[type, type]):
     """Links with the highest count of their A id, and counts over all links, of a block's documents."""
-    answers = answers.sort_by("pair")
-    pairs, counts, best = (answers.column(c).to_numpy() for c in ("pair", "n", "best"))
-    n_best, count_sum = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for part in _some(rows):
-        totals = np.zeros((2, part.num_rows), np.int64)
-        for known, text, place, n in _of_documents(_read(part)):
-            at = np.searchsorted(pairs, known)[place]
-            np.add.at(totals[0], text, n * best[at])
-            np.add.at(totals[1], text, n * counts[at])
-        n_best.append(totals[0])
-        count_sum.append(totals[1])
-    out = rows.select(["key", "n_a", "n_b", "n_groups", "n_links"])
-    out = out.append_column("n_best", pa.array(np.concatenate(n_best))).append_column("count_sum", pa.array(np.concatenate(count_sum)))
-    return out.append_column("groups_sha256", rows.column("groups_sha256"))
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("pair")
+        known, counts, best = (answers.column(c).to_numpy() for c in ("pair", "n", "best"))
+        out = []
+        for row in range(len(rows)):
+            one = rows.slice(row, 1)
+            columns = {c: one.column(c).combine_chunks().flatten() for c in _COLUMNS}
+            total = np.zeros((2, len(columns["key"])), np.int64)
+            text, pairs, times = _of_documents(_read(one, wide))
+            start = _starts(pairs)
+            at = np.repeat(np.searchsorted(known, pairs[start]), np.diff(np.append(start, len(pairs))))
+            np.add.at(total[0], text, times * best[at])
+            np.add.at(total[1], text, times * counts[at])
+            last = columns.pop("groups_sha256")
+            out.append(pa.table({**columns, "n_best": total[0], "count_sum": total[1], "groups_sha256": last}))
+        return pa.concat_tables(out)
+
+    return run
 
 
 def align(docs: DataFrame, byte_bpe: str, pattern: str, pieces: str, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
@@ -336,15 +361,17 @@ def align(docs: DataFrame, byte_bpe: str, pattern: str, pieces: str, id_col: str
     ``byte_bpe`` is the JSON file of a byte-level BPE with its ``pattern``, ``pieces`` a sentencepiece model.
     """
     texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
+    wide = _widths(_byte_bpe(byte_bpe, pattern)[1], _pieces(pieces)[1])
     kind = texts.schema["key"].dataType.simpleString()
-    columns = f"key {kind}, block long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a binary, b binary, cuts_a binary, cuts_b binary"
+    lists = ", ".join(f"{c} array<{kind if c == 'key' else 'string' if c == 'groups_sha256' else 'long'}>" for c in _COLUMNS)
+    columns = f"block long, {lists}, packed binary"
     aligned = staged(texts.mapInArrow(_encode((byte_bpe, pattern), pieces, slice_bytes), columns), "aligned-documents")
-    asked = staged(aligned.where("n_links > 0").mapInArrow(_asked, "block long, pair long, n long"), "aligned-pairs")
-    counts = staged(asked.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.shiftright("pair", _SHIFT)), "pair-counts")
+    asked = staged(aligned.mapInArrow(_asked(wide), "block long, pair long, n long"), "aligned-pairs")
+    counts = staged(asked.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.shiftright("pair", _B_BITS)), "pair-counts")
     top = counts.groupBy("a").agg(F.max("n").alias("top"))
     known = counts.join(top, "a").select("pair", "n", (F.col("n") == F.col("top")).alias("best"))
     answers = asked.select("block", "pair").join(known, "pair")
     result = f"key {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    found = aligned.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_sums, result)
-    pairs = known.select(F.shiftright("pair", _SHIFT).cast("int").alias("a"), F.col("pair").bitwiseAND((1 << _SHIFT) - 1).cast("int").alias("b"), "n", "best")
+    found = aligned.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_sums(wide), result)
+    pairs = known.select(F.shiftright("pair", _B_BITS).cast("int").alias("a"), F.col("pair").bitwiseAND((1 << _B_BITS) - 1).cast("int").alias("b"), "n", "best")
     return found.withColumnRenamed("key", id_col), pairs

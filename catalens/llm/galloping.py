@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Entries between two that are sought from the start; the others start where these end.
-STRIDE = 64
+#: Of so many neighbouring values one is sought first, and the others start where it ends.
+STRIDE = 8
 
 
 def gallop(wanted: np.ndarray, longer: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -31,18 +31,22 @@ def gallop(wanted: np.ndarray, longer: np.ndarray, low: np.ndarray, high: np.nda
     return low
 
 
+def places(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each value of ``a`` the first place in ``b`` that is not smaller; both are sorted."""
+    if len(a) <= STRIDE:
+        return gallop(a, b, np.zeros(len(a), np.int64), np.full(len(a), len(b)))
+    at = places(a[::STRIDE], b)
+    # A value beyond one sought before lies between that one's place and the next one's.
+    low = np.repeat(at, STRIDE)[: len(a)]
+    high = np.repeat(np.append(at[1:], len(b)), STRIDE)[: len(a)]
+    return gallop(a, b, low, high)
+
+
 def common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places in ``a`` and in ``b`` of the values both hold; both are sorted without repeats, the shorter one drives."""
     if len(a) > len(b):
         return common(b, a)[::-1]
-    if not len(a):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    heads = a[::STRIDE]
-    at = gallop(heads, b, np.zeros(len(heads), np.int64), np.full(len(heads), len(b)))
-    low = np.repeat(at, STRIDE)[: len(a)]
-    high = np.repeat(np.append(at[1:], len(b)), STRIDE)[: len(a)]
-    # A value beyond an entry sought before it lies between that one's place and the next one's.
-    place = gallop(a, b, low, np.minimum(high + 1, len(b)))
+    place = places(a, b)
     mine = np.flatnonzero(place < len(b))
     mine = mine[b[place[mine]] == a[mine]]
     return mine, place[mine]

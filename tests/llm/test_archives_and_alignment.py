@@ -192,7 +192,7 @@ def test_links_of_a_long_group_in_pieces():
     for x, y, p, q, d in ((0, 1, 0, 1, 0), (1, 2, 1, 3, 0), (2, 45, 3, 66, 0), (45, 50, 66, 70, 1)):
         for i in a[x:y].tolist():
             for j in b[p:q].tolist():
-                want[d, i << 32 | j] += 1
+                want[d, i << 24 | j] += 1
     for most in (1, 20, 30, 10_000):
         got = collections.Counter()
         for d, p, n in cross_tokenizer.links(a, b, at_a, at_b, owner, most):
