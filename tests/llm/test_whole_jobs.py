@@ -82,7 +82,8 @@ def test_language_model_trains_on_every_position(spark, monkeypatch, rounds):
         """Runs the training function in this process, to see what it takes."""
 
         def __init__(self, text):
-            self.sparkSession, self.batch = spark, pa.RecordBatch.from_arrays([pa.array(text)], ["text"])
+            rows = pa.RecordBatch.from_arrays([pa.array(range(len(text))), pa.array([0] * len(text)), pa.array([True] * len(text)), pa.array(text)], ["doc_id", "text_hash", "learnt", "text"])
+            self.sparkSession, (self.batch,) = spark, language_model._pack(iter([rows]))
 
         def select(self, *_):
             return self
@@ -93,7 +94,7 @@ def test_language_model_trains_on_every_position(spark, monkeypatch, rounds):
     monkeypatch.setattr(language_model.blocks, "folded", lambda parts, *_: np.concatenate([np.frombuffer(x, np.float32) for b in parts for x in b.column("data").to_pylist()]))
     texts = ["a b c d e f g", "x y", None, " ".join(f"w{i}" for i in range(50))]
     shape = language_model.Shape(rounds=rounds)
-    counts = language_model.count_words(spark.createDataFrame([(t,) for t in texts], "text string"), shape)[1]
+    counts = language_model.count_words(language_model.pack(spark.createDataFrame([(n, t, True) for n, t in enumerate(texts)], "doc_id long, text string, learnt boolean")), shape)[1]
     language_model.train(Frame(texts), counts, shape)
     assert sum(taken) == counts.tokens == 8 + 3 + 1 + 51
 
