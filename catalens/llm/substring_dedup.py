@@ -6,7 +6,7 @@ equal names, so names that only one document holds drop out first, and the
 segments of a name meet in one shard.
 
 A shard holds each different segment once, with the smallest document that has it,
-in an FM-index: suffixes in order of their first 16 words, their preceding
+in an FM-index: suffixes in order of their first ``width`` words or more, their preceding
 words in a wavelet tree kept level by level as packed bits with block counts.
 Segments are streamed against it: a backward search over all positions at once
 gives each position's matching statistic, cut at ``width`` and ended as soon as a
@@ -37,7 +37,6 @@ from catalens.llm import words
 from catalens.llm.shared_keys import shared_entries
 from catalens.session import staged
 
-DEPTH = 16
 _COUNT_BITS = 20
 
 
@@ -132,12 +131,12 @@ class WaveletTree:
 
 
 class FMIndex:
-    """Backward search for patterns of up to ``DEPTH`` symbols; symbol 0 separates texts."""
+    """Backward search for patterns of up to ``depth`` symbols; symbol 0 separates texts."""
 
-    def __init__(self, symbols: np.ndarray, sigma: int):
+    def __init__(self, symbols: np.ndarray, sigma: int, depth: int):
         n = len(symbols)
         rank, step = symbols.astype(np.int64), 1
-        while step < DEPTH:
+        while step < depth:
             # Rank by twice as many symbols: the pair of ranks as one number. Equal suffixes may stand in any order.
             key = rank * (n + 1)
             key[:-step] += rank[step:] + 1
@@ -182,7 +181,7 @@ def _search(width: int):
         symbols[place] = inverse + 1
         first = np.concatenate([[0], np.cumsum(counts + 1)])[:-1]
         segment = np.repeat(np.arange(len(counts)), counts + 1)
-        index = FMIndex(symbols, len(names))
+        index = FMIndex(symbols, len(names), width)
         offset = np.arange(len(symbols)) - first[segment]
         ends = np.flatnonzero((offset >= width - 1) & (offset < counts[segment]))
         ends, low, high = matches(symbols, index, ends, width)
