@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalens.llm import blocks, words
+from catalens.llm.names import fresh
 from catalens.session import staged
 
 SHORT, WHOLE = 5, 12
@@ -245,6 +246,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, mi
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without an overlap; all columns as they are."""
-    gone = find_overlaps(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash"))
+    owner, owner_hash = fresh(docs, "id", "hash")
+    gone = find_overlaps(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias(owner), F.col("text_hash").alias(owner_hash)).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(owner)) & (F.xxhash64(text_col) == F.col(owner_hash))
     return docs.join(gone, same, "left_anti")

@@ -33,11 +33,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalens.llm import blocks, words
 from catalens.llm.components import components
+from catalens.llm.names import fresh
 from catalens.llm.shared_keys import shared_entries
 from catalens.session import staged
 
@@ -296,3 +297,19 @@ def link_documents(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text
         "n_shingles",
         F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+def keep_heads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each group of linked documents the one with the smallest id, all columns as they are; rows without an id stay.
+
+    Of rows that repeat id and text the first stays, in the order of the row as JSON.
+    """
+    owner, owner_hash, text_hash, whole, place = fresh(docs, "id", "hash", "text_hash", "row", "place")
+    linked = link_documents(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    heads = linked.where("doc_id = component_id").select(F.col("doc_id").alias(owner), F.col("text_hash").alias(owner_hash)).distinct()
+    named = docs.where(F.col(id_col).isNotNull())
+    same = (F.col(id_col) == F.col(owner)) & F.xxhash64(text_col).eqNullSafe(F.col(owner_hash))
+    rest = [F.col(c) for c in docs.columns if c != text_col]
+    kept = named.join(heads, same, "left_semi").withColumns({text_hash: F.xxhash64(text_col), whole: F.to_json(F.struct(*rest))})
+    once = kept.withColumn(place, F.row_number().over(Window.partitionBy(id_col, text_hash).orderBy(whole))).where(F.col(place) == 1)
+    return once.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

@@ -251,7 +251,7 @@ def test_language_model(odd, odd_rows, empty):
 def test_language_model_is_a_distribution(odd):
     """Over all symbols the probabilities of any context sum to 1."""
     shape = language_model.Shape(rounds=1)
-    docs = odd.select("text")
+    docs = language_model.pack(odd.select("doc_id", "text", F.lit(True).alias("learnt")))
     counts = language_model.count_words(docs, shape)[1]
     weights = language_model.train(docs, counts, shape)
     symbols = np.arange(len(counts.symbol_keys) + 1)
@@ -347,10 +347,45 @@ def test_substring_dedup(odd, odd_rows, empty, split):
     assert split == 2 or substring_dedup.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("width", [5, 14, 20, 33, 50])
+def test_substring_dedup_of_other_widths(spark, width):
+    random.seed(width)
+    shared = [" ".join(f"w{random.randrange(3)}" for _ in range(120)) for _ in range(4)]
+    rows = []
+    for i in range(60):
+        part = random.choice(shared).split(" ")
+        at = random.randrange(60)
+        rows.append((i, " ".join([f"a{random.randrange(3)}" for _ in range(30)] + part[at : at + 60] + [f"b{random.randrange(3)}" for _ in range(30)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [(r.doc_id or -1, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeats(docs, width=width).collect()]
+    assert sorted(found) == _plain_repeats(rows, width)
+    assert any(r[2] for r in found)
+
+
+CLASHING = ["__id", "__hash", "__drop", "__lines", "__text_hash", "__text", "__row", "_id", "_hash", "_ROW", "_place", "_drop", "_lines", "_text_hash"]
+
+
+def test_columns_with_names_of_our_own(spark, odd):
+    """Columns named as temporary ones come through every operator that returns the whole table."""
+    docs = odd.select("doc_id", "text", *[F.lit(f"value {c}").alias(c) for c in CLASHING if c != "_ROW"], F.lit("row").alias("_ROW"))
+    bench = spark.createDataFrame([(1, "a shared line of some length that no document has at all, not one of them")], "item_id long, text string")
+    for done in (line_dedup.dedup_lines(docs), decontamination.drop_contaminated(docs, bench), ngram_join.keep_heads(docs)):
+        assert done.columns[: len(docs.columns)] == docs.columns
+        values = done.select([c for c in docs.columns if c not in ("doc_id", "text")]).distinct().collect()
+        assert [tuple(v) for v in values] == [(*(f"value {c}" for c in CLASHING if c != "_ROW"), "row")]
+
+
+def test_of_repeated_rows_the_first_stays(spark):
+    rows = [(1, "one text of a few words here", c) for c in ("z", "b", None, "a")] + [(2, "another text that nobody else has", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars string")
+    kept = {(r.doc_id, r.n_chars) for k in (1, 4) for r in ngram_join.keep_heads(docs.repartition(k)).collect()}
+    assert kept == {(1, "a"), (2, "x")}
+
+
 def test_fm_index_counts_like_a_scan():
     random.seed(9)
     symbols = np.array([random.randrange(1, 4) if random.random() > 0.05 else 0 for _ in range(600)] + [0])
-    index = substring_dedup.FMIndex(symbols, 3)
+    index = substring_dedup.FMIndex(symbols, 3, 16)
     for _ in range(200):
         pattern = [random.randrange(1, 4) for _ in range(random.randrange(1, 8))]
         low, high = np.array([0]), np.array([len(symbols)])
