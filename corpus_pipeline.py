@@ -8,7 +8,7 @@ empty tables and further columns go through as the stages' operators define.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalens.llm import byte_bpe, decontamination, line_dedup, ngram_join, quality_classifier
@@ -36,15 +36,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id; rows without an id stay."""
-    linked = ngram_join.link_documents(docs)
-    heads = linked.where("doc_id = component_id").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    named = docs.where("doc_id IS NOT NULL")
-    same = (F.col("doc_id") == F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__hash"))
-    kept = named.join(heads.distinct(), same, "left_semi").withColumn("__text", F.xxhash64("text"))
-    # Of rows that repeat a document one stays.
-    order = Window.partitionBy("doc_id", "__text").orderBy("__text")
-    once = kept.withColumn("__row", F.row_number().over(order)).where("__row = 1")
-    return once.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    return ngram_join.keep_heads(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
