@@ -7,12 +7,18 @@ joined to it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_ACCURACY = 100_000
+from catalens.session import staged
+
+DEFAULT_ACCURACY = 10_000
+#: A bracket of a quantile with no more rows than this is read whole.
+KEPT_ROWS = 10_000
 
 
 def as_scalar(one_row: DataFrame) -> Column:
@@ -37,62 +43,99 @@ def value_counts(df: DataFrame, column: str, name: str = "n") -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias(name))
 
 
+@dataclass
+class _Search:
+    """A wanted rank of a column: it lies strictly between two values, of which ``below`` rows are at most the lower one."""
+
+    column: int
+    rank: int
+    low: float | None = None
+    high: float | None = None
+    below: int = 0
+    inside: int = 0
+    found: float | None = None
+
+    def holds(self, value: Column) -> Column:
+        between = value.isNotNull()
+        between = between if self.low is None else between & (value > F.lit(self.low))
+        return between if self.high is None else between & (value < F.lit(self.high))
+
+
+def _values(wanted: Sequence[_Search], values: DataFrame, keep: int) -> None:
+    """Ranks from the different values of what their brackets hold: at most ``keep`` rows each come to the driver."""
+    brackets = list({(s.column, s.low, s.high): s for s in wanted}.values())
+    if not brackets:
+        return
+    held = F.array(*[F.struct(F.lit(k).alias("k"), F.when(s.holds(F.col(f"v{s.column}")), F.col(f"v{s.column}")).alias("v")) for k, s in enumerate(brackets)])
+    rows = values.select(F.inline(held)).where(F.col("v").isNotNull()).groupBy("k", "v").agg(F.count("*").alias("n")).collect()
+    lists: dict[int, list[tuple[float, int]]] = {}
+    for r in rows:
+        lists.setdefault(r.k, []).append((r.v, r.n))
+    place = {(s.column, s.low, s.high): k for k, s in enumerate(brackets)}
+    for s in wanted:
+        upto = s.below
+        for value, n in sorted(lists[place[s.column, s.low, s.high]]):
+            upto += n
+            if upto > s.rank:
+                s.found = value
+                break
+
+
+def _narrow(wanted: Sequence[_Search], values: DataFrame, accuracy: int) -> None:
+    """Each bracket cut to the part that holds the rank, by a sketch of it and a count around what the sketch names."""
+    slack = 3.0 / accuracy
+    near = [(s.rank - s.below + 0.5) / s.inside for s in wanted]
+    guess = values.agg(
+        *[
+            F.percentile_approx(F.when(s.holds(F.col(f"v{s.column}")), F.col(f"v{s.column}")), [max(0.0, q - slack), min(1.0, q + slack)], accuracy).alias(f"e{k}")
+            for k, (s, q) in enumerate(zip(wanted, near))
+        ]
+    ).first()
+    counts = []
+    for k, s in enumerate(wanted):
+        v, (a, b) = F.col(f"v{s.column}"), guess[f"e{k}"]
+        parts = (v < a, v == a, (v > a) & (v < b), (v == b) & (v != a))
+        counts += [F.count_if(s.holds(v) & p).alias(f"c{k}_{i}") for i, p in enumerate(parts)]
+    told = values.agg(*counts).first()
+    for k, s in enumerate(wanted):
+        (a, b), n = guess[f"e{k}"], [told[f"c{k}_{i}"] for i in range(4)]
+        after = [s.below + sum(n[: i + 1]) for i in range(4)]
+        if s.rank < after[0]:  # the sketch was too high: what is below it is looked at next
+            s.high, s.inside = a, n[0]
+        elif s.rank < after[1]:
+            s.found = a
+        elif s.rank < after[2]:
+            s.low, s.high, s.below, s.inside = a, b, after[1], n[2]
+        elif s.rank < after[3]:
+            s.found = b
+        else:
+            s.low, s.below, s.inside = b, after[3], s.below + s.inside - after[3]
+
+
 def column_quantiles(
-    df: DataFrame, columns: Sequence[str], fractions: Sequence[float], accuracy: int = DEFAULT_ACCURACY
+    df: DataFrame, columns: Sequence[str], fractions: Sequence[float], accuracy: int = DEFAULT_ACCURACY, keep: int = KEPT_ROWS
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles of several columns, as rows ``(name, q, n, value)``.
 
-    A sketch brackets every wanted rank; a second pass counts what lies below
-    each bracket and keeps only the distinct values inside it, about
-    ``6 / accuracy`` of the rows, or all values of a column that has fewer than
-    ``accuracy``. No task holds more than that, however many rows or distinct
-    values there are. A bracket that misses its rank raises.
+    The columns are written once, as numbers. Every wanted rank has a bracket, at first the whole column. As long as
+    a bracket holds more than ``keep`` rows a sketch names two values around the rank, and a count of the rows below, at and
+    between them cuts the bracket to a share of about ``6 / accuracy``, or finds the rank on a value that many
+    rows hold. What a task or the driver holds is a sketch, some counts and at most ``keep`` values, whatever the size and
+    the skew of the column; a sketch that misses costs one more round. A column without values has no rows.
     """
-    values = df.select(*[number(c).alias(f"v{i}") for i, c in enumerate(columns)])
-    slack = 3.0 / accuracy
-    edges = [edge for q in fractions for edge in (max(0.0, q - slack), min(1.0, q + slack))]
-    sketch = as_scalar(
-        values.agg(
-            *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))],
-            *[F.percentile_approx(f"v{i}", edges, accuracy).alias(f"e{i}") for i in range(len(columns))],
-        )
-    )
-
-    def few(i: int) -> Column:
-        return sketch[f"n{i}"] < accuracy
-
-    brackets = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("name"),
-                F.lit(float(q)).alias("q"),
-                sketch[f"n{i}"].alias("n"),
-                F.when(few(i), F.lit(float("-inf"))).otherwise(sketch[f"e{i}"][2 * k]).alias("lo"),
-                F.when(few(i), F.lit(float("inf"))).otherwise(sketch[f"e{i}"][2 * k + 1]).alias("hi"),
-                F.col(f"v{i}").alias("v"),
-            )
-            for i, name in enumerate(columns)
-            for k, q in enumerate(fractions)
-        ]
-    )
-    inside = (
-        values.select(F.inline(brackets))
-        .where(F.col("v") <= F.col("hi"))
-        .groupBy("name", "q", "n", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v"))
-        .agg(F.count("*").alias("rows"))
-    )
-    order = Window.partitionBy("name", "q").orderBy(F.col("v").asc_nulls_first())
-    ranked = inside.withColumn("upto", F.sum("rows").over(order))
-    rank = F.col("q") * (F.col("n") - 1)
-    picked = ranked.groupBy("name", "q", "n").agg(
-        F.coalesce(F.max(F.when(F.col("v").isNull(), F.col("upto"))), F.lit(0)).alias("below"),
-        F.min(F.when(F.col("upto") > F.floor(rank), F.col("v"))).alias("lower"),
-        F.min(F.when(F.col("upto") > F.ceil(rank), F.col("v"))).alias("upper"),
-    )
-    value = F.col("lower") + (F.col("upper") - F.col("lower")) * (rank - F.floor(rank))
-    missed = (F.col("below") > F.floor(rank)) | F.col("upper").isNull()
-    checked = F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank; raise accuracy")).cast("double"))
-    return picked.select("name", "q", "n", checked.otherwise(value).alias("value"))
+    values = staged(df.select(*[number(c).alias(f"v{i}") for i, c in enumerate(columns)]), "quantiles")
+    totals = values.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))]).first()
+    ranks = {(i, q): q * (totals[f"n{i}"] - 1) for i in range(len(columns)) for q in fractions if totals[f"n{i}"]}
+    needed = sorted({(i, end(rank)) for (i, _), rank in ranks.items() for end in (math.floor, math.ceil)})
+    search = {(i, rank): _Search(i, rank, inside=totals[f"n{i}"]) for i, rank in needed}
+    while open_ := [s for s in search.values() if s.found is None and s.inside > keep]:
+        _narrow(open_, values, accuracy)
+    _values([s for s in search.values() if s.found is None], values, keep)
+    rows = []
+    for (i, q), rank in ranks.items():
+        lower, upper = search[i, math.floor(rank)].found, search[i, math.ceil(rank)].found
+        rows.append((columns[i], float(q), totals[f"n{i}"], lower if lower == upper else lower + (upper - lower) * (rank - math.floor(rank))))
+    return df.sparkSession.createDataFrame(rows, "name string, q double, n long, value double")
 
 
 def exact_quantiles(

@@ -252,7 +252,7 @@ def search(spark, folder):
 def search_indexed(spark, folder):
     """The same search through a stored index of whose items half came, with other texts before, as a later change."""
     shop = staged(load(spark, folder, CATALOGUE).select("asin", "title", "brand", "price", "average_rating"), "catalogue")
-    index = search_index.SearchIndex(scratch_path(spark, "search"))
+    index = search_index.SearchIndex(scratch_path(spark, "search"), parts=8)
     cheap = F.col("price") < 1000
     search_index.create(spark, shop.withColumn("title", F.when(cheap, F.concat(F.lit("ryzen ddr4 widget "), "title")).otherwise(F.col("title"))), index)
     search_index.add(spark, shop.where(cheap), index)
@@ -299,7 +299,7 @@ def index_terms(spark, folder):
 def index_segments(spark, folder):
     """An index created with other texts, then changed, cut and merged, read back whole."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
-    index = search_index.SearchIndex(scratch_path(spark, "segments"), "doc_id", "text", ("lang",), stop_words=tuple(vectors.STOP_WORDS))
+    index = search_index.SearchIndex(scratch_path(spark, "segments"), "doc_id", "text", ("lang",), parts=8, stop_words=tuple(vectors.STOP_WORDS))
     other = F.col("lang") != "en"
     search_index.create(spark, docs.withColumn("text", F.when(other, F.concat("lang", F.lit(" "), F.reverse("text"))).otherwise(F.col("text"))), index)
     search_index.remove(spark, docs.where("lang = 'de'"), index)
