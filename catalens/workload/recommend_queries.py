@@ -399,7 +399,7 @@ def _document_words(spark, folder):
 @query("minhash_similar", f"SELECT item, neighbour, round(similarity, 6) AS similarity, rank FROM ({NEAR_SETS}) AS n")
 def minhash_similar(spark, folder):
     """The five nearest of every document by Jaccard similarity of words."""
-    found = lsh.similar_sets_all(_document_words(spark, folder), "doc_id", "w", n=5, min_similarity=0.5, recall=0.9999)
+    found = lsh.similar_sets_all(_document_words(spark, folder), "doc_id", "w", n=5, min_similarity=0.5, recall=0.99)
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
