@@ -385,9 +385,10 @@ def lsh_recall(spark, folder):
     return lsh.recall_of(found, exact).select("pairs", wrong.alias("wrong"), (F.coalesce("recall", F.lit(1.0)) >= 0.9).alias("recalled"))
 
 
-NEAR_SETS = f"""WITH w AS MATERIALIZED (SELECT doc_id, list_distinct({words_sql('text')}) AS w FROM documents WHERE len({words_sql('text')}) > 0),
-    s AS (SELECT a.doc_id AS item, b.doc_id AS neighbour, round(len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w)), 9) AS similarity
-      FROM w AS a JOIN w AS b ON a.doc_id <> b.doc_id AND 2 * len(a.w) >= len(b.w) AND 2 * len(b.w) >= len(a.w))
+NEAR_SETS = f"""WITH w AS MATERIALIZED (SELECT DISTINCT doc_id, unnest({words_sql('text')}) AS word FROM documents),
+    n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM w GROUP BY 1),
+    c AS (SELECT a.doc_id AS item, b.doc_id AS neighbour, count(*) AS c FROM w AS a JOIN w AS b ON a.word = b.word WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+    s AS (SELECT item, neighbour, round(c / (x.n + y.n - c), 9) AS similarity FROM c JOIN n AS x ON x.doc_id = item JOIN n AS y ON y.doc_id = neighbour)
     SELECT item, neighbour, similarity, CAST(row_number() OVER (PARTITION BY item ORDER BY similarity DESC, neighbour) AS INT) AS rank
     FROM s WHERE similarity >= 0.5 QUALIFY rank <= 5"""
 
