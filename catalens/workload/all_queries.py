@@ -3,6 +3,7 @@
 from catalens.workload import (  # noqa: F401
     cleaning_queries,
     encoding_queries,
+    evaluation_queries,
     matching_queries,
     pipeline_queries,
     profile_queries,
