@@ -149,25 +149,49 @@ def blend(scores: Sequence[tuple[DataFrame, float]], key: str, score: str, n: in
 
 
 def _heavy_terms(vectors: DataFrame, key: str, min_similarity: float) -> DataFrame:
-    """Of each unit vector the rarest terms, without which no cosine reaches ``min_similarity``."""
+    """Of each unit vector the rarest terms, without which no cosine reaches ``min_similarity``.
+
+    ``after`` is the squared length of what follows a term in the vector, rarest terms
+    first, and ``tail`` that of what follows the last of these terms.
+    """
     spread = vectors.groupBy("term").agg(F.count("*").alias("df"))
     rare_first = Window.partitionBy(key).orderBy("df", "term").rowsBetween(0, Window.unboundedFollowing)
-    rest = vectors.join(spread, "term").withColumn("rest", F.sum(F.col("weight") * F.col("weight")).over(rare_first))
+    square = F.col("weight") * F.col("weight")
+    rest = vectors.join(spread, "term").withColumn("rest", F.sum(square).over(rare_first))
     # What is left of the vector from this term on can still make the similarity.
-    return rest.where(F.col("rest") >= min_similarity**2 - 10**-TIE_DIGITS).select(key, "term")
+    heavy = rest.where(F.col("rest") >= min_similarity**2 - 10**-TIE_DIGITS)
+    after = F.greatest(F.col("rest") - square, F.lit(0.0))
+    heavy = heavy.select(key, "term", "weight", after.alias("after"))
+    return heavy.withColumn("tail", F.min("after").over(Window.partitionBy(key)))
+
+
+def candidate_pairs(vectors: DataFrame, key: str, items: DataFrame, min_similarity: float) -> DataFrame:
+    """Distinct ``(item, neighbour)`` that may reach ``min_similarity``; none that does is lost.
+
+    Terms have one order, rarest first, so the rare terms that two vectors share
+    are all they share up to the last one of these. What they share beyond it lies past
+    the rare terms of one of them and after that term in the other: the product of
+    those lengths and the part already summed bound the cosine.
+    """
+    heavy = _heavy_terms(vectors, key, min_similarity)
+    wanted = heavy.join(items.select(key).distinct(), key, "left_semi")
+    wanted = wanted.select(F.col(key).alias("item"), "term", *[F.col(c).alias(f"own_{c}") for c in ("weight", "after", "tail")])
+    met = wanted.join(heavy.withColumnRenamed(key, "neighbour"), "term").where("item <> neighbour")
+    beyond = F.greatest(F.min("own_after") * F.first("tail"), F.first("own_tail") * F.min("after"))
+    bound = F.sum(F.col("own_weight") * F.col("weight")) + F.sqrt(beyond)
+    summed = met.groupBy("item", "neighbour").agg(bound.alias("bound"))
+    return summed.where(F.col("bound") >= min_similarity - 10**-TIE_DIGITS).select("item", "neighbour")
 
 
 def similarity_table(vectors: DataFrame, key: str, items: DataFrame, n: int = 5, min_similarity: float = 0.8) -> DataFrame:
     """Neighbours ``(item, neighbour, similarity, rank)`` of every item in a list of any length.
 
     ``vectors`` are unit vectors ``(key, term, weight)``, read more than once, so
-    pass a stored table. Exact for all neighbours of at least ``min_similarity``: two
-    such vectors share one of the rarest terms of both, so only pairs that do are
+    pass a stored table. Exact for all neighbours of at least ``min_similarity``: only
+    pairs that share one of the rarest terms of both, and whose bound reaches it, are
     compared. The best ``n`` per item are kept, by similarity, then key.
     """
-    heavy = _heavy_terms(vectors, key, min_similarity)
-    wanted = heavy.join(items.select(key).distinct(), key, "left_semi").withColumnRenamed(key, "item")
-    pairs = wanted.join(heavy.withColumnRenamed(key, "neighbour"), "term").where("item <> neighbour").select("item", "neighbour").distinct()
+    pairs = candidate_pairs(vectors, key, items, min_similarity)
     own = vectors.select(F.col(key).alias("item"), "term", F.col("weight").alias("own"))
     other = vectors.select(F.col(key).alias("neighbour"), "term", "weight")
     scored = (

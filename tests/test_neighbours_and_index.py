@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from catalens.operators import lsh, recommend, search_index
+from catalens.operators import lsh, recommend, search_index, vectors
 from catalens.operators.vectors import STOP_WORDS
 from catalens.session import scratch_path
 
@@ -134,3 +134,23 @@ def test_search_reads_the_buckets_of_its_words_only(spark):
     scan = next(line for line in plan.splitlines() if "FileScan" in line and "term#" in line)
     assert "bucket" in scan.partition("PartitionFilters: [")[2].partition("]")[0]
     assert "EqualTo(term,rare)" in scan and "LessThanOrEqual(price" in scan and "title" not in scan.partition("ReadSchema")[2]
+
+
+@pytest.mark.parametrize("least", [0.3, 0.6, 0.8])
+def test_bounded_candidates_lose_no_pair(spark, least):
+    rng = np.random.default_rng(11)
+    weights = np.where(rng.random((150, 40)) < 0.15 + 0.5 * (np.arange(40) < 3), rng.random((150, 40)), 0)
+    weights[100:] = weights[:50] + 0.1 * rng.random((50, 40)) * (rng.random((50, 40)) < 0.2)
+    weights[7] = 0
+    weights[9] = weights[10]
+    norms = np.linalg.norm(weights, axis=1, keepdims=True)
+    unit = np.divide(weights, norms, out=np.zeros_like(weights), where=norms > 0)
+    rows = [(int(i), f"t{t}", float(unit[i, t])) for i, t in zip(*np.nonzero(unit))]
+    table = spark.createDataFrame(rows, "id int, term string, weight double").cache()
+    cosines = unit @ unit.T
+    near = {(i, j) for i, j in zip(*np.nonzero(cosines >= least)) if i != j}
+    found = {(r.item, r.neighbour) for r in vectors.candidate_pairs(table, "id", table, least).collect()}
+    assert near and near <= found
+    assert len(found) < ((cosines > 0).sum() - 150) / 2
+    some = vectors.candidate_pairs(table, "id", table.where("id < 20"), least).collect()
+    assert {(r.item, r.neighbour) for r in some} == {(i, j) for i, j in found if i < 20}
