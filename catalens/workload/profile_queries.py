@@ -8,6 +8,7 @@ from catalens.functions import bins
 from catalens.functions import text as tx
 from catalens.operators import clean, describe, encode, match, quality
 from catalens.operators.stats import histogram
+from catalens.session import scratch_path
 from catalens.workload import sqltext as q
 from catalens.workload.fixtures import DIRTY_ORDERS, GAPPY, PRODUCTS, RATINGS, WIDE, load, plain, table
 from catalens.workload.registry import query
@@ -188,6 +189,26 @@ def distinct_counts(spark, folder):
     return describe.distinct_counts(table(spark, folder, "lineitem"), ["l_partkey", "l_suppkey", "l_returnflag"])
 
 
+SKETCHED = ("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
+
+
+@query(
+    "distinct_sketches",
+    " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_distinct, true AS near FROM lineitem" for c in SKETCHED),
+)
+def distinct_sketches(spark, folder):
+    """Exact counts, and whether sketches stored per month in two goes come within four standard errors of them."""
+    rows, path = table(spark, folder, "lineitem"), scratch_path(spark, "sketches")
+    late = F.coalesce(F.col("l_shipdate") >= F.lit("1997-01-01"), F.lit(False))
+    for some in (~late, late):
+        parts = describe.distinct_sketches(rows.where(some), SKETCHED, F.date_format("l_shipdate", "yyyy-MM"))
+        parts.write.mode("append").parquet(path)
+    told = describe.merged_distinct_counts(spark.read.parquet(path)).withColumnRenamed("n_distinct", "told")
+    exact = describe.distinct_counts(rows, SKETCHED)
+    error = 4 * 1.04 / 2 ** (describe.SKETCH_LG_K / 2)
+    return exact.join(told, "column").select("column", "n_distinct", (F.abs(F.col("told") - F.col("n_distinct")) <= F.col("n_distinct") * error).alias("near"))
+
+
 @query(
     "quantile_thresholds",
     " UNION ALL ".join(f"SELECT CAST({f} AS DOUBLE) AS q, round(quantile_cont(value, {f}), 6) AS value FROM events" for f in (0.25, 0.5, 0.75, 0.8)),

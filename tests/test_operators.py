@@ -293,3 +293,18 @@ def test_score_document_roundtrip(spark):
 def test_text_sources_need_a_schema(spark):
     with pytest.raises(ValueError):
         files.read_table(spark, "x", "csv")
+
+
+def test_distinct_sketches_merge_to_the_whole(spark):
+    rows = [(i % 5, i % 3000, None if i % 2 else f"v{i % 700}", None) for i in range(20000)]
+    table = spark.createDataFrame(rows, "value int, a long, b string, c string")
+    parts = describe.distinct_sketches(table, ["a", "b", "c", "value"], "value")
+    assert parts.count() == 20
+    merged = {r.column: r.n_distinct for r in describe.merged_distinct_counts(parts).collect()}
+    whole = {r.column: r.n_distinct for r in describe.merged_distinct_counts(describe.distinct_sketches(table, ["a", "b", "c", "value"], F.lit(1))).collect()}
+    exact = {r.column: r.n_distinct for r in describe.distinct_counts(table, ["a", "b", "c", "value"]).collect()}
+    assert exact == {"a": 3000, "b": 350, "c": 0, "value": 5}
+    for name, n in exact.items():
+        # Merged and direct sketches hold the same registers, but their estimators may differ a little.
+        assert abs(merged[name] - n) <= 0.065 * n and abs(whole[name] - n) <= 0.065 * n
+    assert describe.merged_distinct_counts(parts.where("false")).collect() == []
