@@ -148,39 +148,45 @@ def blend(scores: Sequence[tuple[DataFrame, float]], key: str, score: str, n: in
     return _top(weighted.groupBy(key).agg(F.sum("__part").alias("score")), key, "score", n)
 
 
-def _heavy_terms(vectors: DataFrame, key: str, min_similarity: float) -> DataFrame:
-    """Of each unit vector the rarest terms, without which no cosine reaches ``min_similarity``.
+def _split_terms(vectors: DataFrame, key: str, min_similarity: float) -> DataFrame:
+    """Unit vectors with ``heavy``: the rarest terms, without which no cosine reaches ``min_similarity``.
 
     ``after`` is the squared length of what follows a term in the vector, rarest terms
-    first, and ``tail`` that of what follows the last of these terms.
+    first; ``end`` is the place of the vector's last heavy term in the one order of all
+    terms, and ``tail`` the squared length of what follows that.
     """
     spread = vectors.groupBy("term").agg(F.count("*").alias("df"))
     rare_first = Window.partitionBy(key).orderBy("df", "term").rowsBetween(0, Window.unboundedFollowing)
     square = F.col("weight") * F.col("weight")
     rest = vectors.join(spread, "term").withColumn("rest", F.sum(square).over(rare_first))
     # What is left of the vector from this term on can still make the similarity.
-    heavy = rest.where(F.col("rest") >= min_similarity**2 - 10**-TIE_DIGITS)
-    after = F.greatest(F.col("rest") - square, F.lit(0.0))
-    heavy = heavy.select(key, "term", "weight", after.alias("after"))
-    return heavy.withColumn("tail", F.min("after").over(Window.partitionBy(key)))
+    heavy = F.col("rest") >= min_similarity**2 - 10**-TIE_DIGITS
+    rest = rest.withColumns({"heavy": heavy, "after": F.greatest(F.col("rest") - square, F.lit(0.0))})
+    own = Window.partitionBy(key)
+    marked = rest.withColumns(
+        {"end": F.max(F.when(F.col("heavy"), F.struct("df", "term"))).over(own), "tail": F.min(F.when(F.col("heavy"), F.col("after"))).over(own)}
+    )
+    return marked.select(key, "term", "weight", "heavy", "after", "end", "tail")
 
 
-def candidate_pairs(vectors: DataFrame, key: str, items: DataFrame, min_similarity: float) -> DataFrame:
-    """Distinct ``(item, neighbour)`` that may reach ``min_similarity``; none that does is lost.
+def candidate_pairs(terms: DataFrame, key: str, items: DataFrame, min_similarity: float) -> DataFrame:
+    """``(item, neighbour, part, own_first)`` of pairs that may reach ``min_similarity``; none that does is lost.
 
-    Terms have one order, rarest first, so the rare terms that two vectors share
-    are all they share up to the last one of these. What they share beyond it lies past
-    the rare terms of one of them and after that term in the other: the product of
-    those lengths and the part already summed bound the cosine.
+    ``terms`` are from `_split_terms`. The heavy terms that two vectors share, summed in
+    ``part``, are all they share up to the end of the one that ends first (the item if
+    ``own_first``). What they share beyond lies in that one's tail, and in the other
+    after the last shared heavy term: those lengths bound the rest of the cosine.
     """
-    heavy = _heavy_terms(vectors, key, min_similarity)
+    heavy = terms.where("heavy").drop("heavy")
     wanted = heavy.join(items.select(key).distinct(), key, "left_semi")
-    wanted = wanted.select(F.col(key).alias("item"), "term", *[F.col(c).alias(f"own_{c}") for c in ("weight", "after", "tail")])
+    wanted = wanted.select(F.col(key).alias("item"), "term", *[F.col(c).alias(f"own_{c}") for c in ("weight", "after", "end", "tail")])
     met = wanted.join(heavy.withColumnRenamed(key, "neighbour"), "term").where("item <> neighbour")
-    beyond = F.greatest(F.min("own_after") * F.first("tail"), F.first("own_tail") * F.min("after"))
-    bound = F.sum(F.col("own_weight") * F.col("weight")) + F.sqrt(beyond)
-    summed = met.groupBy("item", "neighbour").agg(bound.alias("bound"))
-    return summed.where(F.col("bound") >= min_similarity - 10**-TIE_DIGITS).select("item", "neighbour")
+    met = met.withColumn("own_first", F.col("own_end") <= F.col("end"))
+    beyond = F.when(F.col("own_first"), F.col("own_tail") * F.col("after")).otherwise(F.col("own_after") * F.col("tail"))
+    summed = met.groupBy("item", "neighbour").agg(
+        F.sum(F.col("own_weight") * F.col("weight")).alias("part"), F.min(beyond).alias("beyond"), F.first("own_first").alias("own_first")
+    )
+    return summed.where(F.col("part") + F.sqrt("beyond") >= min_similarity - 10**-TIE_DIGITS).drop("beyond")
 
 
 def similarity_table(vectors: DataFrame, key: str, items: DataFrame, n: int = 5, min_similarity: float = 0.8) -> DataFrame:
@@ -189,16 +195,25 @@ def similarity_table(vectors: DataFrame, key: str, items: DataFrame, n: int = 5,
     ``vectors`` are unit vectors ``(key, term, weight)``, read more than once, so
     pass a stored table. Exact for all neighbours of at least ``min_similarity``: only
     pairs that share one of the rarest terms of both, and whose bound reaches it, are
-    compared. The best ``n`` per item are kept, by similarity, then key.
+    completed, by the terms of one tail. The best ``n`` per item are kept, by
+    similarity, then key.
     """
-    pairs = candidate_pairs(vectors, key, items, min_similarity)
-    own = vectors.select(F.col(key).alias("item"), "term", F.col("weight").alias("own"))
-    other = vectors.select(F.col(key).alias("neighbour"), "term", "weight")
+    terms = staged(_split_terms(vectors, key, min_similarity), "terms")
+    pairs = staged(candidate_pairs(terms, key, items, min_similarity), "pairs")
+    ended = F.when(F.col("own_first"), F.struct(F.col("item").alias("a"), F.col("neighbour").alias("b")))
+    ended = ended.otherwise(F.struct(F.col("neighbour").alias("a"), F.col("item").alias("b")))
+    tails = terms.where("NOT heavy").select(F.col(key).alias("a"), "term", F.col("weight").alias("own"))
+    beyond = (
+        pairs.select("item", "neighbour", F.inline(F.array(ended)))
+        .join(tails, "a")
+        .join(terms.select(F.col(key).alias("b"), "term", "weight"), ["b", "term"])
+        .select("item", "neighbour", (F.col("own") * F.col("weight")).alias("part"))
+    )
     scored = (
-        pairs.join(own, "item")
-        .join(other, ["neighbour", "term"])
+        pairs.select("item", "neighbour", "part")
+        .unionByName(beyond)
         .groupBy("item", "neighbour")
-        .agg(F.round(F.sum(F.col("own") * F.col("weight")), TIE_DIGITS).alias("similarity"))
+        .agg(F.round(F.sum("part"), TIE_DIGITS).alias("similarity"))
         .where(F.col("similarity") >= min_similarity)
     )
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("similarity"), "neighbour"))

@@ -149,8 +149,13 @@ def test_bounded_candidates_lose_no_pair(spark, least):
     table = spark.createDataFrame(rows, "id int, term string, weight double").cache()
     cosines = unit @ unit.T
     near = {(i, j) for i, j in zip(*np.nonzero(cosines >= least)) if i != j}
-    found = {(r.item, r.neighbour) for r in vectors.candidate_pairs(table, "id", table, least).collect()}
+    terms = vectors._split_terms(table, "id", least).cache()
+    found = {(r.item, r.neighbour) for r in vectors.candidate_pairs(terms, "id", table, least).collect()}
     assert near and near <= found
     assert len(found) < ((cosines > 0).sum() - 150) / 2
-    some = vectors.candidate_pairs(table, "id", table.where("id < 20"), least).collect()
+    some = vectors.candidate_pairs(terms, "id", table.where("id < 20"), least).collect()
     assert {(r.item, r.neighbour) for r in some} == {(i, j) for i, j in found if i < 20}
+    scored = vectors.similarity_table(table, "id", table, 200, least)
+    told = {(r.item, r.neighbour): r.similarity for r in scored.collect()}
+    assert set(told) == near
+    assert all(abs(told[i, j] - cosines[i, j]) < 1e-8 for i, j in near)
