@@ -46,15 +46,16 @@ def tfidf(
 ) -> DataFrame:
     """Sparse unit vectors ``(key, term, weight)`` over the most frequent terms.
 
-    weight = tf * (ln((1 + N) / (1 + df)) + 1), then L2-normalised. The term
-    counts are written once; the vocabulary sent to the tasks has ``max_terms`` rows
-    and a vector at most as many entries.
+    weight = tf * (ln((1 + N) / (1 + df)) + 1), then L2-normalised. The vocabulary comes
+    first, from counts that are combined in every task; only its terms are shuffled
+    and written per document, ``max_terms`` rows of one at most.
     """
-    # Texts are taken apart once; all that follows reads the stored counts.
-    counts = staged(term_rows(df, key, text, stop_words).groupBy(key, "term").agg(F.count("*").alias("tf")), "terms")
-    vocabulary = (
-        counts.groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("df")).orderBy(F.desc("n"), "term").limit(max_terms).select("term", "df")
-    )
+    terms = term_rows(df, key, text, stop_words)
+    frequent = terms.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(max_terms).select("term")
+    # Written, so that a lost task of the counts does not look for the vocabulary again; ``max_terms`` rows.
+    frequent = staged(frequent, "vocabulary")
+    counts = staged(terms.join(F.broadcast(frequent), "term").groupBy(key, "term").agg(F.count("*").alias("tf")), "terms")
+    vocabulary = counts.groupBy("term").agg(F.count("*").alias("df"))
     total = as_scalar(df.agg(F.count("*").alias("n")))["n"]
     raw = counts.join(F.broadcast(vocabulary), "term").select(
         key, "term", (F.col("tf") * (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0)).alias("raw")
