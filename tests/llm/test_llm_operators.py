@@ -4,6 +4,7 @@ import base64
 import collections
 import math
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -322,6 +323,49 @@ def test_license_scan(spark, odd, odd_rows, empty):
     assert license_scan.scan(empty, scanner).count() == 0
 
 
+@pytest.fixture(scope="module")
+def scanner(odd):
+    return license_scan.train(odd.select("doc_id", "text"))
+
+
+@pytest.mark.parametrize("columns", [40, 60, 72])
+def test_license_scan_finds_wrapped_notices(spark, odd, odd_rows, scanner, columns):
+    """Templates of several lines, as they are and as comments after code, are found nine times of ten."""
+    plain = [t for i, t in odd_rows if t and "icense" not in t and "\n" not in t.strip()][:2]
+    wrapped = {(f, t): textwrap.wrap(t, columns) for f, ts in license_scan.TEMPLATES.items() for t in ts}
+    wrapped = {k: v for k, v in wrapped.items() if len(v) > 1}
+    rows, wanted = [], []
+    for (family, _), lines in wrapped.items():
+        for start, text in ((0, "\n".join(lines)), (2, "import os\n\n" + "\n".join(f"# {x}" for x in lines) + "\n\n" + plain[0])):
+            wanted.append((family, range(start, start + len(lines))))
+            rows.append((len(rows), text))
+    found = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), scanner).collect()}
+    right = sum(wanted[i][0] in found[i].families for i in found)
+    assert right >= 0.9 * len(rows), (right, len(rows))
+    # A notice lies in its run, at the first line if no line has it alone.
+    assert all(n.position in wanted[i][1] for i, r in found.items() for n in r.notices)
+    assert not any(r.families for r in license_scan.scan(spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string"), scanner).collect())
+
+
+def test_license_paragraphs_against_plain_runs(spark):
+    long = "x" * (license_scan.WRAPPED + 1)
+    texts = ["", "a", "a\nb", "a\n\nb", f"a\nb\n{long}\nc\n \nd\ne\nf", f"{long}\n{long}", "\n\n", "a\nb\n"]
+    wanted = []
+    for i, text in enumerate(texts):
+        lines = text.split("\n")
+        wanted += [(i, k, 1, line) for k, line in enumerate(lines) if line]
+        k = 0
+        while k < len(lines):
+            n = k
+            while n < len(lines) and lines[n].strip() and len(lines[n]) <= license_scan.WRAPPED:
+                n += 1
+            if n - k > 1:
+                wanted.append((i, k, n - k, " ".join(lines[k:n])))
+            k = max(n, k + 1)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert sorted(tuple(r) for r in license_scan._paragraphs(docs).collect()) == sorted(wanted)
+
+
 def _plain_repeats(rows, width=13):
     first = {}
     for i, t in sorted((i, t) for i, t in rows if i is not None):
