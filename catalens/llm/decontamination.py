@@ -4,8 +4,10 @@ A mask of ones and zeros slides over the words and hashes only the words under
 its ones, so that a changed word under a zero does not hide a passage. The masks
 are chosen so that every run of ``WHOLE`` words or more with three quarters of them
 equal, wherever the others stand, has a place for one of them; items shorter than
-that have masks of their own. A fixed-size filter of all item hashes, sent to
-every task, picks the places in documents worth a look; those hashes are joined
+that have masks of their own. A filter of all item hashes, sent to every task, picks
+the places in documents worth a look. It has ``SLOTS`` bytes a hash, between the stated
+sizes, and tells how long the items of a hash are at most, so that a place carries
+the words that they can cover and no more. Those hashes are joined
 with the items' and every hit is verified: its diagonal counts if any run of
 ``min_words`` words (or all of a shorter item) has ``min_share`` of them equal.
 Reported is the run with most equal words, without unequal ones at its edges as
@@ -36,6 +38,8 @@ from catalens.llm.names import fresh
 from catalens.session import staged
 
 SHORT, WHOLE = 5, 12
+#: Bytes of the filter for each hash, and its least and largest size as powers of two (64 MB).
+SLOTS, LEAST_BITS, MOST_BITS = 16, 20, 26
 #: A run of 24 words has a half of at least its share, so covering 12 to 23 words covers all.
 MASKS = ("111011", "1100001011", "11010011", "110100000011")
 #: For items of 5 to 11 words, as wholes.
@@ -98,51 +102,67 @@ def _seed_rows(masks: tuple[tuple[str, ...], tuple[str, ...]]):
                     continue
                 for seeds, places in _item_seeds(np.frombuffer(tokens, np.uint64), masks):
                     columns = [pa.array(seeds.view(np.int64)), pa.array([item] * len(seeds), pa.int64()), pa.array(places.astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(columns, ["seed", "item", "item_at"])
+                    columns.append(pa.array([len(tokens) // 8] * len(seeds), pa.int32()))
+                    yield pa.RecordBatch.from_arrays(columns, ["seed", "item", "item_at", "n_words"])
 
     return run
 
 
+def filter_size(seeds: int) -> int:
+    """Bits of a place in a filter of so many seeds."""
+    return min(max(math.ceil(math.log2(max(seeds, 1) * SLOTS)), LEAST_BITS), MOST_BITS)
+
+
 def _filters(bits: int):
+    """For every place of the filter 1 + the logarithm of its longest item's words, rounded up; 0 without an item."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << bits, bool)
+        table = np.zeros(1 << bits, np.uint8)
         for batch in batches:
+            level = 1 + np.ceil(np.log2(batch.column("n_words").to_numpy())).astype(np.uint8)
             for place in _places(batch.column("seed").to_numpy(zero_copy_only=False).view(np.uint64), bits):
-                table[place] = True
-        yield blocks.cut(np.packbits(table), 16)
+                np.maximum.at(table, place, level)
+        yield blocks.cut(table, 16)
 
     return run
 
 
-def _regions(shared, bits: int, reach: int, masks: list[tuple[int, str]]):
-    """Places that pass the filter, with the words around them up to an item's length."""
+def _regions(shared, bits: int, masks: list[tuple[int, str]]):
+    """Places that pass the filter, with the words around them up to the length of an item that can be there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
+        table = np.frombuffer(shared.value, np.uint8)
         for batch in words.slices(batches):
             text = words.split(batch.column("text"), words.ALPHANUMERIC)
             hashes = text.hashes(lower=True)
             owner = text.document_of_word()
-            at, seeds = [], []
+            at, seeds, reach = [], [], []
             for number, mask in masks:
                 found = _seeds(hashes, number, mask)
                 one, two = _places(found, bits)
-                hit = np.flatnonzero(table[one])
-                hit = hit[table[two[hit]] & (owner[hit] == owner[hit + len(mask) - 1])]
-                at.append(hit)
-                seeds.append(found[hit])
-            at, seeds = np.concatenate(at or [np.empty(0, np.int64)]), np.concatenate(seeds or [np.empty(0, np.uint64)])
+                level = table[one]
+                hit = np.flatnonzero(level)
+                # An item of the seed is in both places, so the lesser one bounds it.
+                level = np.minimum(level[hit], table[two[hit]])
+                kept = (level > 0) & (owner[hit] == owner[hit + len(mask) - 1])
+                at.append(hit[kept])
+                seeds.append(found[hit[kept]])
+                reach.append(np.int64(1) << (level[kept].astype(np.int64) - 1))
+            at, reach = (np.concatenate(x or [np.empty(0, np.int64)]) for x in (at, reach))
+            seeds = np.concatenate(seeds or [np.empty(0, np.uint64)])
             if not len(at):
                 continue
             order = np.argsort(at, kind="stable")
-            at, seeds = at[order], seeds[order]
-            new = np.flatnonzero((np.diff(at) > reach) | (np.diff(owner[at]) > 0)) + 1
+            at, seeds, reach = at[order], seeds[order], reach[order]
+            new = np.flatnonzero((np.diff(at) > np.maximum(reach[1:], reach[:-1])) | (np.diff(owner[at]) > 0)) + 1
             bounds = np.concatenate([[0], new, [len(at)]])
+            lows = np.minimum.reduceat(at - reach, bounds[:-1])
+            highs = np.maximum.reduceat(at + reach, bounds[:-1]) + WHOLE
             rows = []
-            for a, b in zip(bounds[:-1], bounds[1:]):
+            for a, b, low, high in zip(bounds[:-1], bounds[1:], lows, highs):
                 document = owner[at[a]]
-                low = max(text.first[document], at[a] - reach)
-                high = min(text.first[document + 1], at[b - 1] + reach + WHOLE)
+                low = max(text.first[document], low)
+                high = min(text.first[document + 1], high)
                 rows.append((document, low - text.first[document], hashes[low:high].tobytes(), seeds[a:b].view(np.int64), (at[a:b] - low).astype(np.int32)))
             which = pa.array([r[0] for r in rows])
             yield pa.RecordBatch.from_arrays(
@@ -212,28 +232,28 @@ def _verify(min_words: int, min_share: float):
     return verify
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, min_share: float = 0.75, filter_bits: int = 22, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, min_share: float = 0.75, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, item_id, doc_word, item_word, n_words, n_equal: the best overlap of each document and item."""
     spark = docs.sparkSession
     raw = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
     named = staged(raw.mapInArrow(_items, "item_id long, tokens binary"), "benchmark-items")
     items = staged(named.where(F.length("tokens") > 0).groupBy("tokens").agg(F.min(F.coalesce("item_id", F.lit(-1))).alias("item")), "benchmark-distinct")
     masks = _masks(min_words, min_share)
-    seeds = staged(items.mapInArrow(_seed_rows(masks), "seed long, item long, item_at int"), "benchmark-seeds")
-    found = blocks.folded(seeds.mapInArrow(_filters(filter_bits), blocks.SCHEMA), np.bitwise_or, np.uint8)
-    packed = bytes(1 << filter_bits - 3) if found is None else found.tobytes()
-    # The filter has a fixed size, however long the benchmark is.
+    seeds = staged(items.mapInArrow(_seed_rows(masks), "seed long, item long, item_at int, n_words int"), "benchmark-seeds")
+    bits = filter_size(seeds.count())
+    found = blocks.folded(seeds.mapInArrow(_filters(bits), blocks.SCHEMA), np.maximum, np.uint8)
+    packed = bytes(1 << bits) if found is None else found.tobytes()
+    # At most 2 ** MOST_BITS bytes, however long the benchmark is.
     shared = spark.sparkContext.broadcast(packed)
-    longest, long, short = items.agg(F.max(F.length("tokens")), F.max(F.length("tokens") >= 8 * WHOLE), F.max(F.length("tokens").between(8 * SHORT, 8 * WHOLE - 8))).first()
-    reach = (longest or 0) // 8
+    long, short = items.agg(F.max(F.length("tokens") >= 8 * WHOLE), F.max(F.length("tokens").between(8 * SHORT, 8 * WHOLE - 8))).first()
     used = _numbered(masks, bool(long), bool(short))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     regions = staged(
-        texts.mapInArrow(_regions(shared, filter_bits, reach, used), "doc_id long, text_hash long, start int, words binary, seeds array<long>, places array<int>").withColumn("region", F.xxhash64("doc_id", "text_hash", "start")),
+        texts.mapInArrow(_regions(shared, bits, used), "doc_id long, text_hash long, start int, words binary, seeds array<long>, places array<int>").withColumn("region", F.xxhash64("doc_id", "text_hash", "start", F.get("places", 0))),
         "benchmark-regions",
     )
     hits = regions.select("region", F.inline(F.arrays_zip(F.col("seeds").alias("seed"), F.col("places").alias("place"))))
-    shifts = hits.join(seeds, "seed").groupBy("region", "item").agg(F.collect_set(F.col("place") - F.col("item_at")).alias("shifts"))
+    shifts = hits.join(seeds.drop("n_words"), "seed").groupBy("region", "item").agg(F.collect_set(F.col("place") - F.col("item_at")).alias("shifts"))
     # Rows that repeat a document repeat its regions.
     whole = regions.select("region", "doc_id", "text_hash", "start", "words").dropDuplicates(["region"])
     found = shifts.join(whole, "region").join(items, "item").select("doc_id", "text_hash", "item", "start", "words", "tokens", "shifts")

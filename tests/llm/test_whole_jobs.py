@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +61,46 @@ def test_decontamination_finds_changed_items(spark):
     assert found == {(i, n): best for i, n, best in lost if best}
 
 
+def test_decontamination_regions_follow_the_items_hit():
+    """A place carries the words that its own items can cover, however long another item is."""
+    rng = np.random.default_rng(5)
+    items = {1: rng.integers(0, 1 << 62, 20).astype(np.uint64), 2: rng.integers(0, 1 << 62, 5000).astype(np.uint64)}
+    masks = decontamination._masks(12, 0.75)
+    batch = pa.RecordBatch.from_pydict({"item": list(items), "tokens": [t.tobytes() for t in items.values()]})
+    seeds = pa.Table.from_batches(decontamination._seed_rows(masks)([batch]))
+    assert set(seeds.column_names) == {"seed", "item", "item_at", "n_words"}
+    bits = decontamination.filter_size(len(seeds))
+    assert len(seeds) * decontamination.SLOTS <= 1 << bits
+    (cut,) = decontamination._filters(bits)(seeds.to_batches())
+    table = np.concatenate([np.frombuffer(x, np.uint8) for x in cut.column("data").to_pylist()])
+    for number in (1, 2):
+        own = seeds.filter(pa.compute.equal(seeds.column("item"), number)).column("seed").to_numpy().view(np.uint64)
+        level = np.minimum(*(table[place] for place in decontamination._places(own, bits)))
+        assert (1 << (level.astype(int) - 1) >= len(items[number])).all()
+        assert np.mean(1 << (level.astype(int) - 1) < 2 * len(items[number])) > 0.9
+    assert decontamination.filter_size(0) == decontamination.LEAST_BITS
+    assert decontamination.filter_size(10**12) == decontamination.MOST_BITS
+
+
+def test_decontamination_of_short_and_very_long_items(spark):
+    """Items of 6 to 3,000 words in one text, near each other and overlapping the text's ends, are found with their places."""
+    rng = np.random.default_rng(6)
+    word = lambda n: [f"w{k}" for k in rng.integers(0, 10**9, n)]
+    items = [word(n) for n in (6, 13, 20, 40, 300, 3000)]
+    parts, places = word(3), []
+    for item in (items[0], items[1], items[2], items[1], items[4], items[5], items[3], items[0]):
+        places.append(len(parts))
+        parts += item + word(int(rng.integers(0, 15)))
+    docs = spark.createDataFrame([(1, " ".join(parts)), (2, " ".join(items[5][100:2000])), (3, " ".join(items[4][-12:]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.doc_word, r.item_word, r.n_words, r.n_equal) for r in decontamination.find_overlaps(docs, bench).collect()}
+    assert set(got) == {(1, i) for i in range(6)} | {(2, 5), (3, 4)}
+    for item, place in ((0, 0), (1, 1), (2, 2), (4, 4), (5, 5), (3, 6)):
+        assert got[1, item] == (places[place], 0, len(items[item]), len(items[item]))
+    assert got[2, 5] == (0, 100, 1900, 1900)
+    assert got[3, 4] == (0, 288, 12, 12)
+
+
 def test_decontamination_with_looser_parameters(spark):
     item = [f"w{k}" for k in range(20)]
     changed = [f"x{k}" if k % 3 == 2 else w for k, w in enumerate(item)]
