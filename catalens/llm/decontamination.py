@@ -39,7 +39,7 @@ from catalens.session import staged
 
 SHORT, WHOLE = 5, 12
 #: Bytes of the filter for each hash, and its least and largest size as powers of two (64 MB).
-SLOTS, LEAST_BITS, MOST_BITS = 16, 20, 26
+SLOTS, LEAST_BITS, MOST_BITS = 64, 22, 26
 #: A run of 24 words has a half of at least its share, so covering 12 to 23 words covers all.
 MASKS = ("111011", "1100001011", "11010011", "110100000011")
 #: For items of 5 to 11 words, as wholes.
