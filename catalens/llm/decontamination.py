@@ -81,9 +81,17 @@ def _numbered(masks: tuple[tuple[str, ...], tuple[str, ...]], long: bool, short:
     return [(n, mask) for n, mask in enumerate(masks[0] + masks[1]) if (long if n < len(masks[0]) else short)]
 
 
+def _first(seeds: np.ndarray, bits: int) -> np.ndarray:
+    return (seeds >> np.uint64(64 - bits)).astype(np.int32)
+
+
+def _second(seeds: np.ndarray, bits: int) -> np.ndarray:
+    return _first(seeds * np.uint64(0x9E3779B97F4A7C15), bits)
+
+
 def _places(seeds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    shift = np.uint64(64 - bits)
-    return (seeds >> shift).astype(np.int64), ((seeds * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64)
+    """The two places of each seed in the filter."""
+    return _first(seeds, bits), _second(seeds, bits)
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,11 +147,10 @@ def _regions(shared, bits: int, masks: list[tuple[int, str]]):
             at, seeds, reach = [], [], []
             for number, mask in masks:
                 found = _seeds(hashes, number, mask)
-                one, two = _places(found, bits)
-                level = table[one]
+                level = table[_first(found, bits)]
                 hit = np.flatnonzero(level)
                 # An item of the seed is in both places, so the lesser one bounds it.
-                level = np.minimum(level[hit], table[two[hit]])
+                level = np.minimum(level[hit], table[_second(found[hit], bits)])
                 kept = (level > 0) & (owner[hit] == owner[hit + len(mask) - 1])
                 at.append(hit[kept])
                 seeds.append(found[hit[kept]])
