@@ -1,26 +1,5 @@
 """Sends this package to the executors, where it is not installed on them."""
 
-from __future__ import annotations
+from catalens.session import ship
 
-import tempfile
-import zipfile
-from pathlib import Path
-
-from pyspark.sql import SparkSession
-
-_SENT: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Add the package to the session's files once; tasks import it from there."""
-    context = spark.sparkContext
-    if context.applicationId in _SENT:
-        return
-    root = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="catalens-")) / "catalens.zip"
-    with zipfile.ZipFile(archive, "w") as file:
-        for path in sorted(root.rglob("*.py")):
-            file.write(path, path.relative_to(root.parent))
-    # The driver serves the archive to every executor, also to one that joins later.
-    context.addPyFile(str(archive))
-    _SENT.add(context.applicationId)
+__all__ = ["ship"]
