@@ -53,9 +53,14 @@ def test_pieces_of_a_product(monkeypatch, dense):
         data = [np.array([len(e) for e in entries]), np.concatenate(entries), np.concatenate([row[e] for row, e in zip(part, entries)])]
         return products._Block(pa.array(range(len(part))), b"".join(x.tobytes() for x in data))
 
-    pieces = list(products._chunks(block(unit[:50]), block(unit[20:])))
+    own, other = block(unit[:50]), block(unit[20:])
+    sides, spread = products._common(own, other)
+    pieces = list(products._chunks(own, other, sides, spread))
     assert len(pieces) > 1
-    assert np.allclose(np.concatenate([scores for _, scores in pieces]), unit[:50] @ unit[20:].T, atol=1e-12)
+    wanted = unit[:50] @ unit[20:].T
+    assert np.allclose(np.concatenate([scores for _, scores in pieces]), wanted, atol=1e-12)
+    rows, places, scores = products._few(sides, len(other.keys))
+    assert list(zip(rows, places)) == list(zip(*np.nonzero(wanted))) and np.allclose(scores, wanted[rows, places], atol=1e-12)
 
 
 def test_no_pair_of_a_crowd_is_written(spark, monkeypatch):
