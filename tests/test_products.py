@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from catalens.operators import products, vectors
+from catalens.operators import lsh, products, vectors
 
 
 def _unit(rng, items, terms, share):
@@ -63,14 +63,16 @@ def test_pieces_of_a_product(monkeypatch, dense):
     assert list(zip(rows, places)) == list(zip(*np.nonzero(wanted))) and np.allclose(scores, wanted[rows, places], atol=1e-12)
 
 
-def test_no_pair_of_a_crowd_is_written(spark, monkeypatch):
+@pytest.mark.parametrize("sets", [False, True])
+def test_no_pair_of_a_crowd_is_written(spark, monkeypatch, sets):
     """400 items that are all alike give written rows in proportion to the items, not to the pairs."""
     rng = np.random.default_rng(4)
     unit = 1 + 0.1 * rng.random((400, 6))
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     frame = spark.createDataFrame(_rows(unit, int), "k int, term string, weight double").coalesce(2)
+    words = spark.createDataFrame([(i, [*"abcdefgh", f"w{i}"]) for i in range(400)], "k int, w array<string>").coalesce(2)
     written = []
-    for module in (vectors, products):
+    for module in (vectors, products, lsh):
         plain = module.staged
 
         def counted(df, name, plain=plain):
@@ -79,6 +81,6 @@ def test_no_pair_of_a_crowd_is_written(spark, monkeypatch):
             return table
 
         monkeypatch.setattr(module, "staged", counted)
-    found = vectors.similarity_table(frame, "k", frame, 3, 0.8)
+    found = lsh.exact_sets(words, "k", "w", 3, 0.5) if sets else vectors.similarity_table(frame, "k", frame, 3, 0.8)
     assert found.groupBy("item").agg(F.max("rank").alias("n")).where("n = 3").count() == 400
     assert sum(written) < 400 * 30
