@@ -20,6 +20,8 @@ rows. Other columns are not read.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import json
 import os
@@ -84,11 +86,16 @@ def _byte_bpe(path: str, pattern: str):
     if merged != sorted(merged):
         raise ValueError(f"the merges of {path} are not in the order of their ids")
     fast = tiktoken.Encoding("a", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(tokens) if t and i not in special}, special_tokens={})
-    slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
+
+    @cache
+    def slow() -> Tokenizer:
+        """Read when a text asks for it: few workers meet one."""
+        whole = Tokenizer.from_file(path)
+        whole.encode_special_tokens = True
+        return whole
 
     def encode(texts: list[str], long: np.ndarray) -> list[list[int]]:
-        return [slow.encode(t, add_special_tokens=False).ids if is_long else fast.encode_ordinary(t) for t, is_long in zip(texts, long)]
+        return [slow().encode(t, add_special_tokens=False).ids if is_long else fast.encode_ordinary(t) for t, is_long in zip(texts, long)]
 
     return encode, Pieces(tokens)
 
@@ -103,6 +110,18 @@ def _pieces(path: str):
     return partial(model.encode, num_threads=1), Pieces(tokens)
 
 
+def _let_go() -> None:
+    """Give back the vocabularies and buffers that encoding leaves in a worker which is used again."""
+    _byte_bpe.cache_clear()
+    _pieces.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    # Where the C library can, freed memory goes back to the machine.
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
@@ -313,6 +332,7 @@ def _asked(wide: tuple[type, type]):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(start), block)), pa.array(pairs[start]), pa.array(np.add.reduceat(n[order], start))], ["block", "pair", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _let_go()
         block, held, size = None, [], 0
         for batch in batches:
             for row in range(batch.num_rows):
@@ -336,6 +356,8 @@ def _sums(wide: tuple[type, type]):
     """Links with the highest count of their A id, and counts over all links, of a block's documents."""
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        # A worker that has encoded may get its first block here; buffers of the last block go too.
+        _let_go()
         answers = answers.sort_by("pair")
         known, counts, best = (answers.column(c).to_numpy() for c in ("pair", "n", "best"))
         out = []
