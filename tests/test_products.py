@@ -1,5 +1,8 @@
 """Products of blocks against plain numpy, and what they write."""
 
+import math
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -84,3 +87,27 @@ def test_no_pair_of_a_crowd_is_written(spark, monkeypatch, sets):
     found = lsh.exact_sets(words, "k", "w", 3, 0.5) if sets else vectors.similarity_table(frame, "k", frame, 3, 0.8)
     assert found.groupBy("item").agg(F.max("rank").alias("n")).where("n = 3").count() == 400
     assert sum(written) < 400 * 30
+
+
+def test_tfidf_counts_texts_one_by_one(spark):
+    """The terms and weights of plain counting, ties and repeated keys included; no term of a text is shuffled."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice([f"w{k}" for k in range(30)], rng.integers(0, 15))) for _ in range(80)] + ["w1 w2 w1 w2", "", None, "w3 ü3 w3"]
+    rows = [(i % 70 if i else None, t) for i, t in enumerate(texts)]
+    listed = [(k, (t or "").split()) for k, t in rows]
+    listed = [(k, w + [f"{a} {b}" for a, b in zip(w, w[1:])]) for k, w in ((k, [x for x in w if len(x) > 1]) for k, w in listed)]
+    every = Counter(x for _, w in listed for x in w)
+    for size in (1000, 40, 12, 3):
+        kept = {t for t, _ in sorted(every.items(), key=lambda x: (-x[1], x[0].encode()))[:size]}
+        found = {}
+        for k, w in listed:
+            found.setdefault(k, Counter()).update(x for x in w if x in kept)
+        df = Counter(t for c in found.values() for t in c)
+        want = {}
+        for k, c in found.items():
+            raw = {t: n * (math.log((1 + len(rows)) / (1 + df[t])) + 1) for t, n in c.items()}
+            want |= {(k, t): x / math.sqrt(sum(v * v for v in raw.values())) for t, x in raw.items()}
+        made = vectors.tfidf(spark.createDataFrame(rows, "id int, t string").repartition(3), "id", "t", max_terms=size, stop_words=[])
+        assert {(r.id, r.term): r.weight for r in made.collect()} == pytest.approx(want)
+        assert not any(x in made._jdf.queryExecution().toString() for x in ("Exchange", "Window"))
+    assert vectors.tfidf(spark.createDataFrame([], "id string, t string"), "id", "t").collect() == []
