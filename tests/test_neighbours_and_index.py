@@ -159,3 +159,17 @@ def test_bounded_candidates_lose_no_pair(spark, least):
     told = {(r.item, r.neighbour): r.similarity for r in scored.collect()}
     assert set(told) == near
     assert all(abs(told[i, j] - cosines[i, j]) < 1e-8 for i, j in near)
+
+
+def test_a_crowd_of_vectors_is_not_cut(spark):
+    """Unlike vectors that are all near each other: no pair is lost to a full bucket."""
+    rng = np.random.default_rng(3)
+    made = 1 + rng.random((400, 30))
+    made /= np.linalg.norm(made, axis=1, keepdims=True)
+    rows = [(i, f"t{j}", float(x)) for i, v in enumerate(made) for j, x in enumerate(v)]
+    frame = spark.createDataFrame(rows, "id long, term string, weight double")
+    got = _table(lsh.similar_all(frame, "id", n=3, recall=0.9999, max_bucket=10))
+    scores = np.round(made @ made.T, 6)
+    np.fill_diagonal(scores, -1)
+    for i in range(400):
+        assert [round(s, 6) for _, s in got[i]] == pytest.approx(sorted(scores[i], reverse=True)[:3], abs=2e-6)
