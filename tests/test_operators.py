@@ -308,3 +308,15 @@ def test_distinct_sketches_merge_to_the_whole(spark):
         # Merged and direct sketches hold the same registers, but their estimators may differ a little.
         assert abs(merged[name] - n) <= 0.065 * n and abs(whole[name] - n) <= 0.065 * n
     assert describe.merged_distinct_counts(parts.where("false")).collect() == []
+
+
+def test_texts_of_one_file_are_dealt_to_all_tasks(spark, monkeypatch):
+    written = []
+    real = match.staged
+    monkeypatch.setattr(match, "staged", lambda df, name="stage": written.append((name, df)) or real(df, name))
+    rows = spark.range(0, 4000, 1, 1).select("id", F.concat(F.lit("Intel Core i5-1035G7 "), F.col("id").cast("string")).alias("t"))
+    names = spark.createDataFrame([("core i5-1035g7", 9000, 0)], "name string, score long, ord long")
+    scored = match.add_scores(rows, "id", ["t"], names, names)
+    assert {(r.cpu_benchmark_score, r.gpu_benchmark_score) for r in scored.collect()} == {(9000, 9000)}
+    dealt = dict(written)["scored-rows"]
+    assert dealt.count() == 4000 and "RepartitionByExpression [id" in dealt._jdf.queryExecution().toString()
