@@ -110,3 +110,13 @@ def test_helpfulness(spark):
 def test_features_joined(spark):
     frame = spark.createDataFrame([(["a", "", None, "b"],), (None,)], "f array<string>")
     assert [r[0] for r in frame.select(tx.join_features(F.col("f"))).collect()] == ["a | b", ""]
+
+
+def test_clean_text_equals_the_plain_classes_for_every_character(spark):
+    """Letters, white space and junk as the plain Unicode classes tell them, alone, in runs and between words."""
+    points = spark.range(0x20000).where("id < 55296 OR id > 57343").select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
+    texts = points.select(F.explode(F.array(F.col("c"), F.concat(F.lit("a"), "c", "c", F.lit(" "), "c", F.lit("b *")), F.concat(F.lit("<x"), "c", F.lit(">é "), "c", F.lit("<")))).alias("t"))
+    plain = F.regexp_replace(F.regexp_replace("t", "<[^>]+>", ""), tx.SPACE_CLASS + "+", " ")
+    plain = F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}_\s\p{Z}.,!?-]", ""))
+    assert texts.where(~tx.clean_text(F.col("t")).eqNullSafe(plain)).count() == 0
+    assert texts.where(plain != "").count() > 50_000
