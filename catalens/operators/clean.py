@@ -228,20 +228,35 @@ def clean_table(df: DataFrame, roles: Roles = Roles(), trim: bool = True) -> Dat
     return content_columns(cleaned, roles)
 
 
+def _row_hashes(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """Two 64-bit hashes that equal rows share. A hash passes over NULL, so it also takes in where NULL stands."""
+    parts = [part for c in columns for part in (F.col(c), F.col(c).isNull())]
+    return [F.xxhash64(F.lit(seed), *parts).alias(f"__hash_{seed}") for seed in (0, 1)]
+
+
 def step_audit(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
-    """Rows in, rows out and rows removed for every dropping step of cleaning."""
-    priced = parse_prices(df, roles.price)
-    unique = staged(distinct_rows(compared_rows(df, roles), _order(df, roles)), "audit")
-    long_enough = drop_short_content(unique, roles.text, roles.title)
-    trimmed = trim_outliers(long_enough, "price_numeric")
+    """Rows in, rows out and rows removed for every dropping step of cleaning.
+
+    Only counts are wanted, so different rows are told by two 64-bit hashes, and no text is shuffled or written. Columns
+    of lists, structs or maps, whose hashes would not tell where NULL stands inside them, are compared as they are.
+    """
+    order = _order(df, roles)
+    rows = compared_rows(df, roles)
+    nested = [f.name for f in rows.schema.fields if f.name != order and isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))]
+    hashed = _row_hashes(rows, [c for c in rows.columns if c != order and c not in nested])
+    kept = (~short_content(F.col(roles.text), F.col(roles.title))).alias("long_enough")
+    narrow = rows.select(*hashed, *[_groupable(rows, c).alias(f"__key_{i}") for i, c in enumerate(nested)], "price_numeric", kept)
+    unique = staged(narrow.groupBy(*narrow.columns).agg(F.count("*").alias("copies")), "audit")
+    long_enough = unique.where("long_enough")
+    figures = as_scalar(unique.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("priced"), F.count("*").alias("different"), F.count_if("long_enough").alias("long_enough")))
     names = ["price", "duplicates", "short_content", "outliers"]
-    tables = [df, priced, unique, long_enough, trimmed]
-    counts = [as_scalar(t.agg(F.count("*").alias("n")))["n"] for t in tables]
-    rows = F.array(
+    counts = [as_scalar(df.agg(F.count("*").alias("n")))["n"], figures["priced"], figures["different"], figures["long_enough"]]
+    counts.append(as_scalar(trim_outliers(long_enough, "price_numeric").agg(F.count("*").alias("n")))["n"])
+    steps = F.array(
         *[
             F.struct(F.lit(i + 1).alias("step_no"), F.lit(name).alias("step"), counts[i].alias("rows_in"), counts[i + 1].alias("rows_out"))
             for i, name in enumerate(names)
         ]
     )
     one = df.sparkSession.range(1)
-    return one.select(F.inline(rows)).withColumn("removed", F.col("rows_in") - F.col("rows_out"))
+    return one.select(F.inline(steps)).withColumn("removed", F.col("rows_in") - F.col("rows_out"))

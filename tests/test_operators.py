@@ -320,3 +320,19 @@ def test_texts_of_one_file_are_dealt_to_all_tasks(spark, monkeypatch):
     assert {(r.cpu_benchmark_score, r.gpu_benchmark_score) for r in scored.collect()} == {(9000, 9000)}
     dealt = dict(written)["scored-rows"]
     assert dealt.count() == 4000 and "RepartitionByExpression [id" in dealt._jdf.queryExecution().toString()
+
+
+def test_step_audit_shuffles_and_writes_no_text(spark, monkeypatch):
+    """The counted rows are hashes, a price and a mark, with NULL told apart by its place; equal rows are one."""
+    written = []
+    monkeypatch.setattr(clean, "staged", lambda df, name: written.append(df.columns) or scratch(df))
+
+    def scratch(df):
+        return df.localCheckpoint()
+
+    long = "a text of some length"
+    rows = [(1, "x", None, "5", long, "title"), (2, None, "x", "5", long, "title"), (3, "x", None, "5", f"<b>{long}</b>", "title"), (4, "x", None, "none", long, "title"), (5, "x", "x", "5", "a", "b")]
+    frame = spark.createDataFrame(rows, "row_id int, brand string, os string, price string, text string, title_x string")
+    audit = {r.step: (r.rows_in, r.rows_out, r.removed) for r in clean.step_audit(frame.withColumn("tags", F.array(F.lit(None).cast("string"), "brand"))).collect()}
+    assert audit == {"price": (5, 4, 1), "duplicates": (4, 3, 1), "short_content": (3, 2, 1), "outliers": (2, 2, 0)}
+    assert not {"text", "title_x", "features", "details"} & set(written[0])
