@@ -4,21 +4,23 @@ A paragraph is a line, read in windows of ``SPAN`` words of which neighbours sha
 ``SHARED``; a template of so many words or fewer stands whole in one of them, however
 long the line is. Neighbouring lines of at most ``WRAPPED`` characters, none of them
 blank, are a run and are read once more as one line, so that a notice wrapped over
-several lines is found. A window's words and word pairs are hashed to a sparse
-vector; a multinomial logistic regression tells the licence families and an unknown
-class apart. It is trained on notice templates, alone, cut at either end and set
-among corpus words on either or both sides, and on windows of corpus lines that
-share little with any template. A
+several lines is found. Of a window's word pairs those that some template has are
+hashed to a sparse vector; a multinomial logistic regression tells the licence families
+and an unknown class apart. Whatever else a window holds has no part in it, so the many
+windows of a corpus are few different sets of pairs, each with a count.
+
+The regression is trained on notice templates, whole and cut at either end, and on
+the windows of all documents but each fourth by hash of its id, as sets weighted by
+their counts; windows that share much with a template are left out of the unknown class. A
 prediction counts when its probability reaches a threshold that at most
-``false_share`` of corpus windows kept out of the training reach, and when a
+``false_share`` of all windows of the other documents reach for all families together, and when a
 template of the family confirms it: enough of the template's word pairs must
 stand in the window. A line has one notice of a family at most, with the best
 figures of its windows. So has a run, placed at its first line, unless a line of the
 run has a notice of that family itself.
 
-Training uses at most ``sample_docs`` documents and ``sample_lines`` of their
-lines; the scan covers every line of every text in one pass. Only accepted windows
-are shuffled.
+Training and scan each read every line of every text in one pass. Counted sets and
+accepted windows are all that is shuffled.
 
 Cases: a null or empty text has one empty line and no licence. Rows without an id
 are scanned but not trained on. Repeated rows get the same result. An empty table
@@ -110,11 +112,11 @@ def _pairs(hashes: Column) -> Column:
     return F.zip_with(hashes, F.slice(hashes, F.lit(2), F.greatest(F.size(hashes) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
 
 
-def _windows(words: Column) -> Column:
-    """Windows of ``SPAN`` words; a short line is one window."""
+def _windows(pairs: Column) -> Column:
+    """The pairs of windows of ``SPAN`` words, from one item a word: its pair with the next word. A short line is one window."""
     step = SPAN - SHARED
-    starts = F.sequence(F.lit(0), F.ceil(F.greatest(F.size(words) - SPAN, F.lit(0)) / step).cast("int"))
-    return F.when(F.size(words) <= SPAN, F.array(words)).otherwise(F.transform(starts, lambda k: F.slice(words, k * step + 1, F.lit(SPAN))))
+    starts = F.sequence(F.lit(0), F.ceil(F.greatest(F.size(pairs) - SPAN, F.lit(0)) / step).cast("int"))
+    return F.when(F.size(pairs) <= SPAN, F.array(pairs)).otherwise(F.transform(starts, lambda k: F.slice(pairs, k * step + 1, F.lit(SPAN - 1))))
 
 
 def _paragraphs(docs: DataFrame) -> DataFrame:
@@ -136,13 +138,25 @@ def _paragraphs(docs: DataFrame) -> DataFrame:
     return started.select(*others, F.inline(F.concat(alone, joined))).where("length(line) > 0")
 
 
-def _features(lines: DataFrame, line: str, bits: int, cut: bool = True) -> DataFrame:
-    """The windows of ``lines`` with their word pairs' hashes and the hashed vector of words and pairs."""
-    # Words are hashed once a line; windows are cut from the hashes.
-    whole = lines.select("*", F.inline(F.array(F.struct(_hashes(tokens(F.col(line))).alias("all_words")))))
-    with_words = whole.select("*", F.explode(_windows(F.col("all_words")) if cut else F.array("all_words")).alias("words")).drop("all_words")
-    with_pairs = with_words.select("*", F.inline(F.array(F.struct(F.array_compact(_pairs(F.col("words"))).alias("pairs"))))).withColumn("grams", F.concat("words", "pairs"))
-    return HashingTF(numFeatures=1 << bits, binary=True, inputCol="grams", outputCol="features").transform(with_pairs).drop("grams", "words")
+def _template_pairs() -> list[tuple[str, list[int]]]:
+    """Family and different word pairs of every template."""
+    pairs = F.array_sort(F.array_distinct(F.array_compact(_pairs(_hashes(tokens(F.col("text")))))))
+    return [(r.family, r.pairs) for r in _templates(SparkSession.active()).select("family", pairs.alias("pairs")).collect()]
+
+
+def _sets(lines: DataFrame, line: str) -> DataFrame:
+    """The windows of ``lines``, each with the sorted set of its word pairs that some template has."""
+    known = sorted({p for _, own in _template_pairs() for p in own})
+    # Words are hashed and pairs looked up once a line; windows are cut from these.
+    words = lines.select("*", F.inline(F.array(F.struct(_hashes(tokens(F.col(line))).alias("all_words"))))).drop(line)
+    looked = F.transform(_pairs(F.col("all_words")), lambda p: F.when(p.isin(known), p))
+    paired = words.select("*", F.inline(F.array(F.struct(looked.alias("all_pairs"))))).drop("all_words")
+    window = F.array_sort(F.array_distinct(F.array_compact("window")))
+    return paired.select("*", F.explode(_windows(F.col("all_pairs"))).alias("window")).drop("all_pairs").withColumn("pairs", window).drop("window")
+
+
+def _vectors(sets: DataFrame, bits: int) -> DataFrame:
+    return HashingTF(numFeatures=1 << bits, binary=True, inputCol="pairs", outputCol="features").transform(sets)
 
 
 def _templates(spark: SparkSession) -> DataFrame:
@@ -152,63 +166,47 @@ def _templates(spark: SparkSession) -> DataFrame:
 
 def _likeness(family: Column | None = None) -> Column:
     """Largest share of a template's word pairs found in ``pairs``; of one family, or of all."""
-    spark = SparkSession.active()
-    rows = [(r.family, r.pairs) for r in _templates(spark).select("family", F.array_compact(_pairs(_hashes(tokens(F.col("text"))))).alias("pairs")).collect()]
     shares = []
-    for name, pairs in rows:
-        distinct = sorted(set(pairs))
+    for name, distinct in _template_pairs():
         share = F.size(F.array_intersect("pairs", F.array(*map(F.lit, distinct)))) / F.lit(len(distinct))
         shares.append(share if family is None else F.when(family == name, share).otherwise(0.0))
     return F.greatest(*shares)
 
 
-def train(docs: DataFrame, sample_docs: int = 500, sample_lines: int = 2000, around: int = 12, bits: int = 13, false_share: float = 0.001, id_col: str = "doc_id", text_col: str = "text") -> Scanner:
-    spark = docs.sparkSession
-    chosen = docs.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct().orderBy(F.xxhash64("id"), "id").limit(sample_docs)
-    # At most ``sample_docs`` ids.
-    lines = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select(F.explode(F.split("text", "\n", -1)).alias("line")).distinct().where("length(line) > 0")
-    read = lines.orderBy(F.xxhash64("line"), "line").limit(sample_lines).select(F.explode(_windows(tokens(F.col("line")))).alias("words"))
-    sample = _features(read.select(F.array_join("words", " ").alias("line")), "line", bits, False)
-    # Of windows too there are no more than ``sample_lines``, from all over these lines.
-    windows = sample.where(_likeness() < 0.4).select("line").distinct().orderBy(F.xxhash64("line"), "line").limit(sample_lines)
-    unknown = staged(windows.select("line", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(1), "line"))).alias("n")), "licence-lines")
-    apart = unknown.where("n % 4 = 0")
-    texts = _templates(spark)
-    text_words = F.split("text", " ")
-    cut = [F.col("text")] + [F.array_join(F.slice(text_words, a, F.size(text_words) - b), " ") for a, b in ((2, 1), (1, 1), (3, 2))]
-    by_number = Window.orderBy("n")
-    # Neighbours too, so that a context has words enough; every set-in notice has another one.
-    near_words = F.concat_ws(" ", "line", F.lead("line", 1).over(by_number), F.lead("line", 2).over(by_number))
-    context = staged(unknown.where("n % 4 <> 0").select((F.row_number().over(by_number) - 1).alias("slot"), near_words.alias("near")), "licence-contexts")
-    contexts = max(context.count(), 1)
-    alone = texts.select("label", F.explode(F.array(*cut)).alias("line"))
-    near = F.split("near", " ")
-    # Words before and after the notice, of several lengths on one side or both.
-    sides = F.array(*(F.struct(F.lit(b).alias("b"), F.lit(a).alias("a")) for b, a in ((12, 0), (0, 12), (33, 0), (0, 33), (6, 6), (16, 16), (26, 8), (8, 26))))
-    placed = texts.select("label", "text", F.explode(sides).alias("side"), F.sequence(F.lit(0), F.lit(around - 1)).alias("turns")).select("*", F.explode("turns").alias("turn"))
-    set_in = F.concat(F.slice(near, F.lit(1), F.col("side.b")), F.array("text"), F.slice(F.reverse(near), F.lit(1), F.col("side.a")))
-    among = (
-        placed.withColumn("slot", F.pmod(F.xxhash64("text", "side", "turn"), F.lit(contexts)).cast("int"))
-        .join(context, "slot")
-        .select("label", F.array_join(set_in, " ").alias("line"))
-    )
-    known = alone.unionByName(among).unionByName(unknown.where("n % 4 <> 0").select(F.lit(0.0).alias("label"), "line"))
-    rows = staged(_features(known, "line", bits, False).select("label", "features").coalesce(2), "licence-training")
-    model = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=40).fit(rows)
-    best = model.transform(_features(apart.select("line"), "line", bits)).select((1 - vector_to_array("probability")[0]).alias("p"))
-    # The smallest threshold that no more than the allowed share of these lines reaches.
-    limit = best.agg(F.expr(f"percentile(p, {1 - false_share})")).first()[0]
-    return Scanner(model, max(0.5, min(0.9, limit or 0.5)))
+def train(docs: DataFrame, bits: int = 13, false_share: float = 0.001, id_col: str = "doc_id", text_col: str = "text") -> Scanner:
+    """Model and threshold from all windows of all documents with an id."""
+    body = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    parted = body.select((F.pmod(F.xxhash64("id"), F.lit(4)) == 0).alias("apart"), "text")
+    counted = staged(_sets(_paragraphs(parted), "line").groupBy("apart", "pairs").agg(F.count("*").alias("n")), "licence-sets")
+    unknown = counted.where(_likeness() < 0.4)
+    total = unknown.where("NOT apart").agg(F.sum("n")).first()[0] or 1
+    texts = _templates(docs.sparkSession)
+    text_words = tokens(F.col("text"))
+    # The end of a window can leave what several families begin with: such beginnings are trained on for each of them.
+    cut = [F.array_join(F.slice(text_words, a, F.greatest(F.size(text_words) - b, F.lit(1))), " ") for a, b in ((1, 0), (2, 1), (3, 2), (1, 1), (1, 2), (1, 3))]
+    known = _sets(texts.select("label", F.explode(F.array(*cut)).alias("line")), "line").select("label", "pairs", F.lit(1.0).alias("weight"))
+    # The unknown class weighs as much as all families; a window without any template's pair is in it whatever the corpus.
+    share = F.col("n") * F.lit(len(cut) * sum(map(len, TEMPLATES.values())) / total)
+    none = texts.limit(1).select(F.lit(0.0).alias("label"), F.array().cast("array<bigint>").alias("pairs"), F.lit(1.0).alias("weight"))
+    rows = known.unionByName(none).unionByName(unknown.where("NOT apart").select(F.lit(0.0).alias("label"), "pairs", share.alias("weight")))
+    model = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=40, weightCol="weight").fit(staged(_vectors(rows, bits), "licence-training"))
+    best = model.transform(_vectors(unknown.where("apart"), bits)).select((1 - vector_to_array("probability")[0]).alias("p"), "n")
+    # The smallest threshold that no more than the allowed share of these windows reaches, exact between its bounds.
+    bounded = F.greatest(F.lit(0.5), F.least(F.lit(0.9), F.round("p", 5)))
+    limit = best.groupBy(bounded.alias("p")).agg(F.sum("n").alias("n")).agg(F.expr(f"percentile(p, {1 - false_share}, n)")).first()[0]
+    return Scanner(model, limit or 0.5)
 
 
 def scan(docs: DataFrame, scanner: Scanner, min_likeness: float = 0.5, bits: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_paragraphs, n_license, families and notices (position, family, probability, likeness)."""
     body = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
-    scored = scanner.model.transform(_features(_paragraphs(body.where("text IS NOT NULL")), "line", bits).drop("line"))
+    # A window without any template's pair has no notice.
+    windows = _sets(_paragraphs(body.where("text IS NOT NULL")), "line").where("size(pairs) > 0")
+    scored = scanner.model.transform(_vectors(windows, bits))
     # The classes' probabilities as a column, computed once.
     sure = scored.select("doc_id", "key", "position", "n_lines", "pairs", F.inline(F.array(F.struct(vector_to_array("probability").alias("p"), F.col("prediction").cast("int").alias("class")))))
     accepted = (
-        sure.where((F.col("class") > 0) & (1 - F.col("p")[0] >= scanner.threshold))
+        sure.where((F.col("class") > 0) & (F.get("p", F.col("class")) >= scanner.threshold))
         .withColumn("family", F.get(F.array(*map(F.lit, FAMILIES)), F.col("class")))
         .withColumn("likeness", _likeness(F.col("family")))
         .where(F.col("likeness") >= min_likeness)

@@ -170,3 +170,16 @@ def test_license_scan_finds_notices_inside_long_lines(spark, odd):
     found = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), scanner).collect()
     assert {r.doc_id: r.families for r in found} == wanted
     assert all(r.n_paragraphs == 1 and r.n_license == len(wanted[r.doc_id]) for r in found)
+
+
+def test_license_training_counts_every_window(spark, odd, monkeypatch):
+    """Every window of every text with an id is counted, none is sampled."""
+    tables = {}
+    staged = license_scan.staged
+    monkeypatch.setattr(license_scan, "staged", lambda df, name: tables.setdefault(name, staged(df, name)))
+    license_scan.train(odd)
+    body = odd.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    sizes = license_scan._paragraphs(body).select(F.size(license_scan.tokens(F.col("line"))).alias("w")).collect()
+    step = license_scan.SPAN - license_scan.SHARED
+    wanted = sum(1 + -(-max(r.w - license_scan.SPAN, 0) // step) for r in sizes)
+    assert tables["licence-sets"].agg(F.sum("n")).first()[0] == wanted > 4_000
