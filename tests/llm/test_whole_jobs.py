@@ -183,3 +183,24 @@ def test_license_training_counts_every_window(spark, odd, monkeypatch):
     step = license_scan.SPAN - license_scan.SHARED
     wanted = sum(1 + -(-max(r.w - license_scan.SPAN, 0) // step) for r in sizes)
     assert tables["licence-sets"].agg(F.sum("n")).first()[0] == wanted > 4_000
+
+
+def test_all_other_words_need_one_softmax(spark):
+    """The symbol of most words is alone in its class, beside 1,023 words with a symbol of their own."""
+    text = " ".join(f"w{n} " * (1 + n % 3) for n in range(3000))
+    counts = language_model.count_words(language_model.pack(spark.createDataFrame([(1, text, True)], "doc_id long, text string, learnt boolean")), language_model.Shape())[1]
+    assert len(counts.symbol_keys) == 1023
+    assert np.isfinite(counts.member_bias[1023 // language_model.MEMBERS]).sum() == 1
+    known = np.append(counts.keys, np.uint64(7))
+    assert (language_model._symbols(known, counts) == language_model._symbols_and_places(known, counts)[0]).all()
+
+
+@pytest.mark.parametrize("shift", [0, 300, -300])
+def test_softmax_of_scores_beyond_floats(shift):
+    scores = (np.random.default_rng(2).normal(size=(50, 33)) * 3 + shift).astype(np.float32)
+    wanted = scores.astype(float)
+    wanted -= wanted.max(1, keepdims=True)
+    wanted = np.exp(wanted) / np.exp(wanted).sum(1, keepdims=True)
+    found, total = language_model._exponentials(scores)
+    assert found / total[:, None] == pytest.approx(wanted, abs=1e-4)
+    assert language_model._log_target(scores, np.zeros(50, int)) == pytest.approx(np.log(wanted[:, 0]), abs=1e-3)
