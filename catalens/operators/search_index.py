@@ -14,24 +14,31 @@ segment, `remove` only keys, `merge` makes one segment of all. Write from one jo
 A search reads the buckets of its words only. Filters and order use the stored fields beside the postings, and texts are fetched
 for the rows of the result alone, from their slots. A word that most items hold is spread over ``SPREAD`` files.
 
+Words are counted inside their row, slice by slice and in order of term, so postings are shuffled once, to the task of
+their file, where they arrive in sorted runs. Only rows whose key repeats in the change are grouped by term and key.
+
 Rows that repeat a key in one change count as one item with all their words and the largest stored fields.
 Items without a key are left out; a null text has no words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from catalens.operators.vectors import words
-from catalens.session import staged
+from catalens.session import ship, staged
 
 SPREAD = 8
+SLICE_WORDS = 500_000
 
 
 @dataclass(frozen=True)
@@ -65,18 +72,57 @@ def _commit(spark: SparkSession, index: SearchIndex, version: int, segments: dic
     rows.coalesce(1).write.parquet(f"{index.path}/live/version={version}")
 
 
+def _counted(fields: Sequence[str]):
+    """Postings (term, key, tf, stored fields) of rows whose first column lists their words, in order of term within a slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            total = np.cumsum(pc.fill_null(pc.list_value_length(whole.column(0)), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < whole.num_rows:
+                before = total[at - 1] if at else 0
+                stop = max(at + 1, int(np.searchsorted(total, before + SLICE_WORDS, "right")))
+                batch, sizes = whole.slice(at, stop - at), np.diff(total[at:stop], prepend=before)
+                at = stop
+                coded = batch.column(0).flatten().dictionary_encode()
+                order = pc.sort_indices(coded.dictionary).to_numpy()
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                found, tf = np.unique(rank[coded.indices.to_numpy()] * len(sizes) + row, return_counts=True)
+                term = coded.dictionary.take(pa.array(order[found // len(sizes)]))
+                key, *stored = (batch.column(c).take(pa.array(found % len(sizes))) for c in fields)
+                yield pa.RecordBatch.from_arrays([term, key, pa.array(tf.astype(np.int64)), *stored], ["term", fields[0], "tf", *fields[1:]])
+
+    return run
+
+
 def _rows(items: DataFrame, index: SearchIndex) -> tuple[DataFrame, DataFrame]:
     """Items, and postings with the stored fields beside them."""
+    ship(items.sparkSession)
     named = items.where(F.col(index.key).isNotNull())
     each = named.groupBy(index.key).agg(F.max(index.text).alias(index.text), *[F.max(c).alias(c) for c in index.stored])
-    tf = named.select(index.key, F.explode(words(F.col(index.text), index.stop_words)).alias("term")).groupBy("term", index.key).agg(F.count(F.lit(1)).alias("tf"))
-    return each, tf.join(each.drop(index.text), index.key).select("term", index.key, "tf", *index.stored)
+    fields = (index.key, *index.stored)
+    key, *stored = (StructField(c, named.schema[c].dataType) for c in fields)
+    schema = StructType([StructField("term", StringType()), key, StructField("tf", LongType()), *stored])
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.select(words(F.col(index.text), index.stop_words).alias("__words"), *fields).mapInArrow(_counted(fields), schema)
+
+    repeated = staged(named.groupBy(index.key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(index.key), "index-repeats")
+    if repeated.isEmpty():
+        return each, counted(named)
+    tf = counted(named.join(repeated, index.key, "left_semi")).groupBy("term", index.key).agg(F.sum("tf").alias("tf"))
+    several = tf.join(each.drop(index.text), index.key).select("term", index.key, "tf", *index.stored)
+    return each, counted(named.join(repeated, index.key, "left_anti")).union(several)
 
 
 def _write(postings: DataFrame, items: DataFrame, index: SearchIndex, segment: int) -> None:
     bucketed = postings.withColumn("bucket", _part(F.col("term"), index.parts))
-    spread = F.pmod(F.xxhash64("term", index.key), F.lit(SPREAD))
-    bucketed.repartition("bucket", spread).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{index.path}/postings/segment={segment}")
+    spread = F.pmod(F.xxhash64("term", index.key), F.lit(SPREAD)).cast("int")
+    # One file is one task, so sorted runs stay sorted in it.
+    dealt = bucketed.repartitionById(index.parts * SPREAD, F.col("bucket") * SPREAD + spread)
+    dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{index.path}/postings/segment={segment}")
     slotted = items.withColumn("slot", _part(F.col(index.key), index.parts))
     slotted.repartition("slot").sortWithinPartitions("slot", index.key).write.partitionBy("slot").parquet(f"{index.path}/items/segment={segment}")
 

@@ -173,3 +173,37 @@ def test_a_crowd_of_vectors_is_not_cut(spark):
     np.fill_diagonal(scores, -1)
     for i in range(400):
         assert [round(s, 6) for _, s in got[i]] == pytest.approx(sorted(scores[i], reverse=True)[:3], abs=2e-6)
+
+
+def test_postings_of_single_rows_are_not_shuffled(spark, monkeypatch):
+    """Words are counted inside their row, in slices; only rows whose key repeats meet, with all their words and the largest stored fields."""
+    monkeypatch.setattr(search_index, "SLICE_WORDS", 50)
+    index = search_index.SearchIndex(scratch_path(spark, "index"), "k", "t", ("f",), parts=4, stop_words=("the",))
+    rng = np.random.default_rng(4)
+    names = ["zeta", "Ähre", "日本", "mid", "word_1", "the", "x1"]
+    rows = [(k, " ".join(rng.choice(names, rng.integers(0, 40))), f"f{rng.integers(9)}") for k in range(200)]
+    rows += [(200, None, "f1"), (201, "", None), (None, "zeta", "f1")]
+
+    def wanted(some):
+        tf, best = {}, {}
+        for k, t, f in some:
+            if k is not None:
+                best[k] = max(best.get(k) or "", f or "") or None
+                for w in (x for x in (t or "").lower().split() if x != "the"):
+                    tf[w, k] = tf.get((w, k), 0) + 1
+        return sorted((w, k, n, best[k]) for (w, k), n in tf.items())
+
+    def postings(some):
+        return search_index._rows(spark.createDataFrame(some, "k long, t string, f string"), index)[1]
+
+    once = postings(rows)
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, once.collect())) == wanted(rows)
+    again = rows + [(k, "zeta mid mid fresh", f"f{k % 9}") for k in range(0, 50, 3)] * 3
+    assert sorted(map(tuple, postings(again).collect())) == wanted(again)
+    search_index.create(spark, spark.createDataFrame(again, "k long, t string, f string"), index)
+    assert sorted(map(tuple, search_index.postings(spark, index).collect())) == [x[:3] for x in wanted(again)]
+    files = {}
+    for r in spark.read.parquet(f"{index.path}/postings").select(F.input_file_name().alias("file"), "term", F.monotonically_increasing_id().alias("at")).orderBy("at").collect():
+        files.setdefault(r.file, []).append(r.term)
+    assert all(found == sorted(found, key=str.encode) for found in files.values())
