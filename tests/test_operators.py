@@ -336,3 +336,27 @@ def test_step_audit_shuffles_and_writes_no_text(spark, monkeypatch):
     audit = {r.step: (r.rows_in, r.rows_out, r.removed) for r in clean.step_audit(frame.withColumn("tags", F.array(F.lit(None).cast("string"), "brand"))).collect()}
     assert audit == {"price": (5, 4, 1), "duplicates": (4, 3, 1), "short_content": (3, 2, 1), "outliers": (2, 2, 0)}
     assert not {"text", "title_x", "features", "details"} & set(written[0])
+
+
+@pytest.mark.parametrize("details", ["string", "map<string,string>"])
+def test_products_alone_equal_those_of_the_clean_table(spark, monkeypatch, details):
+    """Same rows without a review text in any table written; copies count once for the price limits."""
+    written = []
+    staged = clean.staged
+    rng = np.random.default_rng(6)
+    rows = []
+    for n in range(600):
+        item = int(rng.integers(60))
+        price = ["1.00", "9999.00", None, "$20.50"][item % 9] if item % 9 < 4 else f"{10 + item}.5"
+        rating = [None, "3", "x", "4"][n % 4]
+        row = (f"a{item}", f"title {n % 7}" if n % 5 else "ok", f"a review text {n % 9}" if n % 3 else "good", rating, price, f"product {n % 4}", f"b{n % 3}")
+        rows += [(*row, 1000 - n)] + [(*row, 5000 + 10 * n + i) for i in range(200 if price == "9999.00" and n < 40 else n % 3)]
+    made = spark.createDataFrame(rows, "asin string, title_x string, text string, rating string, price string, title_y string, brand string, row_id long")
+    body = F.concat(F.lit("d"), F.length("text"))
+    made = made.withColumn("details", body if details == "string" else F.create_map(F.lit("k"), body)).repartition(5)
+    want, _ = clean.split_products_reviews(clean.clean_table(made), ["row_id"])
+    monkeypatch.setattr(clean, "staged", lambda df, name: written.append(df.columns) or staged(df, name))
+    got = clean.clean_products(made)
+    assert got.columns == want.columns and got.count() > 30
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+    assert written and not any({"text", "title_x"} & set(columns) for columns in written)
