@@ -204,3 +204,42 @@ def test_softmax_of_scores_beyond_floats(shift):
     found, total = language_model._exponentials(scores)
     assert found / total[:, None] == pytest.approx(wanted, abs=1e-4)
     assert language_model._log_target(scores, np.zeros(50, int)) == pytest.approx(np.log(wanted[:, 0]), abs=1e-3)
+
+
+def _with_rare_pairs(spark):
+    """1,100 frequent words, and two rarer ones of equal counts, of which each stands after a word of its own and before any."""
+    random.seed(5)
+    filler = [f"f{n}" for n in range(1100)]
+    rows = []
+    for n in range(5000):
+        text = random.choices(filler, k=60)
+        text[20:20] = [("f1", "port"), ("f2", "starboard")][n % 2] if n < 400 else ()
+        rows.append((n, " ".join(text)))
+    random.shuffle(rows)
+    rows += [(k + n, f"{pair} f{9 * n}") for k, pair in ((9000, "f1 port"), (9200, "f1 starboard")) for n in range(100)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+@pytest.mark.parametrize("frequent", [1 << 20, 1330])
+def test_words_without_a_symbol_are_told_apart_by_context(spark, frequent):
+    """Beyond the 1,023 words with a symbol, too, what stands before a word counts; whether its count is at the tasks or comes by a join."""
+    docs = _with_rare_pairs(spark)
+    kind = F.col("doc_id") < 9200
+    rows = language_model.score(docs, F.col("doc_id") < 9000, language_model.Shape(frequent=frequent)).where("doc_id >= 9000").groupBy(kind.alias("own")).agg(F.avg("score").alias("score")).collect()
+    found = {r.own: r.score for r in rows}
+    assert found[True] - found[False] > 0.05
+
+
+def test_turns_of_other_words_are_a_distribution(spark):
+    """The shares of all other known words sum to 1 in any context, by their counts alone and after training."""
+    docs = language_model.pack(_with_rare_pairs(spark).withColumn("learnt", F.lit(True)))
+    shape = language_model.Shape()
+    counts = language_model.count_words(docs, shape)[1]
+    weights = language_model.train(docs, counts, shape)
+    other = counts.symbol == len(counts.symbol_keys)
+    keys, shares = counts.keys[other], counts.counts[other] + language_model.SMOOTH
+    assert len(keys) == counts.other_distinct > 70 and np.abs(weights.cells).sum() > 0
+    for context in ([1, 2, 3, 4], [5, 6, 7, 8]):
+        gains = language_model._gains(np.repeat(np.array([context], np.uint64), len(keys), 0), keys, counts, weights)
+        assert np.abs(gains).max() > 0
+        assert (10**gains * shares).sum() / shares.sum() == pytest.approx(1, abs=1e-4)
